@@ -76,7 +76,11 @@ def _hashed(rows: DataFrame, key: list[str], texts: list[str], payload: list[str
     """
     own = F.struct(*payload, *[F.xxhash64(F.lower(F.col(t))).alias(f"{t}_plain") for t in texts])
     none = F.lit(None).cast(rows.select(own.alias("x")).schema["x"].dataType)
-    each = [F.transform(terms(F.col(t)), lambda x, i=i: F.struct(term_hash(x).alias("h"), F.lit(i).alias("of"), none.alias("own"))) for i, t in enumerate(texts)]
+
+    def tagged(t: str, i: int) -> Column:
+        return F.transform(terms(F.col(t)), lambda x: F.struct(term_hash(x).alias("h"), F.lit(i).alias("of"), none.alias("own")))
+
+    each = [tagged(t, i) for i, t in enumerate(texts)]
     end = F.array(F.struct(F.lit(_END).cast("bigint").alias("h"), F.lit(-1).alias("of"), own.alias("own")))
     found = rows.select(*key, F.explode(F.concat(*each, end)).alias("t")).select(*key, "t.*").join(F.broadcast(words), "h")
     lists = [F.array_sort(F.collect_list(F.when(F.col("of") == i, F.struct("h", "mask")))).alias(f"{t}_terms") for i, t in enumerate(texts)]

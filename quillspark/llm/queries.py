@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, imatch, lines, mixing, secrets, simhash
+from quillspark.llm import bpe, embeddings, imatch, lines, mixing, secrets, simhash
 from quillspark.llm._shared import read
 
 
@@ -24,6 +24,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(read(spark, sf_dir, "documents"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.clusters(read(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op5_embeddings": op5_embeddings,
     "op7_mixing": op7_mixing,
     "op8_imatch": op8_imatch,
     "op10_secrets": op10_secrets,
@@ -47,5 +52,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.LINES_SQL,
+    "op5_embeddings": embeddings.EMBEDDINGS_SQL,
     "op7_mixing": mixing.MIX_SQL,
 }

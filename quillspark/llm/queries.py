@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, embeddings, imatch, lines, mixing, secrets, simhash
+from quillspark.llm import bpe, embeddings, imatch, lines, lm, mixing, quality, secrets, simhash, toxicity
 from quillspark.llm._shared import read
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = read(spark, sf_dir, "labels").where("quality = 1")
+    return lm.scores(read(spark, sf_dir, "documents"), good)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(read(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -28,6 +33,10 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.clusters(read(spark, sf_dir, "embeddings"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -36,17 +45,24 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_pairs(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(read(spark, sf_dir, "documents")).drop("findings")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_embeddings": op5_embeddings,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_imatch": op8_imatch,
+    "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
 }
 

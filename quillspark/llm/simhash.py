@@ -1,4 +1,9 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing."""
+"""SimHash near-duplicates by meet-in-the-middle ball hashing.
+
+``clusters`` links whole 64-bit fingerprints a few bits apart. Texts that share no less than 80 % of their word
+shingles differ in about ten of 64 bits, though, and a ball of that radius can't be listed; ``near_copies`` therefore
+runs the same ball hashing over several short fingerprints of each text and verifies what collides by its shingles.
+"""
 
 from __future__ import annotations
 
@@ -92,14 +97,3 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     found = components(near_pairs(nodes, radius))
     roots = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return marked.join(roots, "fp", "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component: one document of each group of near copies.
-
-    Rows that repeat an id share its fate only if their texts do; rows with a null id stay.
-    """
-    groups = clusters(docs, id_col, text_col, width, radius)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
-

@@ -95,7 +95,7 @@ def encode_register(text: str, rules: Rules) -> tuple[str, list[tuple[str, str,
     Articles and copulas are dropped in lower case only; a copula stays at the end, and before what looks like a verb.
     """
     words = list(re.finditer(r"\w+", text))
-    after = [m[0].casefold() for m in words[1:]] + [None]
+    after = [*(m[0].casefold() for m in words[1:]), None][: len(words)]
     short = {w.casefold(): d for w, d in rules.derivations.items()}
     articles, copulas = ({w.casefold() for w in group} for group in (rules.articles, rules.copulas))
     verbs, endings = set(rules.verb_words), tuple(rules.verb_endings)

@@ -21,7 +21,7 @@ SAMPLE = 12_000
 LEAST_DOCS, MOST_FEATURES = 8, 6000
 #: Grades: 0 for clean texts; toxic ones from 1 by the number of telling words they hold.
 CUTS = (3, 6)
-PENALTY, ROUNDS = 4e-4, 400
+PENALTY, ROUNDS = 1e-4, 400
 
 
 def features(text: str | None) -> Counter:
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model({f: float(w[i]) for f, i in place.items() if w[i]}, theta)
 
 
-def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.4, sample: int = SAMPLE) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``expected_severity`` (sum of P(grade >= k)), ``p_toxic`` (P(grade >= 1)), ``grade``
     (the median grade), ``toxic`` (p_toxic >= threshold).
 

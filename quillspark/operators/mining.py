@@ -139,6 +139,6 @@ def select(patterns: list[str], occurrences: dict[int, list[tuple[int, int]]], w
 
 def frame_codes(frames: DataFrame, text: str, order: list[str]) -> DataFrame:
     """``text`` and ``code`` of each distinct frame, numbered in the order of its first appearance."""
-    firsts = frames.groupBy(F.col(text).alias("text")).agg(F.min(F.struct(*order)).alias("at"))
-    numbered = firsts.withColumn("n", F.row_number().over(Window.orderBy("at", "text")))
-    return numbered.where(F.col("n") <= FRAME_CODES).select("text", F.format_string("za%04d", "n").alias("code"))
+    firsts = frames.groupBy(F.col(text).alias("text")).agg(F.min(F.struct(*order)).alias("at")).orderBy("at", "text").limit(FRAME_CODES)
+    numbered = firsts.withColumn("n", F.row_number().over(Window.orderBy("at", "text")))  # as many rows as codes at most
+    return numbered.select("text", F.format_string("za%04d", "n").alias("code"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,15 +53,37 @@ def tiles(df: DataFrame, slots: int) -> DataFrame:
     return slot.select("slot", at.alias("offset"), n.alias("length"))
 
 
+#: Rows that one task numbers, about, in ``ranked``.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 10_000
+
+
+def ranked(df: DataFrame, order: str, ties: list[str], name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Number all rows from 0 by a numeric or time column (nulls first), then ``ties``, without sorting them in one task.
+
+    Quantiles of the column, computed once, cut it into ranges; rows are numbered within their range, and a small
+    table adds the number of rows in the ranges before. Equal values share a range, however many there are.
+    """
+    ranges = max(1, min(MOST_RANGES, math.ceil(df.count() / range_rows)))
+    cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * max(1000, ranges))).first()[0] if ranges > 1 else None
+    cuts = sorted(set(cuts or []))
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    parts = df.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(below))
+    counts = parts.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order, *ties)) - 1
+    return parts.withColumn("_inside", inside).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)
+
+
 def split_sessions(df: DataFrame, session: str, order: str, name: str = "part") -> DataFrame:
     """Mark each row ``train`` or ``test`` by the parity of its session's place in the order of first appearance.
 
-    The rank is taken over sessions, not rows, and joined back; no session is on both sides.
+    The rank is taken over sessions, not rows, and joined back; no session is on both sides. ``order`` is a number or
+    a time.
     """
     firsts = df.groupBy(session).agg(F.min(order).alias("_first"))
-    ranked = firsts.withColumn("_rank", F.row_number().over(Window.orderBy("_first", session)) - 1)
     part = F.when(F.col("_rank") % 2 == 0, "train").otherwise("test")
-    return df.join(ranked.select(session, part.alias(name)), session)
+    return df.join(ranked(firsts, "_first", [session], "_rank").select(session, part.alias(name)), session)
 
 
 def hash_sample(df: DataFrame, key: Column, k: int, seed: str) -> DataFrame:

@@ -64,6 +64,15 @@ def test_sessions_do_not_leak(spark):
     assert {r.session for r in train.select("session").distinct().collect()} == {"s0", "s2", "s4", "s6"}
 
 
+@pytest.mark.parametrize("range_rows", [7, 1000])
+def test_ranked_is_a_global_row_number(spark, range_rows):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 5, 5, rng.randrange(40)]), i) for i in range(200)]
+    got = {r.i: r.rank for r in ordering.ranked(spark.createDataFrame(rows, "v int, i int"), "v", ["i"], "rank", range_rows).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == {i: k for k, (_, i) in enumerate(want)}
+
+
 def test_brake(spark):
     rows = [("a", 1, 9.0), ("a", 2, 3.0), ("a", 3, 9.0), ("b", 1, 1.0), ("c", 1, 8.0), ("c", 2, 9.0), ("d", 1, None)]
     df = spark.createDataFrame(rows, "u string, level int, score double").withColumn("base", F.lit(9.0))

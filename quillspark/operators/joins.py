@@ -41,15 +41,16 @@ def anchored(items: DataFrame, passages: DataFrame, item_id: str, item_text: str
     if threshold <= 0:
         raise ValueError("a threshold of 0 would match what shares nothing")
 
-    def exploded(df: DataFrame, key: str, text: str, name: str) -> tuple[DataFrame, DataFrame]:
-        sets = df.select(F.col(key).alias(name), token_set(normalize(F.coalesce(F.col(text), F.lit("")))).alias("t"))
-        return sets.select(name, F.size("t").alias(f"{name}_n")), sets.select(name, F.explode("t").alias("token"))
-
-    item_sizes, item_tokens = exploded(items, item_id, item_text, "i")
-    passage_sizes, passage_tokens = exploded(passages, passage_id, passage_text, "p")
-    shared = item_tokens.join(passage_tokens, "token").groupBy("i", "p").agg(F.count("*").alias("shared"))
-    scored = shared.join(item_sizes, "i").join(passage_sizes, "p").withColumn("score", F.col("shared") / F.least("i_n", "p_n"))
-    return scored.where(F.col("score") >= threshold).select(F.col("i").alias(item_id), F.col("p").alias(passage_id), F.round("score", 6).alias("score"))
+    def exploded(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+        """A row per token, with the size of its set, so that each side is tokenised once."""
+        tokens = token_set(normalize(F.coalesce(F.col(text), F.lit(""))))
+        held = df.select(F.col(key).alias(name), F.explode(F.array(tokens)).alias("t"))  # keeps the set from being computed again
+        return held.select(name, F.size("t").alias(f"{name}_n"), F.explode("t").alias("token"))
+
+    shared = exploded(items, item_id, item_text, "i").join(exploded(passages, passage_id, passage_text, "p"), "token")
+    counted = shared.groupBy("i", "p", F.least("i_n", "p_n").alias("least")).agg(F.count("*").alias("shared"))
+    scored = counted.withColumn("score", F.col("shared") / F.col("least")).where(F.col("score") >= threshold)
+    return scored.select(F.col("i").alias(item_id), F.col("p").alias(passage_id), F.round("score", 6).alias("score"))
 
 
 def gate(items: DataFrame, passage: str, expected: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:

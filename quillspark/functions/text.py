@@ -159,6 +159,23 @@ def legend(entries: Column, title: str) -> Column:
     return F.when(F.size(entries) > 0, F.concat(F.lit(f"=== {title} legend ===\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
 
 
+def prompt(template: str, *values: Column | str) -> Column:
+    """A template with %s for each value; a null value is left empty."""
+    return F.format_string(template, *[F.coalesce(_col(v).cast("string"), F.lit("")) for v in values])
+
+
+def usage(raw: Column | str, path: str = "$.usage") -> Column:
+    """Token usage of a reply as a struct: counts must be there (an error otherwise), reasoning tokens may be."""
+    number = lambda key: F.get_json_object(_col(raw), f"{path}.{key}").cast("bigint")
+    required = [F.coalesce(number(k), F.raise_error(F.lit(f"usage has no {k}")).cast("bigint")).alias(k) for k in ("prompt_tokens", "completion_tokens", "total_tokens")]
+    return F.struct(*required, number("completion_tokens_details.reasoning_tokens").alias("reasoning_tokens"))
+
+
+def inverted(mapping: Column) -> Column:
+    """A map of values to keys. Values that are there twice are an error, as no map could hold both."""
+    return F.map_from_arrays(F.map_values(mapping), F.map_keys(mapping))
+
+
 def canonical_hash(*columns: str) -> Column:
     """First 16 hex digits of the SHA-256 of the columns as JSON with sorted keys."""
     return F.substring(F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256), 1, 16)

@@ -91,6 +91,11 @@ def hash_sample(df: DataFrame, key: Column, k: int, seed: str) -> DataFrame:
     return df.withColumn("_draw", F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))).orderBy("_draw", key).limit(k).drop("_draw")
 
 
+def first_distinct(df: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """Each value once, with ``_first``: its place in the order of first appearance. Minima combine before the shuffle."""
+    return df.groupBy(value).agg(F.min(F.struct(*order)).alias("_first")).orderBy("_first")
+
+
 def follows(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.lead(value).over(Window.partitionBy(*keys).orderBy(*order)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import python, stats, text
@@ -441,6 +441,62 @@ def quota_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.deficits(rows, "conv_id", "role", {"user": 3, "assistant": 2, "system": 1}, rows)
 
 
+@query("select event_type, min(event_id) as first_id from events group by 1")
+def first_occurrence_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.first_distinct(read(spark, sf_dir, "events"), "event_type", ["event_id"]).select("event_type", F.col("_first.event_id").alias("first_id"))
+
+
+@query("select doc_id, substr(sha256('{\"doc_id\":' || doc_id::varchar || ',\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars::varchar || '}'), 1, 16) as digest from documents")
+def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", text.canonical_hash("n_chars", "doc_id", "lang").alias("digest"))
+
+
+@query("select conv_id, turn, md5('Role: ' || role || chr(10) || 'Text: ' || text) as digest from conversations")
+def prompt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.prompt("Role: %s\nText: %s", "role", "text")).alias("digest"))
+
+
+@query("select event_id, 7::bigint as prompt_tokens, k as completion_tokens, 7 + k as total_tokens, case when event_id % 4 = 0 then k // 2 end as reasoning_tokens from (select event_id, json_extract_string(props, '$.k')::bigint as k from events)")
+def usage_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    detail = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(',"completion_tokens_details":{"reasoning_tokens":'), F.floor(k.cast("int") / 2).cast("string"), F.lit("}"))).otherwise("")
+    raw = F.concat(F.lit('{"usage":{"prompt_tokens":7,"completion_tokens":'), k, F.lit(',"total_tokens":'), (k.cast("int") + 7).cast("string"), detail, F.lit("}}"))
+    return read(spark, sf_dir, "events").select("event_id", text.usage(raw).alias("u")).select("event_id", "u.*")
+
+
+@query("""
+with c as (select l_orderkey, l_linenumber, l_linenumber - min(l_linenumber) over (partition by l_orderkey) as r, l_quantity from lineitem),
+d as (select l_orderkey, r, min(l_quantity) >= 3 as ok, least(max(l_quantity)::bigint, 40) as m from c group by 1, 2),
+p as (select *, coalesce(bool_and(ok and m < 40) over (partition by l_orderkey order by r rows between unbounded preceding and 1 preceding), true) as on_ from d),
+q as (select * from p where on_ and r <= 2)
+select l_orderkey, case when bool_or(ok and r = 0) then 'checked' else 'unparsed' end as state, max(m / 40.0::double) filter (where r = 0 and ok) as recall_pre,
+  arg_max(m / 40.0::double, r) filter (where ok) as recall_post, max(r)::int as repairs from q group by 1
+""")
+def repair_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.plans.experiment import repairs
+
+    rows = read(spark, sf_dir, "lineitem").withColumn("round", F.col("l_linenumber") - F.min("l_linenumber").over(Window.partitionBy("l_orderkey")))
+    checks = rows.groupBy(F.lit("a").alias("arm"), F.col("l_orderkey").alias("task_id"), "round").agg(
+        (F.min("l_quantity") >= 3).alias("parse_ok"), F.least(F.max("l_quantity").cast("bigint"), F.lit(40)).alias("matched"), F.lit(40).alias("total")
+    )
+    return repairs(checks, 2).select(F.col("task_id").alias("l_orderkey"), "state", "recall_pre", "recall_post", "repairs")
+
+
+@query("""
+with r as (select l_returnflag as panel, l_orderkey, l_linenumber, bool_and(l_discount < 0.07) as x, bool_and(l_tax < 0.05) as y from lineitem group by 1, 2, 3),
+c as (select panel, count(*) as n, count(*) filter (where x) as kx, count(*) filter (where y) as ky, count(*) filter (where x and not y) as b, count(*) filter (where not x and y) as c from r where panel <> 'R' group by 1)
+select panel, n as n_den, kx as k_den, n as n_num, ky as k_num, n as n_pairs, b as only_x, c as only_y, round(ky / kx::double, 6) as ratio from c
+""")
+def panel_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.plans.experiment import panel_summary
+
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("panel"), F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("q_index"))
+    wide = rows.agg(F.bool_and(F.col("l_discount") < 0.07).alias("x"), F.bool_and(F.col("l_tax") < 0.05).alias("y"))
+    answers = wide.select("panel", "task_id", "q_index", F.lit("").alias("question"), F.explode(F.create_map(F.lit("P"), "x", F.lit("C"), "y")).alias("condition", "correct"))
+    drops = spark.createDataFrame([("R",)], "panel string")
+    return panel_summary(answers, drops, "P", "C").drop("p")
+
+
 # --- token economics ----------------------------------------------------------------------------------------------
 
 _PER_CONV = f"select conv_id, sum({_cost('text')}) filter (where role = 'user')::bigint as plain, sum({_cost('text')}) filter (where role = 'assistant')::bigint as compressed from conversations group by 1"

@@ -121,3 +121,13 @@ def test_sql_registration(spark):
     assert "quill_containment" in names
     row = spark.sql("select quill_normalize('1,000 Tons, 3rd.') a, quill_containment('a b', 'b c d') b, quill_approx_count('abcde f') c, quill_jaccard('a b c', 'b c d') d").first()
     assert tuple(row) == ("1000 tons 3", 0.5, 3, 0.5)
+
+
+def test_usage_prompt_and_inversion(spark):
+    good = '{"usage": {"prompt_tokens": 1, "completion_tokens": 2, "total_tokens": 3, "completion_tokens_details": {"reasoning_tokens": 1}}}'
+    assert tuple(one(spark, text.usage("s"), s=good)) == (1, 2, 3, 1)
+    with pytest.raises(Exception, match="total_tokens"):
+        one(spark, text.usage("s"), s='{"usage": {"prompt_tokens": 1, "completion_tokens": 2}}')
+    assert one(spark, text.prompt("a %s b %s", "s", F.lit(None)), s="x") == "a x b "
+    assert spark.range(1).select(text.inverted(F.create_map(F.lit("a"), F.lit(1))).alias("m")).first().m == {1: "a"}
+    assert one(spark, text.canonical_hash("b", "a"), a="1", b="2") == one(spark, text.canonical_hash("a", "b"), b="2", a="1")

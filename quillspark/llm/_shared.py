@@ -86,6 +86,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by name, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

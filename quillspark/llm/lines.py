@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import fresh, sized_join, written
+from quillspark.llm._shared import fresh, own_columns, sized_join, written
 
 #: A line on so many distinct sites is boilerplate.
 SITES = 5
@@ -63,7 +63,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = out.withColumn(kept, F.filter(lines_, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(gone), _hashes(F.trim(x)))))
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     more = [F.coalesce(F.size(_split(text_col)), F.lit(0)).alias("n_lines"), F.coalesce(F.size(lines_) - F.size(kept), F.lit(0)).alias("n_removed")] if counts else []
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *more)
+    return out.select(*[text.alias(n) if n == text_col else c for n, c in zip(docs.columns, own_columns(docs), strict=True)], *more)
 
 
 LINES_SQL = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import fresh, sized_join, text_or_empty, written
+from quillspark.llm._shared import fresh, own_columns, sized_join, text_or_empty, written
 
 WEIGHTS = (5, 2, 1)
 #: No source is repeated more often than this.
@@ -111,7 +111,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     own = F.struct(F.col(key).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(size).alias("size"), F.col(tie).alias("tie"))
     within = F.coalesce(own <= F.col(cut), F.lit(False)).cast("int")
     rows = rows.withColumn(copies, F.col(epochs).cast("int") + within)
-    return rows.withColumn(copies, F.explode(F.expr(f"array_repeat(0, `{copies}`)"))).select(*docs.columns)
+    return rows.withColumn(copies, F.explode(F.expr(f"array_repeat(0, `{copies}`)"))).select(*own_columns(docs))
 
 
 MIX_SQL = r"""

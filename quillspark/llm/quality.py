@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillspark.llm._shared import discard, fresh, sized_join, slices, written
+from quillspark.llm._shared import discard, fresh, own_columns, sized_join, slices, written
 
 #: Labelled documents that the text model is fitted to, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -103,15 +103,16 @@ def evidence(docs: DataFrame, model: TextModel, text_col: str, name: str) -> Dat
     """``docs`` and ``name``: log odds of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any sign may be in the names
+    schema = StructType([*plain.schema.fields, StructField("log_odds", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):
                 x = np.array([features(t) for t in part.column(at).to_pylist()]).reshape(part.num_rows, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.log_odds(x))], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.log_odds(x))], names=[*part.schema.names, "log_odds"])
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, name)
 
 
 def _strength(groups: DataFrame, parent: Column) -> float:
@@ -189,4 +190,4 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     slim = docs.select(*dict.fromkeys([text_col, host_col, path_col]))
     found = sites(evidence(slim, model, text_col, odds), host_col, path_col, odds)
     rows = combined(evidence(docs, model, text_col, odds), *found, host_col, path_col, odds, (host_name, path_name, quality))
-    return rows.where(F.col(quality) >= threshold).select(*docs.columns)
+    return rows.where(F.col(quality) >= threshold).select(*own_columns(docs))

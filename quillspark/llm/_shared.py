@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -95,6 +97,13 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def trim() -> None:
+    """Give freed memory back at the end of a partition: Python workers are used again and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8_000_000):
     """Cut a batch so that each slice has about ``most_bytes`` of the string column at most, a row at least."""
     start, total = 0, 0

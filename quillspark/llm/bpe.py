@@ -21,10 +21,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quillspark.llm._shared import slices
+from quillspark.llm._shared import slices, trim
 
 #: Distinct words whose merges are replayed together, about; the only effect is on memory.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 150_000
+#: Positions whose pairs are looked up at once.
+CHUNK = 1 << 18
 
 
 class Ranks:
@@ -81,7 +83,7 @@ class Ranks:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank that each pair merges to, -1 if none; a negative token is a word's edge."""
-        keys = left * self.n + right
+        keys = left.astype(np.int64) * self.n + right
         where = self._slot(keys)
         out = np.full(len(keys), -1, dtype=np.int64)
         open_ = np.flatnonzero((left >= 0) & (right >= 0))
@@ -112,12 +114,14 @@ class Ranks:
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(lengths + 1)  # each word is followed by an edge
         total = int(ends[-1]) if len(words) else 0
-        sym = np.full(total + 1, -1, dtype=np.int64)
+        sym = np.full(total + 1, -1, dtype=np.int32)
         sym[:total] = np.append(self.byte_ids, -1)[np.frombuffer(b"\n".join(words) + b"\n" * bool(words), dtype=np.uint8)]
         sym[ends - 1] = -1
         nxt = np.arange(1, total + 2, dtype=np.int32)
         prv = np.arange(-1, total, dtype=np.int32)
-        ranks = self.rank(sym[:-1], sym[1:])
+        ranks = np.full(total, -1, dtype=np.int32)
+        for k in range(0, total, CHUNK):
+            ranks[k : k + CHUNK] = self.rank(sym[k : k + CHUNK][: total - k], sym[k + 1 : k + 1 + CHUNK])
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
         redo: set[int] = set()
@@ -144,8 +148,9 @@ class Ranks:
                     index[r] = [part]
                     heapq.heappush(heap, r)
 
-        live = np.flatnonzero(ranks >= 0)
+        live = np.flatnonzero(ranks >= 0).astype(np.int32)
         enter(live, ranks[live])
+        del ranks, live
         while heap:
             r = heapq.heappop(heap)
             listed = index.pop(r)
@@ -295,6 +300,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                     out["ids"] = pa.array(ids_list, pa.list_(pa.int32()))
                 out |= {"ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
                 yield pa.RecordBatch.from_pydict(out)
+        del encoder
+        trim()
 
     ids_type = "ids array<int>, " if with_ids else ""
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens bigint, {ids_type}ids_sha256 string, decoded_sha256 string")

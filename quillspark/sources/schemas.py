@@ -1,4 +1,7 @@
-"""Explicit schemas: nothing is inferred, and a column that a record type doesn't have is null."""
+"""Explicit schemas: nothing is inferred, and a column that a record type doesn't have is null.
+
+Fixed values: the names of fields, record types and tags are those of stored ledgers.
+"""
 
 from __future__ import annotations
 

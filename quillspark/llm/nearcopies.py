@@ -4,7 +4,10 @@ Two texts at the least similarity differ in each bit with probability ``flip``.
 fingerprints of ``bits`` bits; each emits all variants one bit away (half of the radius 2), so texts meet if one of
 their short fingerprints differs in two bits at most. ``bits`` follows the logarithm of the number of texts, which
 keeps the buckets short at any size, and ``tables`` follows from the share ``miss`` of pairs, at the very threshold, that
-may never meet; more similar ones meet all but surely.
+may never meet or be ruled out by the ``QUICK`` bits; more similar ones meet all but surely.
+
+Votes are over distinct shingles, as the similarity is. Bits of few shingles don't follow ``flip``; such texts meet by
+their least shingle hashes instead: of two sets that share enough, the least few of each share one (prefix filter).
 """
 
 from __future__ import annotations
@@ -24,10 +27,15 @@ from quillspark.llm.graph import components
 from quillspark.llm.simhash import CHUNK, SEED
 
 WIDTH, SIMILARITY, MISS = 5, 0.8, 0.004
-#: Bits by which texts of one bucket are compared, in the search over all texts and in the precise one.
-QUICK, PRECISE = 64, 1024
-#: Buckets of more texts are searched leader by leader rather than pair by pair.
+#: Bits by which texts of one bucket are compared, and standard deviations that they may differ by beyond the expected.
+QUICK, SLACK = 128, 3.5
+#: The first search goes through buckets of more texts leader by leader rather than pair by pair.
 SMALL = 64
+#: Texts of at most so many distinct shingles meet each other by shingles, exactly. Of those, a bit differs with at most
+#: this chance (4 of 5 shingles shared; 0.15 for many).
+FEW, FEW_FLIP = 64, 0.1875
+#: Open candidate pairs a text up to which all are verified at once; beyond it one a text is, and what that links leaves.
+OPEN = 4
 
 
 def flip(similarity: float) -> float:
@@ -35,12 +43,29 @@ def flip(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def most_away(p: float) -> int:
+    """Most of the ``QUICK`` bits that texts may differ in which differ in each with chance ``p``."""
+    return math.floor(QUICK * p + SLACK * math.sqrt(QUICK * p * (1 - p)))
+
+
+def ruled_out(p: float) -> float:
+    """Share of such texts that differ in more."""
+    return 1 - sum(math.comb(QUICK, k) * p**k * (1 - p) ** (QUICK - k) for k in range(most_away(p) + 1))
+
+
 def plan(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
-    """``bits`` of a short fingerprint, and ``tables``."""
+    """``bits`` of a short fingerprint, and ``tables``: never meeting and being ruled out make up ``miss`` at most."""
     bits = min(38, max(12, math.ceil(math.log2(max(n, 1))) + 3))
     p = flip(similarity)
     meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
-    return bits, max(1, math.ceil(math.log(miss) / math.log(1 - meet)))
+    left = max(miss - ruled_out(p), miss / 10)
+    return bits, max(1, math.ceil(math.log(left) / math.log(1 - meet)))
+
+
+def prefix(h: np.ndarray, similarity: float) -> np.ndarray:
+    """The least of distinct shingle hashes, so many that sets of the similarity share one of them; as negative keys."""
+    least = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+    return (h[:least] | np.uint64(1 << 63)).view(np.int64)
 
 
 def shingles(text: str | None, width: int) -> tuple[bytes, np.ndarray]:
@@ -77,104 +102,167 @@ def signature(h: np.ndarray, n_words: int) -> np.ndarray:
     return out
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int, tables: int, payload: int = QUICK) -> DataFrame:
-    """``id, k1, k2`` (128 bits of the words), ``sig`` (``payload`` bits to compare by), ``words`` (others, for the buckets)."""
-    n_words = payload // 64 + math.ceil(bits * tables / 64)
+def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int, tables: int, similarity: float) -> DataFrame:
+    """``id, k1, k2`` (128 bits of the words), ``s0, s1`` (bits to compare by), ``words`` and ``least`` (for the buckets)."""
+    n_words = QUICK // 64 + math.ceil(bits * tables / 64)
     powers = (1 << np.arange(bits)).astype(np.int64)
+    none = np.zeros(0, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                k1, k2, sigs, words = [], [], [], []
+                k1, k2, sigs, words, least = [], [], [], [], []
                 for t in part.column(1).to_pylist():
                     joined, h = shingles(t, width)
                     k1.append(xxhash.xxh64_intdigest(joined, 1))
                     k2.append(xxhash.xxh64_intdigest(joined, 2))
-                    sig = signature(h, n_words)
-                    sigs.append(np.packbits(sig[:payload]).tobytes())
-                    words.append(sig[payload : payload + bits * tables].reshape(tables, bits) @ powers)
+                    h = np.unique(h)
+                    many = len(h) > FEW
+                    sig = signature(h, n_words if many else QUICK // 64)
+                    sigs.append(np.packbits(sig[:QUICK]).view(np.int64))
+                    words.append(sig[QUICK : QUICK + bits * tables].reshape(tables, bits) @ powers if many else none)
+                    # the partner of a text of few shingles may have more
+                    least.append(prefix(h, similarity) if len(h) * similarity <= FEW else none)
                 keys = [pa.array(np.array(k, dtype=np.uint64).view(np.int64)) for k in (k1, k2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *keys, pa.array(sigs, pa.binary()), pa.array(words, pa.list_(pa.int64()))], names=["id", "k1", "k2", "sig", "words"])
+                s = np.array(sigs).reshape(-1, 2)
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (words, least)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *keys, pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), *lists], names=["id", "k1", "k2", "s0", "s1", "words", "least"])
         trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint, sig binary, words array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint, s0 bigint, s1 bigint, words array<bigint>, least array<bigint>")
 
 
-def _candidates(nodes: DataFrame, bits: int, tables: int, payload: int, similarity: float) -> DataFrame:
-    """Pairs ``a`` > ``b`` of ``rep``s that meet and whose ``payload`` bits don't rule the similarity out.
+def _candidates(nodes: DataFrame, bits: int, similarity: float, how: str) -> DataFrame:
+    """Of ``rep``s that meet, have other ``label``s and aren't ruled out by their bits, by ``how``:
 
-    In a small bucket all pairs are looked at. In a larger one each text is looked at with the leaders: those texts, by
-    id, that aren't within the estimated distance of a leader before them. The quick search gives a row for each text
-    that has such a partner at all: ``a``, and as ``b`` the nearest of those before it (null if all come after). The
-    precise one gives all its pairs.
+    - nearest: a row for each that has a partner or is in a large bucket: ``a``, and as ``b`` the nearest of those before
+      it (null if all come after). A large bucket is searched by leaders: those texts, by id, that aren't near one before.
+    - one: ``a``, as ``b`` any one partner, and the number ``n`` of its meetings with partners.
+    - all: every pair ``a`` > ``b``.
     """
-    p = flip(similarity)
-    slack = (3 if payload == QUICK else 2.5) * math.sqrt(p * (1 - p) / payload)
-    most = math.floor(payload * (p + slack))
-    sure = math.floor(payload * p) if payload > QUICK else most
+    most, most_few = most_away(flip(similarity)), most_away(max(FEW_FLIP, flip(similarity)))
     balls = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.when(k < bits, F.call_function("shiftleft", F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint")))
-    rows = nodes.select("rep", "sig", F.posexplode("words").alias("t", "word"))
-    rows = rows.select("rep", "sig", F.explode(F.transform(balls, lambda f: F.call_function("shiftleft", F.col("t").cast("bigint"), F.lit(bits)) + F.col("word").bitwiseXOR(f))).alias("bucket"))
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "rep")
-
-    def bucket_pairs(reps: np.ndarray, sigs: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    near = F.flatten(F.transform("words", lambda w, t: F.transform(balls, lambda f: F.call_function("shiftleft", t.cast("bigint"), F.lit(bits)) + w.bitwiseXOR(f))))
+    labels = [] if how == "nearest" else ["label"]
+    rows = nodes.select("rep", "s0", "s1", *labels, F.explode(F.concat(near, "least")).alias("bucket"))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", *labels, "rep")
+
+    def apart(sigs: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(sigs[x] ^ sigs[y]).sum(axis=1, dtype=np.int32)
+
+    def led(reps: np.ndarray, sigs: np.ndarray, begin: int, size: int, limit: int) -> Iterator[tuple[np.ndarray, ...]]:
+        left = np.arange(begin, begin + size)
+        while len(left):
+            away = apart(sigs, left[1:], left[:1])
+            near = away <= limit
+            yield reps[left[1:][near]], np.full(int(near.sum()), reps[left[0]]), away[near]
+            left = left[1:][~near]
+
+    def across(labels: np.ndarray, begin: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a bucket, sorted by label, between labels; the largest label is never compared with itself."""
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(labels[begin : begin + size])) + 1, [size]])
+        runs = [np.arange(begin + x, begin + y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        runs.sort(key=len)
+        order = np.concatenate(runs)
+        ends = np.repeat(np.cumsum([len(r) for r in runs]), [len(r) for r in runs])
+        at, last = 0, len(order) - len(runs[-1])
+        while at < last:
+            # whole rows of the triangle, about a million pairs at once
+            n = max(1, min(last - at, 1_000_000 // size))
+            later = size - ends[at : at + n]
+            i = np.repeat(np.arange(at, at + n), later)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later) + np.repeat(ends[at : at + n], later)
+            yield order[i], order[j]
+            at += n
+
+    def bucket_pairs(bucket: np.ndarray, reps: np.ndarray, labels: np.ndarray | None, sigs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
+        limits = np.where(bucket < 0, most_few, most)
         small = (sizes > 1) & (sizes <= SMALL)
         s, n = starts[small], sizes[small]
+
+        def kept(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+            if labels is not None:
+                other = labels[x] != labels[y]
+                x, y = x[other], y[other]
+            away = apart(sigs, x, y)
+            near = away <= limits[x]
+            x, y = reps[x[near]], reps[y[near]]
+            return np.maximum(x, y), np.minimum(x, y), away[near]
+
         for at in range(0, len(s), 20_000):
             i, j = _pairs(s[at : at + 20_000], n[at : at + 20_000])
             for k in range(0, len(i), 1_000_000):
-                x, y = i[k : k + 1_000_000], j[k : k + 1_000_000]
-                near = np.bitwise_count(sigs[x] ^ sigs[y]).sum(axis=1) <= most
-                yield reps[y[near]], reps[x[near]], np.bitwise_count(sigs[x[near]] ^ sigs[y[near]]).sum(axis=1)
+                yield kept(i[k : k + 1_000_000], j[k : k + 1_000_000])
         for begin, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            left = np.arange(begin, begin + size)
-            while len(left) > 1:
-                away = np.bitwise_count(sigs[left[1:]] ^ sigs[left[0]]).sum(axis=1)
-                near = left[1:][away <= most]
-                yield reps[near], np.full(len(near), reps[left[0]]), away[away <= most]
-                left = left[1:][away > sure]
+            if labels is None:
+                yield from led(reps, sigs, begin, size, int(limits[begin]))
+            else:
+                for x, y in across(labels, begin, size):
+                    yield kept(x, y)
+
+    def nearest(a: np.ndarray, b: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((b, away, a))
+        a, b, away = a[order], b[order], away[order]
+        first = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
+        return a[first], b[first], away[first]
+
+    def any_one(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        rank = _mixed(a.view(np.uint64) ^ _mixed(b.view(np.uint64), 1), 2).view(np.int64)
+        order = np.lexsort((rank, a))
+        starts = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]]))
+        pick = order[starts]
+        return a[pick], b[pick], rank[pick], np.diff(np.concatenate([starts, [len(a)]]))
+
+    def batch_of(*columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
+
+    def flushed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        bucket, reps, s0, s1 = (table.column(c).to_numpy() for c in ("bucket", "rep", "s0", "s1"))
+        labels = table.column("label").to_numpy() if how != "nearest" else None
+        sigs = np.stack([s0, s1], axis=1).view(np.uint64)
+        found = bucket_pairs(bucket, reps, labels, sigs)
+        if how == "nearest":
+            own = list(found)
+            if own:
+                a, b, away = (np.concatenate(x) for x in zip(*own, strict=True))
+                _, at, n = np.unique(bucket, return_inverse=True, return_counts=True)
+                other = np.setdiff1d(np.concatenate([b, reps[n[at] > SMALL]]), a)
+                yield batch_of(*nearest(a, b, away))
+                yield batch_of(other, pa.nulls(len(other), pa.int64()), pa.nulls(len(other), pa.int32()))
+            return
+        for a, b, _ in found:
+            if how == "one" and len(a):
+                yield batch_of(*any_one(a, b))
+            elif len(a):
+                yield batch_of(*np.unique(np.stack([a, b], axis=1), axis=0).T.copy())
+
+    names = {"nearest": ["a", "b", "away"], "one": ["a", "b", "rank", "n"], "all": ["a", "b"]}[how]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            bucket, reps = table.column("bucket").to_numpy(), table.column("rep").to_numpy()
-            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=">u8").reshape(len(reps), -1).astype(np.uint64)
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
-            found = list(bucket_pairs(reps, sigs, starts, np.diff(np.concatenate([starts, [len(bucket)]]))))
-            if not sum(len(x[0]) for x in found):
-                return
-            a, b, away = (np.concatenate(x) for x in zip(*found, strict=True))
-            if payload > QUICK:
-                both = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "away": pa.array(np.zeros(len(both), np.int32))})
-                return
-            order = np.lexsort((b, away, a))
-            a, b, away = a[order], b[order], away[order]
-            first = np.concatenate([[True], a[1:] != a[:-1]])
-            other = np.setdiff1d(b, a)
-            none = pa.nulls(len(other), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(away[first].astype(np.int32))], names=["a", "b", "away"])
-            yield pa.RecordBatch.from_arrays([pa.array(other), none, none.cast(pa.int32())], names=["a", "b", "away"])
-
         for batch in batches:
             own = batch.column("bucket").to_numpy()
             cut = int(np.searchsorted(own, own[-1])) if len(own) else 0
             if cut:
                 held.append(batch.slice(0, cut))
-                yield from flushed()
+                yield from flushed(held)
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield from flushed()
+            yield from flushed(held)
         held = []
         trim()
 
-    found = rows.select("bucket", "rep", "sig").mapInArrow(run, "a bigint, b bigint, away int")
-    if payload > QUICK:
-        return found.select("a", "b").distinct()
+    found = rows.select("bucket", "rep", "s0", "s1", *labels).mapInArrow(run, ", ".join(f"{c} {'int' if c == 'away' else 'bigint'}" for c in names))
+    if how == "all":
+        return found.distinct()
+    if how == "one":
+        return found.groupBy("a").agg(F.min(F.struct("rank", "b")).alias("near"), F.sum("n").alias("n")).select("a", "near.b", "n")
     return found.groupBy("a").agg(F.min(F.when(F.col("b").isNotNull(), F.struct("away", "b"))).alias("near")).select("a", "near.b")
 
 
@@ -209,29 +297,50 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts with the same words are copies whatever their spaces and case; texts without words are copies of one
     another. Other texts are linked if at least ``similarity`` of all their shingles are shared (Jaccard, sets), which
-    is verified on whole texts; what links connect is one group. Each text is verified with its nearest partner first;
-    of the texts that have partners, those which stay go through a second search among themselves, with many more
-    bits, and are verified with all that it finds. So each document that goes is like one before it, and those that
-    stay aren't like one another, but for the pairs that never meet (``miss``); a group of m near copies makes about m
-    pairs, not m * m. Rows with a null id aren't judged. A repeated id is one document if its texts are the same.
+    is verified on whole texts; what links connect is one group. Each text is verified with its nearest partner first.
+    Then all texts that have partners, those that are linked by now included, are searched again for partners outside
+    their group so far, until no candidate between groups is left unverified. While there are many, one a text is
+    verified at a time, so a large group of near copies closes before all of its pairs are listed. So the groups are
+    those of all links, but for the pairs that never meet or are ruled out (``miss``). Rows with a null id aren't
+    judged. A repeated id is one document if its texts are the same.
     """
     known = docs.where(F.col(id_col).isNotNull())
     bits, tables = plan(known.count(), similarity, miss)
-    signed = written(_signed(known, id_col, text_col, width, bits, tables), "signed")
-    nodes = signed.groupBy("k1", "k2").agg(F.min("id").cast("bigint").alias("rep"), F.any_value("sig").alias("sig"), F.any_value("words").alias("words"))
-    nodes = written(nodes, "nodes")
-    found = written(_candidates(nodes.select("rep", "sig", "words"), bits, tables, QUICK, similarity), "candidates")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("rep")).where("rep is not null").distinct()
+    signed = written(_signed(known, id_col, text_col, width, bits, tables, similarity), "signed")
+    kept = [F.any_value(c).alias(c) for c in ("s0", "s1", "words", "least")]
+    nodes = written(signed.groupBy("k1", "k2").agg(F.min("id").cast("bigint").alias("rep"), *kept), "nodes")
+    found = written(_candidates(nodes, bits, similarity, "nearest"), "candidates")
+    wanted = found.select(F.col("a").alias("rep"))
     texts = known.select(F.col(id_col).cast("bigint").alias("rep"), text_or_empty(text_col).alias("text"))
     texts = written(sized_join(texts, wanted, ["rep"], "left_semi").groupBy("rep").agg(F.min("text").alias("text")), "texts")
-    first = written(_verified(found.where("b is not null"), texts, width, similarity), "verified")
-    # of the texts with any partner, those that stay so far: the precise search among themselves
-    stay = found.select(F.col("a").alias("rep")).join(first.select(F.col("a").alias("rep")), "rep", "left_anti")
-    rest = written(_signed(texts.join(stay, "rep", "left_semi"), "rep", "text", width, bits, tables, PRECISE).withColumnRenamed("id", "rep"), "rest")
-    again = _candidates(rest, bits, tables, PRECISE, similarity)
-    second = written(_verified(again, texts, width, similarity), "verified")
-    groups = components(first.union(second))
-    discard(found, texts, first, rest, second)
+    rest = written(nodes.join(texts.select("rep"), "rep", "left_semi"), "rest")
+    tried = found.where("b is not null").select("a", "b")
+    links = written(_verified(tried, texts, width, similarity), "verified")
+    groups = written(components(links), "groups")
+    whole = False
+    while not whole:
+        labelled = rest.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
+        labelled = written(labelled, "labelled")
+        one = written(_candidates(labelled, bits, similarity, "one"), "open")
+        n_open, meetings = one.agg(F.count("*"), F.sum("n")).first()
+        if not n_open:
+            discard(labelled, one)
+            break
+        whole = meetings <= OPEN * 2 * tables * n_open
+        if whole:
+            pairs = _candidates(labelled, bits, similarity, "all")
+        else:
+            pairs = one.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = written(_verified(fresh, texts, width, similarity), "verified")
+        # picks that link little won't close the rest: the remaining pairs are verified as they are
+        if not whole and more.count() * 10 < n_open:
+            last = written(_candidates(labelled, bits, similarity, "all").join(tried.union(fresh), ["a", "b"], "left_anti"), "pairs")
+            more, whole = more.union(written(_verified(last, texts, width, similarity), "verified")), True
+        tried, links = tried.union(fresh), links.union(more)
+        groups = written(components(links), "groups")
+        discard(labelled, one)
+    discard(texts, rest)
     roots = nodes.select("k1", "k2", "rep").join(groups, nodes["rep"] == groups["node"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("keeper"))
     gone = signed.select("id", "k1", "k2").join(roots, ["k1", "k2"]).where(F.col("id") != F.col("keeper"))
     return gone.select(F.col("id").alias(id_col), "keeper")

@@ -53,3 +53,21 @@ def test_families_around_the_threshold(spark):
     want, got = wanted(texts), found(spark, texts)
     assert len(want) > 500 and not set(got) - set(want) and len(set(want) - set(got)) <= 0.005 * len(want)
     assert sum(got.get(i) != k for i, k in want.items()) <= 0.01 * len(want)
+
+
+def test_pairs_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SMALL", 1)  # every bucket is a large one
+    # five edits each, on lines over 13 points: any two texts share one place at most and are just below 0.8, but for twins
+    rng = random.Random(4)
+    base, texts = text(rng, 400), {}
+    for k in range(169):
+        words = list(base)
+        places = [WIDTH * (1 + 13 * c + (k // 13 * c + k) % 13) for c in range(5)]
+        for at in places:
+            words[at] = f"x{rng.randrange(10**9)}"
+        texts[2 * k] = " ".join(words)
+        if k >= 120:
+            words[places[0]] = f"twin{k}"
+            texts[2 * k + 1] = " ".join(words)
+    want, got = wanted(texts), found(spark, texts)
+    assert want == {2 * k + 1: 2 * k for k in range(120, 169)} and got == want

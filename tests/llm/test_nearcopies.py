@@ -71,3 +71,13 @@ def test_pairs_in_large_buckets(spark, monkeypatch):
             texts[2 * k + 1] = " ".join(words)
     want, got = wanted(texts), found(spark, texts)
     assert want == {2 * k + 1: 2 * k for k in range(120, 169)} and got == want
+
+
+def test_repeated_passages_and_few_shingles(spark):
+    rng, texts = random.Random(5), {}
+    for k in range(300):
+        p, q, short = text(rng, 100), text(rng, 100), text(rng, 9)
+        texts[10 * k], texts[10 * k + 1] = " ".join(p + q), " ".join(p * 10 + q)
+        texts[10 * k + 2], texts[10 * k + 3] = " ".join(short[:8]), " ".join(short)
+    want, got = wanted(texts), found(spark, texts)
+    assert len(want) == 600 and got == want

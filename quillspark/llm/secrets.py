@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -20,7 +21,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 #: A name (bare, dotted or quoted), then one of the assignment signs of source and configuration languages.
-_NAME = re.compile(r"""(?<![\w.$-])(["']?)([A-Za-z_][A-Za-z0-9_.-]{0,79})\1[ \t]*(?::=|=>|=|:)(?![=:/~])[ \t]*""", re.ASCII)
+_NAME = re.compile(r"""(?<![\w.$-])(["']?)([A-Za-z_][A-Za-z0-9_.-]*+)\1[ \t]*(?::=|=>|=|:)(?![=:/~])[ \t]*""", re.ASCII)
 _STRING = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`""")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=$@!%^&*~{}-]+")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*", re.ASCII)
@@ -28,6 +29,9 @@ _PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*")
 _INSERT = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)")
 _CASES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
+#: Longest value that is copied where its name is used, and signs kept of both ends of a longer one.
+COPIED, ENDS = 4096, 64
+
 #: How far a word of a target's name makes its value a secret.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9,
@@ -61,64 +65,113 @@ def name_score(name: str) -> float:
     return 1 - math.prod(1 - SENSITIVE.get(w, 0.0) for w in set(words))
 
 
-def literal_score(value: str) -> float:
+class Long(NamedTuple):
+    """What scores need of a value too long to copy at each use: values built of names can double with each line."""
+
+    n: int
+    counts: Counter
+    head: str
+    tail: str
+    url: bool  # holds ://
+    inner: bool  # a space between other signs
+    lead: bool  # a space before all other signs
+    trail: bool  # a space after them
+    blank: bool  # white space only
+
+
+def _long(x: str | Long) -> Long:
+    if isinstance(x, Long):
+        return x
+    inside = x.strip()
+    lead, trail = x[: len(x) - len(x.lstrip())], x[len(x.rstrip()) :]
+    return Long(len(x), Counter(x), x[:ENDS], x[-ENDS:], "://" in x, " " in inside, " " in lead, " " in trail, not inside)
+
+
+def _joined(a: Long, b: Long) -> Long:
+    head, tail = (a.head + b.head)[:ENDS] if a.n < ENDS else a.head, (a.tail + b.tail)[-ENDS:] if b.n < ENDS else b.tail
+    inner = a.inner or b.inner or not (a.blank or b.blank) and (a.trail or b.lead)
+    lead, trail = a.lead or a.blank and b.lead, b.trail or b.blank and a.trail
+    return Long(a.n + b.n, a.counts + b.counts, head, tail, a.url or b.url or "://" in a.tail[-2:] + b.head[:2], inner, lead, trail, a.blank and b.blank)
+
+
+def _value(parts: list[str | Long]) -> str | Long:
+    """The parts as one: a string if it is short, else what scores need of it, over its whole length."""
+    if all(isinstance(x, str) for x in parts) and sum(map(len, parts)) <= COPIED:
+        return "".join(parts)
+    return functools.reduce(_joined, map(_long, parts))
+
+
+def literal_score(value: str | Long) -> float:
     """0 to 1: how much a value looks like generated material rather than a word, a path or a placeholder."""
-    n = len(value)
-    if n < 6 or PLACEHOLDERS.match(value) or "://" in value or " " in value.strip():
+    if isinstance(value, Long):
+        # a placeholder longer than both ends shows in them and in the signs there are
+        n, counts, shape, plain = value.n, value.counts, value.head + "".join(value.counts) + value.tail, value.url or value.inner
+    else:
+        n, counts, shape, plain = len(value), Counter(value), value, "://" in value or " " in value.strip()
+    if n < 6 or PLACEHOLDERS.match(shape) or plain:
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n)
     classes = sum(any(test(c) for c in counts) for test in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
-    return min(1.0, entropy / 4) * (0.4 + 0.3 * min(2, classes - 1)) * min(1.0, 0.5 + n / 24)
+    return min(1.0, entropy / 4) * (0.4 + 0.3 * min(2, classes - 1)) * min(1.0, 0.5 + min(n, 24) / 24)
+
+
+class Source(NamedTuple):
+    """Where a value comes from: places of its own literals, and the sources of the names in it."""
 
+    places: list[tuple[int, int]]
+    names: list[Source]
 
-def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """Name, value and places of the literals of each assignment, in order.
+
+def pairs(text: str) -> Iterator[tuple[str, str | Long, Source]]:
+    """Name, value and source of each assignment, in order.
 
     A value is a chain of string literals, bare words and names joined by a concatenation sign. Names that were
     assigned before stand for their value then (constants propagate, also into ``$name`` and ``${name}``), and the
-    places are those of the literals that it came from.
+    source leads to all literals that it came from. Values and sources are referred to, not copied, so self-references
+    as ``a = a + a`` in a long text don't grow, and nothing is cut.
     """
     if "=" not in text and ":" not in text:
-        return []
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
-    out, at = [], 0
+        return
+    known: dict[str, tuple[str | Long, Source]] = {}
+    at = 0
     while m := _NAME.search(text, at):
         at = m.end()
-        value, places = "", []
+        parts: list[str | Long] = []
+        source = Source([], [])
+
+        def name_or(name: str, raw: str) -> str | Long:
+            if name not in known:
+                return raw
+            source.names.append(known[name][1])
+            return known[name][0]
+
         while True:
             quoted = _STRING.match(text, at)
             if quoted:
                 group = quoted.lastindex or 1
                 raw, span, at = quoted[group], quoted.span(group), quoted.end()
+                done = 0
                 if "$" in raw and group != 2:
                     for x in _INSERT.finditer(raw):
-                        places += known.get(x[1] or x[2], ("", ()))[1]
-                    raw = _INSERT.sub(lambda x: known.get(x[1] or x[2], (x[0], ()))[0], raw)
-                value += raw
-                places.append(span)
+                        parts += [raw[done : x.start()], name_or(x[1] or x[2], x[0])]
+                        done = x.end()
+                parts.append(raw[done:])
+                source.places.append(span)
             elif bare := _BARE.match(text, at):
                 word, at = bare[0], bare.end()
-                name = word.strip("${}")
-                if name in known:
-                    value += known[name][0]
-                    places += known[name][1]
-                else:
-                    value += word
-                    places.append(bare.span())
+                seen = len(source.names)
+                parts.append(name_or(word.strip("${}"), word))
+                if len(source.names) == seen:
+                    source.places.append(bare.span())
             else:
                 break
             plus = _PLUS.match(text, at)
             if not plus or not (_STRING.match(text, plus.end()) or _WORD.match(text, plus.end())):
                 break
             at = plus.end()
-        if not value:
-            continue
-        # a chain of self-references must not grow without bound, as `a = a + a` in a long text would
-        value, places = value[:4096], list(dict.fromkeys(places))[:64]
-        known[m[2]] = (value, tuple(places))
-        out.append((m[2], value, places))
-    return out
+        if value := _value(parts) if any(parts) else "":
+            known[m[2]] = (value, source)
+            yield m[2], value, source
 
 
 def scan(text: str | None, least: float = 0.4) -> list[Span]:
@@ -127,12 +180,20 @@ def scan(text: str | None, least: float = 0.4) -> list[Span]:
     text = text or ""
     found = base_spans(text)
     best: dict[tuple[int, int], Span] = {}
-    for name, value, places in pairs(text):
+    seen: dict[int, Source] = {}
+    for name, value, source in pairs(text):
         s = name_score(name)
         if s and (s := s * literal_score(value)) >= least:
-            for start, end in places:
-                if end > start and (start, end) not in best:
-                    best[start, end] = Span("pair", start, end, name, round(s, 6))
+            open_ = [source]
+            while open_:
+                x = open_.pop()
+                if id(x) in seen:
+                    continue
+                seen[id(x)] = x
+                open_ += x.names
+                for start, end in x.places:
+                    if end > start and (start, end) not in best:
+                        best[start, end] = Span("pair", start, end, name, round(s, 6))
     return sorted([*found, *best.values()], key=lambda x: (x.start, KINDS.index(x.kind), x.end))
 
 

@@ -626,7 +626,7 @@ def dictionary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.plans.dictionary import build
 
     rows = frames(spark, sf_dir)
-    built = build(rows, "frame_text", "event_id", test=200, most_candidates=300)
+    built = build(rows, "frame_text", "event_id", test=200)
     encode, decode = codec.frame_codec({}, built.segment_codes())
     checked = rows.select("frame_text", decode(encode("frame_text")).alias("back"))
     return checked.agg(F.lit("frames").alias("what"), F.count("*").alias("n"), F.count_if(F.col("back") != F.col("frame_text")).alias("failures"))
@@ -636,7 +636,7 @@ def dictionary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.plans.dictionary import build
 
-    return build(frames(spark, sf_dir), "frame_text", "event_id", test=200, most_candidates=300).segments
+    return build(frames(spark, sf_dir), "frame_text", "event_id", test=200).segments
 
 
 @query("select 'za' || lpad(n::varchar, 4, '0') as code, md5(t) as digest from (select t, row_number() over (order by f, t) as n from (select text as t, min(item_id) as f from benchmark group by 1))")

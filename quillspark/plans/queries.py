@@ -686,8 +686,8 @@ def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def score_answer_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = replies(spark, sf_dir)
-    near = F.when(F.col("turn") % 4 == 1, F.col("text")).when(F.col("turn") % 4 == 3, F.concat(F.lit("x "), F.col("text"))).otherwise(F.concat(F.substring("text", 1, 60), F.lit("zz")))
-    return rows.select("conv_id", "turn", python.score_answer(near, F.substring("text", 1, 64)).alias("verdict"))
+    near = F.when(F.col("turn") % 4 == 1, F.col("text")).when(F.col("turn") % 4 == 3, F.concat(F.lit("x "), F.col("text"))).otherwise(F.concat(F.expr("left(text, length(text) - 4)"), F.lit("zz")))
+    return rows.select("conv_id", "turn", python.score_answer(near, F.col("text")).alias("verdict"))
 
 
 @query("select event_id, case when event_id % 3 = 2 then null else '{\"a\": [1, \"]\"], \"k\": ' || json_extract_string(props, '$.k') || '}' end as block, case when event_id % 3 = 2 then 'unbalanced' end as error from events")

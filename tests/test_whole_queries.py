@@ -7,3 +7,11 @@ def test_segment_select_considers_all_candidates(spark, sf_dir):
     rows = queries.frames(spark, sf_dir)
     assert got == {tuple(r) for r in build(rows, "frame_text", "event_id", test=200).segments.collect()}
     assert len(got) > build(rows, "frame_text", "event_id", test=200, most_candidates=300).segments.count()
+
+
+def test_score_answer_fuzzy_compares_whole_texts(spark, tmp_path):
+    text = " ".join(f"word{k}" for k in range(100))
+    rows = [(1, t, "assistant" if t % 2 else "user", text) for t in range(4)] + [(2, t, "user" if t % 2 else "assistant", text) for t in range(1, 5)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.verdict for r in queries.score_answer_fuzzy(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): "fuzzy", (1, 2): "fuzzy", (2, 1): "exact", (2, 3): "contains"}

@@ -1,185 +1,218 @@
-"""Cross-entropy difference scores from matched target and background bigram models over one vocabulary."""
+"""Cross-entropy difference scores from matched target and background bigram models over one vocabulary.
+
+All words and pairs of the corpus are counted and used, however rare. Texts are tokenised once, into blocks of a
+bounded number of tokens; a block hands on each of its distinct words and pairs once, with its counts. Sums over all
+blocks are taken by key, and each block gets back the sums of its own keys, with which it scores its texts. So the
+tables grow with the corpus, no task holds more than a block's share of them, and nothing is broadcast.
+"""
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm._shared import fresh, sized_join, slices, trim, written
 
 _WORD = re.compile(r"\w+")
-#: A word is in the vocabulary if it makes up at least this share of all words, or of the target's: at most 2 / share
-#: words, whatever the size of the corpus. All others are one unknown word.
-WORD_SHARE = 2e-5
-#: The same for pairs of words; rarer pairs are left to the words' own probabilities.
-PAIR_SHARE = 2e-6
 #: Words that the lower order counts for: pairs after a word, and each word of the vocabulary.
-PRIOR_PAIRS, PRIOR_WORD = 50.0, 0.5
-#: Distinct words, or pairs, that a task gathers before it hands its counts on; the only effect is on memory.
-FLUSH_WORDS, FLUSH_PAIRS = 300_000, 2_000_000
+PRIOR_PAIRS, PRIOR_WORD = 8.0, 0.5
+#: Tokens of a block, about; a longer text is a block of its own. The only effect is on memory and on what is shuffled.
+BLOCK_TOKENS = 2_000_000
+#: What rows of a block hold: counts of words, of words that another follows, of pairs; documents.
+WORDS, FIRSTS, PAIRS, TEXTS = range(4)
+_ONE = np.uint64(1)
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-class Model(NamedTuple):
-    """Both models: log probabilities of kept pairs, and what a pair that wasn't kept gets from its two words."""
-
-    vocabulary: dict[str, int]  # from 1; 0 is the unknown word, the last number a text's start
-    pairs: np.ndarray  # sorted codes: first word * size + second word
-    logs: np.ndarray  # of pairs: target, background
-    word_logs: np.ndarray  # log probability of the second word
-    after_logs: np.ndarray  # log of the lower order's part after the first word
-
-    @property
-    def size(self) -> int:
-        return len(self.vocabulary) + 2
+class _Numbers(dict):
+    """A number for each new word, from 1; 0 is the start of a text."""
 
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self) + 1
+        return n
 
-def _codes(model_vocabulary: dict[str, int], text: str | None) -> np.ndarray:
-    ids = np.fromiter(map(model_vocabulary.get, w := words(text), [0] * len(w)), dtype=np.int64, count=len(w))
-    size = len(model_vocabulary) + 2
-    return np.concatenate([[size - 1], ids[:-1]]) * size + ids if len(ids) else ids
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
 
-def word_counts(flagged: DataFrame, text: str, target: str) -> DataFrame:
-    """``word``, ``n`` in all documents, ``t`` in those of the target."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, t = Counter(), Counter()
+def _firsts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The word before each token, 0 at the start of each text; texts lie one after another."""
+    before = np.concatenate([[0], tokens[:-1]])[: len(tokens)]
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    before[starts] = 0
+    return before
 
-        def counted():
-            keys = list(n)
-            return pa.RecordBatch.from_pydict({"word": pa.array(keys, pa.string()), "n": pa.array([n[k] for k in keys], pa.int64()), "t": pa.array([t[k] for k in keys], pa.int64())})
 
-        for batch in batches:
-            for part in slices(batch, 0):
-                for text_, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    w = words(text_)
-                    n.update(w)
-                    if wanted:
-                        t.update(w)
-                if len(n) > FLUSH_WORDS:
-                    yield counted()
-                    n.clear()
-                    t.clear()
-        yield counted()
-        del n, t
-        trim()
+def _schema(id_type: str) -> str:
+    return f"block bigint, kind int, i bigint, key bigint, n bigint, t bigint, id {id_type}, good boolean, tokens binary"
 
-    return flagged.select(text, target).mapInArrow(run, "word string, n bigint, t bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
-
-def pair_counts(flagged: DataFrame, text: str, target: str, vocabulary: dict[str, int]) -> DataFrame:
-    """``code`` of a pair of words, ``n`` in all documents, ``t`` in those of the target."""
-    shared = flagged.sparkSession.sparkContext.broadcast(vocabulary)
+def blocks(flagged: DataFrame, id_col: str, text_col: str, target: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Rows of each block: its distinct words, firsts and pairs (``i``, 64-bit ``key``, count ``n``, in the target ``t``), and
+    its documents (``id``, ``good``: in the target, ``tokens``: numbers of the block's words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        total = 0
-
-        def counted():
-            pairs = np.concatenate(held) if held else np.zeros(0, dtype=np.int64)
-            codes, place, n = np.unique(pairs >> 1, return_inverse=True, return_counts=True)
-            t = np.bincount(place, weights=pairs & 1, minlength=len(codes)).astype(np.int64)
-            return pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "n": pa.array(n, pa.int64()), "t": pa.array(t, pa.int64())})
-
+        part = TaskContext.get().partitionId() << 24
+        n_blocks = 0
+        numbers, texts, ids, good, total = _Numbers(), [], [], [], 0
+
+        def rows(kind: int, index: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+            own = {"block": pa.array(np.full(len(index), part + n_blocks)), "kind": pa.array(np.full(len(index), kind, np.int32)), "i": pa.array(index.astype(np.int64))} | columns
+            return pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(len(index), f.type)) for f in fields], schema=fields)
+
+        def counted(kind: int, index: np.ndarray, keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+            """The kind is a part of the key, so a word isn't taken for a pair."""
+            keys = _mixed(keys + np.uint64(kind)).view(np.int64)
+            return rows(kind, index, key=pa.array(keys), n=pa.array(n.astype(np.int64)), t=pa.array(t.astype(np.int64)))
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            lengths = np.array([len(x) for x in texts])
+            tokens = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64)
+            before, wanted = _firsts(tokens, lengths), np.repeat(np.array(good, dtype=np.int64), lengths)
+            size = len(numbers) + 1
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 1) for w in ("", *numbers)), dtype=np.uint64, count=size)
+            for kind, place in ((WORDS, tokens), (FIRSTS, before)):
+                n = np.bincount(place, minlength=size)
+                have = np.flatnonzero(n)
+                yield counted(kind, have, hashes[have], n[have], np.bincount(place, weights=wanted, minlength=size)[have])
+            codes, at, n = np.unique(before << 32 | tokens, return_inverse=True, return_counts=True)
+            keys = _mixed(hashes[codes >> 32]) * np.uint64(3) + hashes[codes & 0xFFFFFFFF]
+            yield counted(PAIRS, np.arange(len(codes)), keys, n, np.bincount(at, weights=wanted, minlength=len(codes)))
+            for k in range(0, len(texts), 2000):
+                upto = min(k + 2000, len(texts))
+                held = pa.array([x.astype(np.uint32).tobytes() for x in texts[k:upto]], pa.binary())
+                yield rows(TEXTS, np.arange(k, upto), id=pa.concat_arrays(ids).slice(k, upto - k), good=pa.array(good[k:upto], pa.bool_()), tokens=held)
+
+        fields = None
         for batch in batches:
-            for part in slices(batch, 0):
-                for text_, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    held.append(_codes(shared.value, text_) << 1 | bool(wanted))
-                    total += len(held[-1])
-                    if total > FLUSH_PAIRS:
-                        yield counted()
-                        held.clear()
-                        total = 0
-        yield counted()
-        held.clear()
+            for piece in slices(batch, 1):
+                fields = pa.schema([("block", pa.int64()), ("kind", pa.int32()), *((c, pa.int64()) for c in ("i", "key", "n", "t")), ("id", piece.schema.field(0).type), ("good", pa.bool_()), ("tokens", pa.binary())])
+                done = 0
+                for k, (text, flag) in enumerate(zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True)):
+                    w = words(text)
+                    if total and total + len(w) > block_tokens:
+                        ids.append(piece.column(0).slice(done, k - done))
+                        yield from flushed()
+                        n_blocks, done, total = n_blocks + 1, k, 0
+                        numbers, texts, ids, good = _Numbers(), [], [], []
+                    texts.append(np.fromiter(map(numbers.__getitem__, w), dtype=np.int32, count=len(w)))
+                    good.append(bool(flag))
+                    total += len(w)
+                ids.append(piece.column(0).slice(done))
+        if texts:
+            yield from flushed()
+        numbers, texts, ids, good = _Numbers(), [], [], []
         trim()
 
-    return flagged.select(text, target).mapInArrow(run, "code bigint, n bigint, t bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    kind = flagged.schema[id_col].dataType.simpleString()
+    return flagged.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(target).alias("good")).mapInArrow(run, _schema(kind))
 
 
-def _kept(counts: DataFrame, key: str, share: float) -> tuple[list, np.ndarray, np.ndarray, int, int]:
-    """Of written counts: what makes up the share in either corpus (at most 2 / share rows), and both totals."""
-    n, t = counts.agg(F.sum("n"), F.sum("t")).first()
-    n, t = n or 0, t or 0
-    enough: Column = (F.col("n") >= max(1.0, share * n)) | ((F.col("t") > 0) & (F.col("t") >= share * t))
-    rows = counts.where(enough).orderBy(key).toPandas()
-    return rows[key].tolist(), rows["n"].to_numpy(np.float64), rows["t"].to_numpy(np.float64), n, t
+def _own(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How often each token's place stands in the token's own document."""
+    _, at, n = np.unique(doc * (int(place.max(initial=0)) + 1) + place, return_inverse=True, return_counts=True)
+    return n[at].astype(np.float64)
 
 
-def train(flagged: DataFrame, text: str, target: str, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Model:
-    """Count words and pairs over all documents, and model the target and the whole corpus alike.
+def losses(tokens: np.ndarray, lengths: np.ndarray, good: np.ndarray, sums: list[np.ndarray], totals: tuple[int, int, int]) -> np.ndarray:
+    """Loss of each token under the target's and the background's model, in nats, in two columns.
 
-    The models share vocabulary, pairs and priors, and the background's counts are scaled to the target's number of
-    words, so a difference of losses doesn't come from the target being the smaller corpus. Each is a distribution:
-    (count of the pair + PRIOR_PAIRS * probability of the word) / (kept pairs after the first word + PRIOR_PAIRS).
+    ``sums`` has the counts of words, firsts and pairs (columns: all documents, target), ``totals`` the number of distinct
+    words, of tokens, and of the target's tokens. Each document's own counts are taken out of both models.
     """
-    vocab, n, t, n_all, t_all = _kept(written(word_counts(flagged, text, target), "words"), "word", word_share)
-    vocabulary = {w: i + 1 for i, w in enumerate(vocab)}
-    size = len(vocabulary) + 2
-    scale = t_all / n_all if n_all else 0.0
-    codes, pn, pt, _, _ = _kept(written(pair_counts(flagged, text, target, vocabulary), "pairs"), "code", pair_share)
-    codes = np.array(codes, dtype=np.int64)
-    first, second = codes // size, codes % size
-    logs, word_logs, after_logs = [], [], []
-    for counts, rest, pairs, by in ((t, t_all - t.sum(), pt, 1.0), (n, n_all - n.sum(), pn, scale)):
-        single = np.concatenate([[rest], counts, [0.0]]) * by + PRIOR_WORD
-        single[-1] = 0.0  # a start is never predicted
-        p = single / single.sum()
-        after = np.bincount(first, weights=pairs * by, minlength=size) + PRIOR_PAIRS
-        logs.append(np.log((pairs * by + PRIOR_PAIRS * p[second]) / after[first]))
-        with np.errstate(divide="ignore"):
-            word_logs.append(np.log(p))
-        after_logs.append(math.log(PRIOR_PAIRS) - np.log(after))
-    return Model(vocabulary, codes, np.array(logs).T.copy(), np.array(word_logs).T.copy(), np.array(after_logs).T.copy())
-
-
-def losses(model: Model, text: str | None) -> np.ndarray:
-    """Loss of each word under the target's and the background's model, in nats."""
-    codes = _codes(model.vocabulary, text)
-    at = np.searchsorted(model.pairs, codes)
-    known = at < len(model.pairs)
-    known[known] = model.pairs[at[known]] == codes[known]
-    out = model.word_logs[codes % model.size] + model.after_logs[codes // model.size]
-    out[known] = model.logs[at[known]]
-    return -out
-
-
-def scores(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> DataFrame:
+    size, n_all, t_all = totals
+    before = _firsts(tokens, lengths)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    _, pair = np.unique(before << 32 | tokens, return_inverse=True)
+    mine = [(sums[WORDS][tokens], _own(doc, tokens)), (sums[FIRSTS][before], _own(doc, before)), (sums[PAIRS][pair], _own(doc, pair))]
+    out = []
+    for column, inside, by, total in ((1, good[doc].astype(np.float64), 1.0, t_all), (0, np.ones(len(doc)), t_all / n_all if n_all else 0.0, n_all)):
+        word, first, both = ((n[:, column] - own * inside) * by for n, own in mine)
+        rest = (total - lengths[doc] * inside) * by
+        p = (word + PRIOR_WORD) / (rest + PRIOR_WORD * size)
+        out.append(-np.log((both + PRIOR_PAIRS * p) / (first + PRIOR_PAIRS)))
+    return np.array(out).T
+
+
+def scores(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``n_tokens``, ``target_loss``, ``background_loss``, ``difference`` (means, nats).
 
-    ``target_ids`` has the ids (``id_col``) of the target's documents; the background is the whole corpus. A low
-    difference means that a text is more like the target. A text without words has null losses and a null difference.
-    Without a document in the target both models are the same and all differences are 0. Ids may repeat; rows with a
-    null id are scored, and never belong to the target. Nothing but counts is shuffled.
+    ``target_ids`` has the ids (``id_col``) of the target's documents; the background is the whole corpus. The models
+    share their vocabulary (all words of the corpus) and priors, and the background's counts are scaled to the target's
+    number of words, so a difference doesn't come from the target being the smaller corpus. Each is a distribution:
+    (count of the pair + PRIOR_PAIRS * probability of the word) / (pairs after the first word + PRIOR_PAIRS). A document
+    is scored by what the other documents say: its own counts are taken out of both models, else a document of the
+    target would look like the target for its own rare words alone. Copies of it still count.
+
+    A low difference means that a text is more like the target. A text without words has null losses and a null
+    difference. Without a document in the target both models are the same and all differences are 0. Rows that repeat
+    an id are documents of their own; rows with a null id are scored, and never belong to the target. Words and pairs
+    are told apart by 64-bit hashes. Texts aren't shuffled, but for the join that marks the target if it has more
+    documents than ``sized_join`` broadcasts.
     """
     (flag,) = fresh(docs, "target")
     wanted = target_ids.select(id_col).where(F.col(id_col).isNotNull()).distinct().withColumn(flag, F.lit(True))
-    flagged = sized_join(docs.select(id_col, text_col), wanted, [id_col])
-    model = docs.sparkSession.sparkContext.broadcast(train(flagged, text_col, flag, word_share, pair_share))
+    held = written(blocks(sized_join(docs.select(id_col, text_col), wanted, [id_col]), id_col, text_col, flag, block_tokens), "blocks")
+    of_words = held.where(F.col("kind") == WORDS).groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    size, n_all, t_all = (int(x or 0) for x in of_words.agg(F.count("*"), F.sum("n"), F.sum("t")).first())
+    same = Window.partitionBy("key")  # at most a row per block and key
+    summed = held.where(F.col("kind") != TEXTS).select("block", "kind", "i", "key", "n", "t").withColumns({"n": F.sum("n").over(same), "t": F.sum("t").over(same)})
+    kind = docs.schema[id_col].dataType
+    summed = summed.select("block", "kind", "i", "n", "t", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("boolean").alias("good"), F.lit(None).cast("binary").alias("tokens"))
+    both = summed.unionByName(held.where(F.col("kind") == TEXTS).select("block", "kind", "i", "n", "t", "id", "good", "tokens"))
+    both = both.repartition("block").sortWithinPartitions("block", "kind", "i")
+
+    def scored(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """A whole block; the order is by kind and number."""
+        table = pa.Table.from_batches(batches)
+        kinds = table.column("kind").to_numpy()
+        cuts = np.searchsorted(kinds, np.arange(5))
+        n, t, index = (table.column(c).fill_null(0).to_numpy() for c in ("n", "t", "i"))
+        texts = table.slice(int(cuts[TEXTS])).combine_chunks()
+        parts = [np.frombuffer(x, dtype=np.uint32) for x in texts.column("tokens").to_pylist()]
+        lengths = np.array([len(x) for x in parts])
+        tokens = np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.int64)
+        sums = []
+        for k in (WORDS, FIRSTS, PAIRS):
+            own = slice(int(cuts[k]), int(cuts[k + 1]))
+            sums.append(np.zeros((max(int(tokens.max(initial=0)) + 1, int(index[own].max(initial=0)) + 1), 2)))
+            sums[-1][index[own]] = np.stack([n[own], t[own]], axis=1)
+        good = texts.column("good").to_numpy(zero_copy_only=False).astype(bool)
+        each = losses(tokens, lengths, good, sums, (size, n_all, t_all))
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        none = lengths == 0
+        means = [pa.array(np.bincount(doc, weights=each[:, k], minlength=len(lengths)) / np.maximum(lengths, 1), mask=none) for k in (0, 1)]
+        ids = texts.column("id")
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        return pa.RecordBatch.from_arrays([ids, pa.array(lengths.astype(np.int64)), *means, pa.compute.subtract(*means)], names=[id_col, "n_tokens", "target_loss", "background_loss", "difference"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
         for batch in batches:
-            for part in slices(batch, 1):
-                means, n = [], []
-                for text in part.column(1).to_pylist():
-                    each = losses(model.value, text)
-                    n.append(len(each))
-                    means.append(each.mean(axis=0) if len(each) else (None, None))
-                target, background = ([None if m[k] is None else float(m[k]) for m in means] for k in (0, 1))
-                differ = [None if a is None else a - b for a, b in zip(target, background, strict=True)]
-                yield pa.RecordBatch.from_pydict({id_col: part.column(0), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(target, pa.float64()), "background_loss": pa.array(background, pa.float64()), "difference": pa.array(differ, pa.float64())})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, target_loss double, background_loss double, difference double")
+            own = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if rows and b > a and rows[-1].column("block")[0].as_py() != own[a]:
+                    yield scored(rows)
+                    rows = []
+                if b > a:
+                    rows.append(batch.slice(a, b - a))
+        if rows:
+            yield scored(rows)
+        rows = []
+        trim()
+
+    return both.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, n_tokens bigint, target_loss double, background_loss double, difference double")

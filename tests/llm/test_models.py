@@ -25,54 +25,51 @@ def corpus(n=240, seed=1):
     return out
 
 
-def plain_scores(rows, wanted, word_share, pair_share):
-    """The models by plain counting."""
-    texts = [(i, lm.words(t), i in wanted) for i, t, *_ in rows]
-    n, t = Counter(), Counter()
-    for _, w, good in texts:
+def plain_scores(rows, wanted):
+    """The models by plain counting, each document without its own counts."""
+    docs = [(i, lm.words(t), i in wanted) for i, t, *_ in rows]
+    pairs = lambda w: list(zip(["<s>", *w[:-1]], w, strict=True)) if w else []
+    n, t, pn, pt = Counter(), Counter(), Counter(), Counter()
+    for _, w, good in docs:
         n.update(w)
+        pn.update(pairs(w))
         t.update(w if good else [])
-    n_all, t_all = sum(n.values()), sum(t.values())
-    vocab = {w for w in n if n[w] >= max(1.0, word_share * n_all) or (t[w] and t[w] >= word_share * t_all)}
-    ids = lambda w: [x if x in vocab else None for x in w]
-    pn, pt = Counter(), Counter()
-    for _, w, good in texts:
-        p = list(zip(["<s>", *ids(w)[:-1]], ids(w), strict=True)) if w else []
-        pn.update(p)
-        pt.update(p if good else [])
-    pairs = {p for p in pn if pn[p] >= max(1.0, pair_share * sum(pn.values())) or (pt[p] and pt[p] >= pair_share * sum(pt.values()))}
-    scale = t_all / n_all
-
-    def model(single, double, by, total):
-        base = {w: single[w] * by + lm.PRIOR_WORD for w in vocab} | {None: (total - sum(single[w] for w in vocab)) * by + lm.PRIOR_WORD}
-        mass = sum(base.values())
-        after = Counter()
-        for p in pairs:
-            after[p[0]] += double[p] * by
-        return lambda a, b: -math.log(((double[a, b] * by if (a, b) in pairs else 0) + lm.PRIOR_PAIRS * base[b] / mass) / (after[a] + lm.PRIOR_PAIRS))
-
-    target, background = model(t, pt, 1.0, t_all), model(n, pn, scale, n_all)
-    out = {}
-    for i, w, _ in texts:
-        p = list(zip(["<s>", *ids(w)[:-1]], ids(w), strict=True)) if w else []
-        out[i] = (len(w), *(np.mean([m(a, b) for a, b in p]) if p else None for m in (target, background)))
+        pt.update(pairs(w) if good else [])
+    scale = sum(t.values()) / sum(n.values())
+    out = []
+    for i, w, good in docs:
+        means = []
+        for single, double, by, own in ((t, pt, 1.0, good), (n, pn, scale, True)):
+            one, two = single.copy(), double.copy()
+            if own:
+                one.subtract(w)
+                two.subtract(pairs(w))
+            mass = sum(one.values()) * by + lm.PRIOR_WORD * len(n)
+            after = Counter()
+            for (a, _), k in two.items():
+                after[a] += k * by
+            loss = [-math.log((two[a, b] * by + lm.PRIOR_PAIRS * (one[b] * by + lm.PRIOR_WORD) / mass) / (after[a] + lm.PRIOR_PAIRS)) for a, b in pairs(w)]
+            means.append(np.mean(loss) if loss else None)
+        out.append((i, len(w), *means))
     return out
 
 
-@pytest.mark.parametrize("shares", [(2e-5, 2e-6), (0.05, 0.01)])
-def test_lm_against_plain_counts(spark, shares):
-    rows = [*corpus(), (900, None, "s", "en"), (901, "unseen words here", "s", "en"), (902, "", None, None)]
-    wanted = {i for i in range(0, 240, 3)}
+@pytest.mark.parametrize("block_tokens", [lm.BLOCK_TOKENS, 50])
+def test_lm_against_plain_counts(spark, block_tokens):
+    """All counts, of the rarest words and pairs too: nulls, empty texts, repeated ids and rows, a very long text."""
+    rare = [(700 + i, f"rare{i} rare{i + 1} pair once twice", "s", "en") for i in range(30)]
+    rows = [*corpus(), *rare, (900, None, "s", "en"), (901, "unseen words here", "s", "en"), (902, "", None, None), (None, "alpha beta", "s", "en"), (901, "another text", "s", "en")]
+    rows += [(903, "Ünïcode ÉTÉ 漢字 alpha", "s", "en"), (904, "long " * 3000 + "alpha beta " * 500, "s", "en"), (5, rows[5][1], "s5", "en")]
+    wanted = {*range(0, 240, 3), 701, 904}
     ids = spark.createDataFrame([(i,) for i in [*wanted, 0, None]], "doc_id bigint")
-    got = {r.doc_id: r for r in lm.scores(frame(spark, rows), ids, word_share=shares[0], pair_share=shares[1]).collect()}
-    want = plain_scores(rows, wanted, *shares)
-    assert set(got) == set(want)
-    for i, (n, a, b) in want.items():
-        r = got[i]
-        assert r.n_tokens == n and (a is None) == (r.difference is None)
-        if a is not None:
-            assert abs(r.target_loss - a) < 1e-9 and abs(r.background_loss - b) < 1e-9 and abs(r.difference - (a - b)) < 1e-9
-    mean = lambda good: np.mean([got[i].difference for i in range(240) if (i % 3 == 0) == good])
+    key = lambda x: tuple((v is not None, v or 0) for v in x)
+    got = sorted((tuple(r) for r in lm.scores(frame(spark, rows), ids, block_tokens=block_tokens).collect()), key=key)
+    want = sorted(((i, n, a, b, None if a is None else a - b) for i, n, a, b in plain_scores(rows, wanted)), key=key)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(g[2:], w[2:], strict=True))
+    by_id = {g[0]: g[4] for g in got}
+    mean = lambda good: np.mean([by_id[i] for i in range(240) if (i % 3 == 0) == good])
     assert mean(True) < mean(False) - 0.2
 
 
@@ -80,17 +77,37 @@ def test_lm_without_target_and_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint")
     assert all(abs(r.difference) < 1e-12 for r in lm.scores(frame(spark, corpus(20)), none).collect())
     assert lm.scores(frame(spark, []), none).count() == 0
-
-
-def test_lm_models_are_distributions(spark):
-    df = frame(spark, corpus()).withColumn("wanted", F.col("doc_id") % 3 == 0)
-    m = lm.train(df, "text", "wanted")
-    for k in (0, 1):
-        for a in range(m.size):
-            p = np.exp(m.word_logs[:, k] + m.after_logs[a, k])
-            mine = m.pairs // m.size == a
-            p[m.pairs[mine] % m.size] = np.exp(m.logs[mine, k])
-            assert abs(p.sum() - 1) < 1e-9
+    assert [r.difference for r in lm.scores(frame(spark, [(1, None, "s", "en")]), none).collect()] == [None]
+
+
+def test_lm_counts_grow_with_the_corpus(spark):
+    """Every distinct word and pair is handed on, however many there are."""
+    rows = [(i, f"w{i} v{i} u{i % 7}", "s", "en") for i in range(500)]
+    held = lm.blocks(frame(spark, rows), "doc_id", "text", "target", 100).groupBy("kind").agg(F.count_distinct("key").alias("n")).collect()
+    assert {r.kind: r.n for r in held if r.kind != lm.TEXTS} == {lm.WORDS: 1007, lm.FIRSTS: 1001, lm.PAIRS: 1500}
+
+
+def test_lm_is_a_distribution():
+    """Over all words after each word, for a document that has no share in the counts."""
+    rng = np.random.default_rng(3)
+    size = 6
+    pairs = rng.integers(0, 9, (size + 1, size + 1, 2)).astype(float)
+    pairs[:, 0] = 0
+    pairs[..., 1] = np.minimum(pairs[..., 0], pairs[..., 1])
+    words_, firsts = pairs.sum(axis=0), pairs.sum(axis=1)
+    for a in range(1, size + 1):
+        total = np.zeros(2)
+        for b in range(1, size + 1):
+            # the document itself is counted in, and taken out again
+            own = pairs.copy()
+            own[0, a] += 1
+            own[a, b] += 1
+            sums = [own.sum(axis=0), own.sum(axis=1), np.array([own[0, a], own[a, b]]) if (0, a) < (a, b) else None]
+            loss = lm.losses(np.array([a, b]), np.array([2]), np.array([True]), sums, (size, int(words_[:, 0].sum()) + 2, int(words_[:, 1].sum()) + 2))
+            scale = (words_[:, 1].sum() + 2) / (words_[:, 0].sum() + 2)
+            assert scale > 0 and firsts.shape == (size + 1, 2)
+            total += np.exp(-loss[1])
+        assert np.allclose(total, 1)
 
 
 def split(df, labels):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
+import operator
 import tempfile
 import uuid
 
@@ -13,8 +15,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows that ``sized_join`` broadcasts; above it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Most rows, and bytes of their values, that ``sized_join`` broadcasts; above either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 
 _tables: dict[str, SparkSession] = {}
 
@@ -69,10 +71,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS, size: int | None = None) -> DataFrame:
-    """Join with ``small`` broadcast if it has at most ``rows`` rows (counted, unless ``size`` tells), shuffled beyond."""
-    n = small.limit(rows + 1).count() if size is None else size
-    return big.join(F.broadcast(small) if n <= rows else small, on, how)
+def _weight(df: DataFrame) -> Column:
+    """Bytes of a row, about: 16 a plain value, and the lengths of texts and arrays."""
+    sizes = [F.lit(16 * len(df.columns)).cast("bigint")]
+    for f, c in zip(df.schema.fields, own_columns(df), strict=True):
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.octet_length(c))
+        elif kind in ("array", "map"):
+            sizes.append(16 * F.greatest(F.size(c), F.lit(0)))
+        elif kind == "struct":
+            sizes.append(F.octet_length(F.to_json(c)))
+    return functools.reduce(operator.add, [F.coalesce(x, F.lit(0)).cast("bigint") for x in sizes])
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with ``small`` broadcast if it has at most ``rows`` rows and ``BROADCAST_BYTES`` (counted), shuffled beyond."""
+    n, weight = small.select(_weight(small).alias("w")).limit(rows + 1).agg(F.count("*"), F.sum("w")).first()
+    return big.join(F.broadcast(small) if n <= rows and (weight or 0) <= BROADCAST_BYTES else small, on, how)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

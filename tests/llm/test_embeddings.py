@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from quillspark.llm import embeddings
 
@@ -70,16 +71,33 @@ def test_empty(spark):
     assert embeddings.clusters(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_estimates_bound_the_cosine():
+@pytest.mark.parametrize("dim", [64, 100, 24, 7])
+def test_estimates_bound_the_cosine(dim):
     rng = np.random.default_rng(3)
-    u = embeddings.unit(rng.standard_normal((2000, 64)))
-    v = embeddings.unit(u + 0.3 * rng.standard_normal((2000, 64)) / 8)
-    z = np.concatenate([u, v]) @ embeddings.rotations(64, 1).T
+    u = embeddings.unit(rng.standard_normal((2000, dim)))
+    v = embeddings.unit(u + 0.3 * rng.standard_normal((2000, dim)) / dim**0.5)
+    codes = embeddings.Codes(dim, 10, 20)
+    packed = codes.encode(np.concatenate([u, v]), embeddings.SEED)
+    assert packed.shape == (4000, codes.width) and codes.width < 4 * dim or dim < 64
+    codes.read(packed)
     i, j = np.arange(2000), np.arange(2000, 4000)
-    assert (embeddings._estimates(z, i, j, 5.0) >= (u * v).sum(axis=1)).all()
-    code = np.where(z > 0, 1.0, -1.0) / 8
-    estimate = (code[i] * z[j]).sum(axis=1) / (np.abs(z[i]).sum(axis=1) / 8)
-    assert abs((estimate - (u * v).sum(axis=1)).mean()) < 0.005  # unbiased
+    true = (u * v).sum(axis=1)
+    assert (codes.bounds(i, j, 5.0) >= true).mean() > 0.999
+    assert abs((codes.estimates(i, j) - true).mean()) < 0.01 and abs((codes.estimates(j, i) - true).mean()) < 0.01  # unbiased
+    apart = codes.estimates(i, np.roll(j, 1)) - (u * np.roll(v, 1, axis=0)).sum(axis=1)
+    assert abs(apart.mean()) < 0.02
+    if dim >= 64:
+        assert (codes.bounds(i, np.roll(j, 1), 5.0) >= 0.98).mean() < 0.01  # what isn't near is ruled out
+
+
+def test_few_cosines_are_computed_exactly(spark):
+    x = made(3000, 64, 5, 300)
+    df = spark.createDataFrame([(i, 0, v.tolist(), 1) for i, v in enumerate(x)], "rep bigint, grp bigint, vec array<float>, mult bigint")
+    part = embeddings.links(df, 0.98).toPandas()
+    u = embeddings.unit(x.astype(float))
+    linked = int((np.triu(u @ u.T, 1) >= 0.98).sum())
+    assert part["links"].sum() == 2 * linked
+    assert linked <= part["n_exact"].sum() < 2 * linked + 1000  # of 5 million pairs
 
 
 def test_plan_keeps_the_chance_of_a_miss():

@@ -34,8 +34,11 @@ SMALL = 64
 #: Texts of at most so many distinct shingles meet each other by shingles, exactly. Of those, a bit differs with at most
 #: this chance (4 of 5 shingles shared; 0.15 for many).
 FEW, FEW_FLIP = 64, 0.1875
-#: Open candidate pairs a text up to which all are verified at once; beyond it one a text is, and what that links leaves.
-OPEN = 4
+#: Texts of a cluster of candidates that are compared in one piece, at least and at most; larger clusters are cut into
+#: blocks, of about a ``SPREAD``-th, whose pairs are dealt out to different tasks. A block has so many bytes of text at most.
+LEAST_BLOCK, MOST_BLOCK, SPREAD, BLOCK_BYTES = 128, 1024, 64, 16_000_000
+#: Edges that a task gathers before it reduces them to one a text.
+EDGES = 1_000_000
 
 
 def flip(similarity: float) -> float:
@@ -138,8 +141,7 @@ def _candidates(nodes: DataFrame, bits: int, similarity: float, how: str) -> Dat
 
     - nearest: a row for each that has a partner or is in a large bucket: ``a``, and as ``b`` the nearest of those before
       it (null if all come after). A large bucket is searched by leaders: those texts, by id, that aren't near one before.
-    - one: ``a``, as ``b`` any one partner, and the number ``n`` of its meetings with partners.
-    - all: every pair ``a`` > ``b``.
+    - open: edges ``a``, ``b`` that connect what the pairs of texts with other ``label``s connect, a few for each text.
     """
     most, most_few = most_away(flip(similarity)), most_away(max(FEW_FLIP, flip(similarity)))
     balls = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.when(k < bits, F.call_function("shiftleft", F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint")))
@@ -209,18 +211,16 @@ def _candidates(nodes: DataFrame, bits: int, similarity: float, how: str) -> Dat
         first = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
         return a[first], b[first], away[first]
 
-    def any_one(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, b = np.concatenate([a, b]), np.concatenate([b, a])
-        rank = _mixed(a.view(np.uint64) ^ _mixed(b.view(np.uint64), 1), 2).view(np.int64)
-        order = np.lexsort((rank, a))
-        starts = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]]))
-        pick = order[starts]
-        return a[pick], b[pick], rank[pick], np.diff(np.concatenate([starts, [len(a)]]))
+    def reduced(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Edges from each text to the least one that the pairs connect it with."""
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+        texts, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        return texts, texts[_roots(len(texts), place[: len(a)], place[len(a) :])]
 
     def batch_of(*columns: np.ndarray | pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
 
-    def flushed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flushed(held: list[pa.RecordBatch], edges: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
         bucket, reps, s0, s1 = (table.column(c).to_numpy() for c in ("bucket", "rep", "s0", "s1"))
         labels = table.column("label").to_numpy() if how != "nearest" else None
@@ -235,37 +235,53 @@ def _candidates(nodes: DataFrame, bits: int, similarity: float, how: str) -> Dat
                 yield batch_of(*nearest(a, b, away))
                 yield batch_of(other, pa.nulls(len(other), pa.int64()), pa.nulls(len(other), pa.int32()))
             return
+        total = sum(len(x) for x, _ in edges)
         for a, b, _ in found:
-            if how == "one" and len(a):
-                yield batch_of(*any_one(a, b))
-            elif len(a):
-                yield batch_of(*np.unique(np.stack([a, b], axis=1), axis=0).T.copy())
+            edges.append((a, b))
+            total += len(a)
+            if total > EDGES:
+                edges[:] = [reduced(edges)]
+                total = len(edges[0][0])
 
-    names = {"nearest": ["a", "b", "away"], "one": ["a", "b", "rank", "n"], "all": ["a", "b"]}[how]
+    names = {"nearest": ["a", "b", "away"], "open": ["a", "b"]}[how]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             own = batch.column("bucket").to_numpy()
             cut = int(np.searchsorted(own, own[-1])) if len(own) else 0
             if cut:
                 held.append(batch.slice(0, cut))
-                yield from flushed(held)
+                yield from flushed(held, edges)
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield from flushed(held)
-        held = []
+            yield from flushed(held, edges)
+        if edges:
+            yield batch_of(*reduced(edges))
+        held = edges = []
         trim()
 
     found = rows.select("bucket", "rep", "s0", "s1", *labels).mapInArrow(run, ", ".join(f"{c} {'int' if c == 'away' else 'bigint'}" for c in names))
-    if how == "all":
-        return found.distinct()
-    if how == "one":
-        return found.groupBy("a").agg(F.min(F.struct("rank", "b")).alias("near"), F.sum("n").alias("n")).select("a", "near.b", "n")
+    if how == "open":
+        return found
     return found.groupBy("a").agg(F.min(F.when(F.col("b").isNotNull(), F.struct("away", "b"))).alias("near")).select("a", "near.b")
 
 
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least number that edges between ``i`` and ``j`` connect each with."""
+    root = np.arange(n)
+    while True:
+        after, low = root.copy(), np.minimum(root[i], root[j])
+        for at in (i, j, root[i], root[j]):
+            np.minimum.at(after, at, low)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
 def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     each = np.repeat(np.arange(len(sizes)), sizes)
     within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -292,16 +308,84 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _compared(clusters: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` that connect the texts of a cluster that have at least the similarity (Jaccard), by whole texts.
+
+    Of ``cluster, rep, label, s0, s1, text``. All pairs with other labels are examined that their bits don't rule out,
+    but for those that what was found before in the same block connects. Blocks are bounded by rows and bytes: a text
+    is sent to as many tasks as its cluster has blocks, and no pairs are.
+    """
+    most, most_few = most_away(flip(similarity)), most_away(max(FEW_FLIP, flip(similarity)))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.col("n") / SPREAD))
+    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
+    rows = sized_join(clusters, written(sizes, "blocks"), ["cluster"]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("lo"), F.greatest("block", k).alias("hi")))
+    rows = rows.withColumn("meet", F.explode(meets)).withColumn("bucket", F.xxhash64("cluster", "meet"))
+    rows = rows.select("bucket", "rep", "label", "s0", "s1", "block", (F.col("meet.lo") != F.col("meet.hi")).alias("across"), "text").repartition("bucket").sortWithinPartitions("bucket")
+
+    def linked(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        reps, labels, s0, s1, block = (table.column(c).to_numpy() for c in ("rep", "label", "s0", "s1", "block"))
+        across = bool(table.column("across")[0].as_py())
+        sigs = np.stack([s0, s1], axis=1).view(np.uint64)
+        sets = [np.unique(shingles(t, width)[1]) for t in table.column("text").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        limit = np.where(size * similarity <= FEW, most_few, most)
+        _, group = np.unique(labels, return_inverse=True)
+        found: list[tuple[int, int]] = []
+        for i in range(len(reps) - 1):
+            j = np.arange(i + 1, len(reps))
+            j = j[(group[j] != group[i]) & (block[j] != block[i] if across else True)]
+            away = np.bitwise_count(sigs[j] ^ sigs[i]).sum(axis=1, dtype=np.int32)
+            # sets whose sizes differ by too much can't be similar
+            j = j[(away <= np.maximum(limit[j], limit[i])) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))]
+            for at in range(0, len(j), 64):
+                k = j[at : at + 64]
+                k = k[group[k] != group[i]]
+                if not len(k):
+                    continue
+                flat = np.concatenate([sets[x] for x in k])
+                place = np.minimum(np.searchsorted(sets[i], flat), max(0, size[i] - 1))
+                shared = (sets[i][place] == flat) if size[i] else np.zeros(len(flat), dtype=bool)
+                both = np.bincount(np.repeat(np.arange(len(k)), size[k]), weights=shared, minlength=len(k))
+                for x in k[both >= similarity * (size[k] + size[i] - both)]:
+                    found.append((i, int(x)))
+                    group[group == group[x]] = group[i]
+        if found:
+            x, y = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(reps[x], reps[y])), pa.array(np.minimum(reps[x], reps[y]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            own = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if held and own[x] != last:
+                    yield from linked(held)
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = own[x]
+        if held:
+            yield from linked(held)
+        held = []
+        trim()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
     """``id_col`` and ``keeper`` of each document that goes: near copies of a text, but for the smallest id among them.
 
     Texts with the same words are copies whatever their spaces and case; texts without words are copies of one
     another. Other texts are linked if at least ``similarity`` of all their shingles are shared (Jaccard, sets), which
     is verified on whole texts; what links connect is one group. Each text is verified with its nearest partner first.
-    Then all texts that have partners, those that are linked by now included, are searched again for partners outside
-    their group so far, until no candidate between groups is left unverified. While there are many, one a text is
-    verified at a time, so a large group of near copies closes before all of its pairs are listed. So the groups are
-    those of all links, but for the pairs that never meet or are ruled out (``miss``). Rows with a null id aren't
+    Then all texts that have candidates outside their group so far, those that are linked by now included, are gathered
+    into clusters of candidates, and in each all pairs between groups are verified in blocks of texts. So the groups
+    are those of all links, but for the pairs that never meet or are ruled out (``miss``). Rows with a null id aren't
     judged. A repeated id is one document if its texts are the same.
     """
     known = docs.where(F.col(id_col).isNotNull())
@@ -313,34 +397,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = found.select(F.col("a").alias("rep"))
     texts = known.select(F.col(id_col).cast("bigint").alias("rep"), text_or_empty(text_col).alias("text"))
     texts = written(sized_join(texts, wanted, ["rep"], "left_semi").groupBy("rep").agg(F.min("text").alias("text")), "texts")
-    rest = written(nodes.join(texts.select("rep"), "rep", "left_semi"), "rest")
-    tried = found.where("b is not null").select("a", "b")
-    links = written(_verified(tried, texts, width, similarity), "verified")
+    links = written(_verified(found.where("b is not null").select("a", "b"), texts, width, similarity), "verified")
     groups = written(components(links), "groups")
-    whole = False
-    while not whole:
-        labelled = rest.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
-        labelled = written(labelled, "labelled")
-        one = written(_candidates(labelled, bits, similarity, "one"), "open")
-        n_open, meetings = one.agg(F.count("*"), F.sum("n")).first()
-        if not n_open:
-            discard(labelled, one)
-            break
-        whole = meetings <= OPEN * 2 * tables * n_open
-        if whole:
-            pairs = _candidates(labelled, bits, similarity, "all")
-        else:
-            pairs = one.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = written(_verified(fresh, texts, width, similarity), "verified")
-        # picks that link little won't close the rest: the remaining pairs are verified as they are
-        if not whole and more.count() * 10 < n_open:
-            last = written(_candidates(labelled, bits, similarity, "all").join(tried.union(fresh), ["a", "b"], "left_anti"), "pairs")
-            more, whole = more.union(written(_verified(last, texts, width, similarity), "verified")), True
-        tried, links = tried.union(fresh), links.union(more)
-        groups = written(components(links), "groups")
-        discard(labelled, one)
-    discard(texts, rest)
+    rest = nodes.join(texts.select("rep"), "rep", "left_semi").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    rest = written(rest.withColumn("label", F.coalesce("root", "rep")).drop("root", "k1", "k2"), "labelled")
+    clusters = written(components(written(_candidates(rest, bits, similarity, "open"), "open")), "clusters")
+    members = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(rest.select("rep", "label", "s0", "s1"), "rep").join(texts, "rep")
+    more = written(_compared(members, width, similarity), "verified")
+    groups = written(components(links.unionByName(more)), "groups")
+    discard(texts, rest, found, clusters)
     roots = nodes.select("k1", "k2", "rep").join(groups, nodes["rep"] == groups["node"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("keeper"))
     gone = signed.select("id", "k1", "k2").join(roots, ["k1", "k2"]).where(F.col("id") != F.col("keeper"))
     return gone.select(F.col("id").alias(id_col), "keeper")

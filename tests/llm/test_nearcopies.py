@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quillspark.llm import nearcopies
 
 WIDTH = nearcopies.WIDTH
@@ -42,7 +44,9 @@ def text(rng, n):
     return [f"w{rng.randrange(10**6)}" for _ in range(n)]
 
 
-def test_families_around_the_threshold(spark):
+@pytest.mark.parametrize("block", [nearcopies.LEAST_BLOCK, 7])
+def test_families_around_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(nearcopies, "LEAST_BLOCK", block)
     # a member's nearest is often a look-alike just below 0.8, and what links it has gone by then
     rng, texts = random.Random(3), {}
     for f in range(40):
@@ -81,3 +85,14 @@ def test_repeated_passages_and_few_shingles(spark):
         texts[10 * k + 2], texts[10 * k + 3] = " ".join(short[:8]), " ".join(short)
     want, got = wanted(texts), found(spark, texts)
     assert len(want) == 600 and got == want
+
+
+def test_one_large_family_in_blocks(spark, monkeypatch):
+    """A base with edits in ever more places: similarities from 0.2 to 1, so many members link to a few others only."""
+    monkeypatch.setattr(nearcopies, "LEAST_BLOCK", 32)
+    rng = random.Random(9)
+    base = text(rng, 300)
+    texts = {k: " ".join(edited(rng, base, rng.randrange(1, 12))) for k in range(400)}
+    want, got = wanted(texts), found(spark, texts)
+    assert 150 < len(want) < 399 and not set(got) - set(want) and len(set(want) - set(got)) <= 0.01 * len(want)
+    assert sum(got.get(i) != k for i, k in want.items()) <= 0.01 * len(want)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +26,30 @@ def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     return F.round(F.when(n.isNotNull(), F.greatest(F.lit(0.0), mid - half)), 6), F.round(F.when(n.isNotNull(), F.least(F.lit(1.0), mid + half)), 6)
 
 
+def _log_factorial(n: Column) -> Column:
+    """Exact up to 20, then by Stirling's series, which is off by less than 1e-12."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return F.when(n <= 20, F.ln(F.factorial(F.least(n, F.lit(20)).cast("int")))).otherwise(series)
+
+
 def mcnemar_p(b: Column, c: Column, pairs: Column) -> Column:
     """Exact two-sided p of ``b`` and ``c`` discordant pairs, 6 places; 1 if none is discordant, null without pairs.
 
-    The binomial tail is summed from its logarithms, so thousands of pairs don't overflow.
+    The binomial tail is summed from its largest term down to where terms vanish, 16 standard deviations away, by
+    logarithms: the steps grow with the root of the number of pairs, and nothing overflows.
     """
-    n, m = (b + c).cast("double"), F.least(b, c).cast("int")
-    start = F.struct((-n * F.ln(F.lit(2.0))).alias("log"), F.exp(-n * F.ln(F.lit(2.0))).alias("sum"))
+    n, m = (b + c).cast("bigint"), F.least(b, c).cast("bigint")
+    top = _log_factorial(n) - _log_factorial(m) - _log_factorial(n - m) - n * math.log(2.0)
+    steps = F.least(m, F.ceil(8 * F.sqrt(n.cast("double"))) + 40).cast("int")
+    start = F.struct(top.alias("log"), F.exp(top).alias("sum"))
 
     def add(acc: Column, i: Column) -> Column:
-        log = acc["log"] + F.ln((n - i + 1) / i)
+        log = acc["log"] + F.ln((m - i + 1) / (n - m + i))
         return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
 
-    steps = F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
-    tail = F.aggregate(steps, start, add, lambda acc: F.least(F.lit(1.0), 2 * acc["sum"]))
+    each = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(each, start, add, lambda acc: F.least(F.lit(1.0), 2 * acc["sum"]))
     return F.when(pairs > 0, F.when(b + c == 0, F.lit(1.0)).otherwise(F.round(tail, 6)))
 
 
@@ -120,3 +132,16 @@ def tile(slot: Column, slots: int, total: Column) -> tuple[Column, Column]:
     """Offset and length of one of ``slots`` slices that together cover 0..total exactly."""
     base, rest = F.floor(total / slots), total % slots
     return (slot * base + F.least(slot, rest)).cast("bigint"), (base + (slot < rest).cast("int")).cast("bigint")
+
+
+def place_in(value: Column, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` lie below a value (null for null), by two searches of about their square root."""
+    if not cuts:
+        return F.when(value.isNotNull(), F.lit(0))
+    step = math.isqrt(len(cuts)) + 1
+    rows = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    below = lambda some: F.size(F.filter(some, lambda c: c < value))
+    coarse = below(F.array(*[F.lit(r[-1]) for r in rows]))
+    row = F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in rows]), F.least(coarse + 1, F.lit(len(rows))))
+    fine = F.when(coarse < len(rows), below(row)).otherwise(0)
+    return F.when(value.isNotNull(), F.least(coarse * step + fine, F.lit(len(cuts))))

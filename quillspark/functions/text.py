@@ -91,17 +91,25 @@ def parse_verdict(raw: Column | str) -> Column:
     return F.coalesce(lead, anywhere, F.lit("unparsed"))
 
 
-def structural_strip(text: Column | str) -> Column:
-    """Collapse markdown to compact lines: no blank lines, rules, headers, bullets, numbers, bold marks or quotes."""
+#: What ends a line; lines that only decorate; what a line of markup may open with, each at most once and
+#: in this order; signs of bold text, of which what is left when the first have gone counts too; a quote.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+DECORATION, OPENING, BOLD, QUOTE = r"[-=_*]{3,}", r"(?:#{1,6} *)?(?:[-*+] +)?(?:\p{Nd}+[.)] +)?", (r"\*\*", "__"), "> ?"
+
 
-    def line(x: Column) -> Column:
-        x = F.regexp_replace(F.trim(F.regexp_replace(x, _SPACES, " ")), r"^[-=_*]{3,}$", "")
-        for pattern in (r"^#{1,6}\s*", r"^[-*+]\s+", r"^[0-9]+[.)]\s+"):
-            x = F.regexp_replace(x, pattern, "")
-        x = F.regexp_replace(F.replace(F.replace(x, F.lit("**"), F.lit("")), F.lit("__"), F.lit("")), r"^>\s?", "")
-        return _collapsed(x)
+def structural_strip(text: Column | str) -> Column:
+    """Markdown as compact lines, without decoration, openings, bold signs, quote signs and blank lines.
 
-    return F.array_join(F.filter(F.transform(F.split(_col(text), r"\r\n|\r|\n"), line), lambda x: x != ""), "\n")
+    The whole text is rewritten at once, in multi-line mode: no line becomes a value of its own.
+    """
+    at_start = lambda pattern: rf"(?mU)^{pattern}"
+    x = F.regexp_replace(F.regexp_replace(_col(text), LINE_ENDS, "\n"), r"(?U)(?:[^\S\n]|\x1f)+", " ")
+    x = F.regexp_replace(F.regexp_replace(x, r"(?m)^ | $", ""), rf"(?m)^{DECORATION}$", "")
+    x = F.regexp_replace(x, at_start(OPENING), "")
+    for sign in BOLD:
+        x = F.regexp_replace(x, sign, "")
+    x = F.regexp_replace(F.regexp_replace(x, at_start(QUOTE), ""), " {2,}", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?m)^ +| +$", ""), r"\n{2,}", "\n"), r"^\n|\n$", "")
 
 
 def split_paragraphs(text: Column | str) -> Column:
@@ -159,6 +167,13 @@ def legend(entries: Column, title: str) -> Column:
     return F.when(F.size(entries) > 0, F.concat(F.lit(f"=== {title} legend ===\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
 
 
+def loss_report(dropped: Column, derived: Column) -> Column:
+    """What the register layer lost, a line for each word: its kind, the word, what stands for it, where it stood."""
+    gone = F.transform(dropped, lambda x: F.struct(x["start"].alias("at"), F.format_string("dropped %s %s at %d", x["kind"], x["token"], x["start"]).alias("line")))
+    short = F.transform(derived, lambda x: F.struct(x["start"].alias("at"), F.format_string("derived %s as %s at %d", x["word"], x["derived"], x["start"]).alias("line")))
+    return F.transform(F.array_sort(F.concat(gone, short)), lambda x: x["line"])
+
+
 def prompt(template: str, *values: Column | str) -> Column:
     """A template with %s for each value; a null value is left empty."""
     return F.format_string(template, *[F.coalesce(_col(v).cast("string"), F.lit("")) for v in values])

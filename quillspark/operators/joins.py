@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import containment, normalize, token_set
@@ -34,25 +34,44 @@ def crossed(a: DataFrame, b: DataFrame, excluded: DataFrame | None = None, keys:
 def anchored(items: DataFrame, passages: DataFrame, item_id: str, item_text: str, passage_id: str, passage_text: str, threshold: float = 0.8) -> DataFrame:
     """Pairs of item and passage whose containment reaches the threshold: ``item_id, passage_id, score``.
 
-    The join is on tokens, so a pair is made only if a token is shared, and only the counts of shared tokens are
-    shuffled. Containment divides by the smaller set, so all pairs with a shared token are candidates; each token of
-    a pair counts once. Equivalent to comparing all pairs for any threshold above 0.
+    Containment divides by the smaller set, of ``n`` tokens, so it needs ceil(threshold * n) shared ones, and at most
+    the others may be missing: one of the smaller set's rarest (others + 1) tokens is shared. Either side is probed
+    with those alone, rarest by the number of passages that have them, so a token in all texts joins nothing unless a
+    set has hardly any other. Candidates are then counted over all their tokens. Equivalent to comparing all pairs for
+    any threshold above 0.
     """
     if threshold <= 0:
         raise ValueError("a threshold of 0 would match what shares nothing")
-
-    def exploded(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
-        """A row per token, with the size of its set, so that each side is tokenised once."""
-        tokens = token_set(normalize(F.coalesce(F.col(text), F.lit(""))))
-        held = df.select(F.col(key).alias(name), F.explode(F.array(tokens)).alias("t"))  # keeps the set from being computed again
-        return held.select(name, F.size("t").alias(f"{name}_n"), F.explode("t").alias("token"))
-
-    shared = exploded(items, item_id, item_text, "i").join(exploded(passages, passage_id, passage_text, "p"), "token")
-    counted = shared.groupBy("i", "p", F.least("i_n", "p_n").alias("least")).agg(F.count("*").alias("shared"))
+    i, p = (_tokens(*side) for side in ((items, item_id, item_text, "i"), (passages, passage_id, passage_text, "p")))
+    frequent = p.join(i.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    i, p = i.join(frequent, "token"), p.join(frequent, "token")
+    small_items = _rarest(i, "i", threshold).join(p, "token").where("i_n <= p_n").select("i", "p")
+    small_passages = _rarest(p, "p", threshold).join(i, "token").where("p_n < i_n").select("i", "p")
+    found = small_items.unionByName(small_passages).distinct()
+    counted = found.join(i.select("i", "i_n", "token"), "i").join(p.select("p", "p_n", "token"), ["p", "token"])
+    counted = counted.groupBy("i", "p", F.least("i_n", "p_n").alias("least")).agg(F.count("*").alias("shared"))
     scored = counted.withColumn("score", F.col("shared") / F.col("least")).where(F.col("score") >= threshold)
     return scored.select(F.col("i").alias(item_id), F.col("p").alias(passage_id), F.round("score", 6).alias("score"))
 
 
+def _tokens(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """A row per token (``name``, ``name_n``: the size of the set, ``token``); each text is tokenised once."""
+    tokens = token_set(normalize(F.coalesce(F.col(text), F.lit(""))))
+    held = df.select(F.col(key).alias(name), F.explode(F.array(tokens)).alias("t"))  # keeps the set from being computed again
+    return held.select(name, F.size("t").alias(f"{name}_n"), F.explode("t").alias("token"))
+
+
+def _rarest(tokens: DataFrame, name: str, threshold: float) -> DataFrame:
+    """Of each set, the rarest tokens one of which is shared with any set that contains enough of it.
+
+    ``tokens`` has only those that both sides have; the others are missing in any case. Sets that miss too many go.
+    """
+    own = Window.partitionBy(name)
+    spare = F.col(f"{name}_n") - F.ceil(F.col(f"{name}_n") * threshold - 1e-9) - (F.col(f"{name}_n") - F.count("*").over(own))
+    ranked = tokens.withColumn("spare", spare).withColumn("place", F.row_number().over(own.orderBy("df", "token")))
+    return ranked.where(F.col("place") <= F.col("spare") + 1).select(name, f"{name}_n", "token")
+
+
 def gate(items: DataFrame, passage: str, expected: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Items whose expected answer is anchored in their passage, and the others with their scores."""
     sets = [token_set(normalize(F.coalesce(F.col(c), F.lit("")))) for c in (expected, passage)]

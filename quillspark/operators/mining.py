@@ -1,15 +1,15 @@
 """Dictionary mining: candidate segments, multi-pattern scan, greedy non-overlapping selection.
 
 Candidates and their frequencies are counted by distributed aggregation; the scan runs an automaton of the capped
-candidates over each partition; only the selection, which is sequential by definition, runs in one place, on an
-occurrence list bounded by the cap on candidates.
+candidates over each partition; only the selection, which is sequential by definition, runs in one place, over a stream
+of occurrences sorted by candidate.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -107,25 +107,33 @@ def segment_code(i: int) -> str | None:
     return f"zd{i - SHORT_CODES:03d}" if i <= SHORT_CODES + LONG_CODES else None
 
 
-def select(patterns: list[str], occurrences: dict[int, list[tuple[int, int]]], weights: dict[int, int], train: int, test: int, min_freq: int = MIN_FREQ) -> list[dict]:
+def select(patterns: list[str], occurrences: Iterable[tuple[int, Iterable[tuple[int, int, list[int]]]]], train: int, test: int, min_freq: int = MIN_FREQ) -> list[dict]:
     """Longest first, take every occurrence that is still free, if enough are and the code pays for its legend line.
 
-    ``patterns`` are in order; occurrences are (text, start) by pattern number. The first code issued is the first of
-    the code space, and the code that is priced is the one that is issued.
+    ``patterns`` are in order; ``occurrences`` come in the same order, for each pattern by number: (text, weight, starts
+    in order). They are read once, so they may be a stream. The first code issued is the first of the code space, and
+    the code that is priced is the one that is issued.
     """
     occupied: dict[int, Occupied] = defaultdict(Occupied)
+    nothing = Occupied()
     chosen: list[dict] = []
-    for k, segment in enumerate(patterns):
-        n = len(segment)
+    for k, texts in occurrences:
+        segment, n = patterns[k], len(patterns[k])
         spans: list[tuple[int, int]] = []
-        reach: dict[int, int] = {}
-        for text, start in sorted(occurrences.get(k, ())):
-            if start >= reach.get(text, 0) and occupied[text].free(start, start + n):
-                spans.append((text, start))
-                reach[text] = start + n
-        freq = sum(weights[t] for t in reach)
+        freq = 0
+        for text, weight, starts in texts:
+            taken, reach = occupied.get(text, nothing), 0
+            free = []
+            for start in starts:
+                if start >= reach and taken.free(start, start + n):
+                    free.append((text, start))
+                    reach = start + n
+            spans += free
+            freq += weight if free else 0
         code = segment_code(len(chosen) + 1)
-        if not spans or freq < min_freq or code is None:
+        if code is None:
+            break
+        if not spans or freq < min_freq:
             continue
         saving, share = token_cost(segment) - token_cost(code), token_cost(f"{code}\t{segment}\n")
         projected = freq * test / train if train else 0.0

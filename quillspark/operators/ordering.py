@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.stats import hash_number, tile
+from quillspark.functions.stats import hash_number, place_in, tile
 
 
 def indexed(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "q_index") -> DataFrame:
@@ -66,8 +66,7 @@ def ranked(df: DataFrame, order: str, ties: list[str], name: str, range_rows: in
     ranges = max(1, min(MOST_RANGES, math.ceil(df.count() / range_rows)))
     cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * max(1000, ranges))).first()[0] if ranges > 1 else None
     cuts = sorted(set(cuts or []))
-    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    parts = df.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(below))
+    parts = df.withColumn("_range", F.coalesce(place_in(F.col(order), cuts), F.lit(-1)))
     counts = parts.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,19 +40,19 @@ class Dictionary:
 def build(frames: DataFrame, text: str, order: str, test: int = 0, min_chars: int = mining.MIN_CHARS, min_freq: int = mining.MIN_FREQ, most_candidates: int = mining.MAX_CANDIDATES) -> Dictionary:
     """Build from training frames only; ``test`` is the number of frames that the dictionary is projected to serve.
 
-    Counting and scanning are distributed, over distinct texts with weights. What comes to the driver is bounded by
-    the cap on candidates: the segments, and the occurrences of one of them at a time order of the greedy selection.
+    Counting, scanning and sorting are distributed, over distinct texts with weights. The greedy selection is one pass
+    over the occurrences in the order of their segments: the driver holds the candidates (capped), the occurrences of
+    one of them, and the spans that chosen segments (as many as there are codes) take.
     """
     texts = mining.weighted_texts(frames, text)
     numbered = texts.withColumn("id", F.xxhash64("text"))
     train = frames.where(F.col(text).isNotNull()).count()
     patterns = [r.segment for r in mining.candidates(frames, text, min_chars, min_freq, most_candidates).collect()]
     patterns.sort(key=lambda s: (-len(s), s))
-    occurrences: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for r in mining.scan(numbered, "id", "text", patterns).toLocalIterator():
-        occurrences[r.pattern].append((r.id, r.start))
-    weights = {r.id: r.weight for r in numbered.select("id", "weight").toLocalIterator()}
-    chosen = mining.select(patterns, occurrences, weights, train, test, min_freq)
+    hits = mining.scan(numbered, "id", "text", patterns).join(numbered.select("id", "weight"), "id")
+    hits = hits.groupBy("pattern", "id", "weight").agg(F.array_sort(F.collect_list("start")).alias("starts")).orderBy("pattern", "id")
+    by_pattern = groupby(hits.toLocalIterator(prefetchPartitions=True), key=lambda r: r.pattern)
+    chosen = mining.select(patterns, ((k, ((r.id, r.weight, r.starts) for r in rows)) for k, rows in by_pattern), train, test, min_freq)
     faults = invalid_codes(x["code"] for x in chosen)
     if faults:
         raise DictionaryError("; ".join(faults))

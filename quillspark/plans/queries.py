@@ -209,10 +209,10 @@ def anchor_gate_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.anchored(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
 
 
-@query(f"with {_TOKENS} select item_id, md5(b.text) as digest from benchmark b where item_id not in (select item_id from a join documents d using (doc_id) where score >= 0.8 and d.n_chars > 2000)")
+@query(f"with {_TOKENS} select item_id, md5(b.text) as digest from benchmark b where item_id not in (select item_id from a where score >= 0.8)")
 def anchor_gate_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark")
-    found = joins.anchored(items, read(spark, sf_dir, "documents").where("n_chars > 2000"), "item_id", "text", "doc_id", "text")
+    found = joins.anchored(items, read(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
     return items.join(found, "item_id", "left_anti").select("item_id", F.md5("text").alias("digest"))
 
 
@@ -238,14 +238,20 @@ def grade_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with d as (select item_id, n.doc_id, {_contain(_set(_norm('b.text')), _set(_norm('n.text')))} as anchor, {_contain(_set(_norm('n.lang || chr(32) || left(b.text, 60)')), _set(_norm('b.text')))} as m
-  from benchmark b join documents n on n.doc_id % 40 = b.item_id)
+with i as (select item_id, text, row_number() over (order by item_id) - 1 as place, count(*) over () as n from benchmark),
+d as (select e.item_id, d.doc_id, {_contain(_set(_norm('e.text')), _set(_norm('d.text')))} as anchor, {_contain(_set(_norm("d.lang || ' ' || a.text")), _set(_norm('e.text')))} as m
+  from documents d join i e on d.doc_id % e.n = e.place join i a on (d.doc_id + d.doc_id % 3) % a.n = a.place)
 select item_id, doc_id, round(anchor, 6) as anchor_score, round(m, 6) as match_score, anchor >= 0.8 as anchored, anchor >= 0.8 and m >= 0.8 as correct from d
 """)
 def grade_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is the passage of one item, dealt round by the number of items; every third is answered by the
+    item's own text, the others by that of one of the next two."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("passage"))
-    rows = docs.join(read(spark, sf_dir, "benchmark"), F.col("doc_id") % 40 == F.col("item_id"))
-    g = text.grade("text", F.concat_ws(" ", "lang", F.substring("text", 1, 60)), "passage")
+    items = ordering.ranked(read(spark, sf_dir, "benchmark"), "item_id", [], "place")
+    n = F.lit(items.count())
+    rows = docs.join(items.select("item_id", "text", F.col("place").alias("e")), F.col("doc_id") % n == F.col("e"))
+    rows = rows.join(items.select(F.col("text").alias("answer"), F.col("place").alias("a")), (F.col("doc_id") + F.col("doc_id") % 3) % n == F.col("a"))
+    g = text.grade("text", F.concat_ws(" ", "lang", "answer"), "passage")
     return rows.select("item_id", "doc_id", g.alias("g")).select("item_id", "doc_id", "g.anchor_score", "g.match_score", "g.anchored", "g.correct")
 
 
@@ -279,8 +285,8 @@ _MARKED = r"'# ' || lang || chr(10) || '---' || chr(10) || '- **' || source || '
 
 @query(rf"""
 select doc_id, md5(array_to_string(list_filter([trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  trim(regexp_replace(x, '\s+', ' ', 'g')), '^[-=_*]{{3,}}$', ''), '^#{{1,6}}\s*', ''), '^[-*+]\s+', ''), '^[0-9]+[.)]\s+', ''), '**', ''), '__', ''), '^>\s?', ''), '\s+', ' ', 'g'))
-  for x in string_split({_MARKED}, chr(10))], lambda x: x <> ''), chr(10))) as digest from documents
+  trim(regexp_replace(x, '\s+', ' ', 'g')), '^[-=_*]{{3,}}$', ''), '^#{{1,6}}\s*', ''), '^[-*+]\s+', ''), '^\p{{Nd}}+[.)]\s+', ''), '**', ''), '__', ''), '^>\s?', ''), '\s+', ' ', 'g'))
+  for x in string_split_regex({_MARKED}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{{2028}}\x{{2029}}]')], lambda x: x <> ''), chr(10))) as digest from documents
 """)
 def structural_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.structural_strip(F.expr(_MARKED.replace("chr(10)", "'\\n'")))).alias("digest"))
@@ -302,10 +308,12 @@ def cipher_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(codec.cipher_encode("text", CIPHER)).alias("digest"))
 
 
-@query("select count(*) as n, 0::bigint as failures from documents")
+@query("select count(*) as n, 0::bigint as failures, count(*) filter (where regexp_matches(text, '[A-Za-z0-9]')) as changed, sum(length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')))::bigint as moved from documents")
 def cipher_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = codec.cipher_decode(codec.cipher_encode("text", CIPHER), CIPHER)
-    return read(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.count_if(back != F.col("text")).alias("failures"))
+    """A derangement moves every letter and digit; coded texts of which any stands still show in ``moved``."""
+    rows = read(spark, sf_dir, "documents").select("text", codec.cipher_encode("text", CIPHER).alias("coded")).withColumn("back", codec.cipher_decode("coded", CIPHER))
+    moved = F.size(F.filter(F.zip_with(F.split("text", ""), F.split("coded", ""), lambda a, b: a != b), lambda x: x))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("back") != F.col("text")).alias("failures"), F.count_if(F.col("coded") != F.col("text")).alias("changed"), F.sum(moved.cast("bigint")).alias("moved"))
 
 
 _COMPACT = """'{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '","page":{"id":' || (user_id % 7)::varchar || ',"ok":true}}'"""
@@ -621,15 +629,15 @@ def prefix_suffix_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.edge_candidates(texts).where("freq >= 5").select(F.md5("segment").alias("digest"), "freq")
 
 
-@query("select 'frames' as what, count(*) as n, 0::bigint as failures from events")
+@query("select 'frames' as what, count(*) as n, 0::bigint as failures, count(*) as changed from events")
 def dictionary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.plans.dictionary import build
 
     rows = frames(spark, sf_dir)
     built = build(rows, "frame_text", "event_id", test=200)
     encode, decode = codec.frame_codec({}, built.segment_codes())
-    checked = rows.select("frame_text", decode(encode("frame_text")).alias("back"))
-    return checked.agg(F.lit("frames").alias("what"), F.count("*").alias("n"), F.count_if(F.col("back") != F.col("frame_text")).alias("failures"))
+    checked = rows.select("frame_text", encode("frame_text").alias("coded")).withColumn("back", decode("coded"))
+    return checked.agg(F.lit("frames").alias("what"), F.count("*").alias("n"), F.count_if(F.col("back") != F.col("frame_text")).alias("failures"), F.count_if(F.length("coded") < F.length("frame_text")).alias("changed"))
 
 
 @query()
@@ -650,21 +658,55 @@ def aho_corasick_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("event_id", "pattern").agg(F.count("*").alias("n"))
 
 
-@query()
+#: Each word between two marks, so that whole words are found without look-around.
+_WORD = r"[\p{L}\p{N}_]+"
+_WORDS = rf"regexp_replace(text, '({_WORD})', chr(1) || '\1' || chr(2), 'g')"
+
+
+def _marked(phrase: str) -> str:
+    return "chr(1) || '" + phrase.replace(" ", "' || chr(2) || ' ' || chr(1) || '") + "' || chr(2)"
+
+
+def _coded_sql() -> str:
+    """Documents by the codebook: ``coded``, ``n_applied``, ``n_skipped``. No expansion of BOOK can overlap another."""
+    pays = [e for e in BOOK if codec.token_cost(e.code) < codec.token_cost(e.expansion)]
+    coded = "w"
+    for e in pays:
+        coded = f"replace({coded}, {_marked(e.expansion)}, '{e.code}')"
+    count = lambda e: f"(length(w) - length(replace(w, {_marked(e.expansion)}, ''))) // length({_marked(e.expansion)})"
+    sums = [" + ".join(count(e) for e in BOOK if (e in pays) == wanted) for wanted in (True, False)]
+    return f"(select doc_id, text, translate({coded}, chr(1) || chr(2), '') as coded, ({sums[0]})::int as n_applied, ({sums[1]})::int as n_skipped from (select doc_id, text, {_WORDS} as w from documents))"
+
+
+@query(f"select doc_id, md5(coded) as digest, n_applied, n_skipped from {_coded_sql()}")
 def dictionary_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = codec.dictionary_encoder(BOOK)
     rows = read(spark, sf_dir, "documents").select("doc_id", encode("text").alias("e"))
     return rows.select("doc_id", F.md5("e.coded").alias("digest"), F.size("e.applied").alias("n_applied"), F.size("e.skipped").alias("n_skipped"))
 
 
-@query("select count(*) as n, 0::bigint as failures from documents")
+@query(f"select count(*) as n, 0::bigint as failures, count(*) filter (where coded <> text) as changed from {_coded_sql()}")
 def codebook_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode, decode = codec.dictionary_encoder(BOOK), codec.dictionary_decoder(BOOK)
-    rows = read(spark, sf_dir, "documents").select("text", decode(encode("text")["coded"])["text"].alias("back"))
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("back") != F.col("text")).alias("failures"))
+    rows = read(spark, sf_dir, "documents").select("text", encode("text")["coded"].alias("coded")).withColumn("back", decode("coded")["text"])
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("back") != F.col("text")).alias("failures"), F.count_if(F.col("coded") != F.col("text")).alias("changed"))
 
 
-@query()
+_AFTER = "lower(w[i + 1])"
+_IS_VERB = f"({' or '.join([f'{_AFTER} in (' + ', '.join(repr(v) for v in RULES.verb_words) + ')', *[f'{_AFTER} like {chr(39)}%{e}{chr(39)}' for e in RULES.verb_endings]])})"
+_SHORT = {w: d for w, d in RULES.derivations.items() if codec.token_cost(d) < codec.token_cost(w)}
+
+
+@query(rf"""
+with t as (select doc_id, regexp_extract_all(text, '{_WORD}') as w, string_split_regex(text, '{_WORD}') as s from documents),
+k as (select *, [case when w[i] in ({', '.join(repr(a) for a in RULES.articles)}) then 'article'
+    when w[i] in ({', '.join(repr(c) for c in RULES.copulas)}) then case when i < len(w) and not {_IS_VERB} then 'copula' else '' end
+    when lower(w[i]) in ({', '.join(repr(x) for x in _SHORT)}) then 'derived' else '' end for i in range(1, len(w) + 1)] as kinds from t),
+o as (select *, [case kinds[i] when 'article' then '' when 'copula' then '' when 'derived' then case lower(w[i]) {' '.join(f"when '{x}' then '{d}'" for x, d in _SHORT.items())} end else w[i] end for i in range(1, len(w) + 1)] as out_ from k)
+select doc_id, md5(regexp_replace(s[1] || array_to_string([out_[i] || s[i + 1] for i in range(1, len(w) + 1)], ''), '[ \t]{{2,}}', ' ', 'g')) as digest,
+  len(list_filter(kinds, lambda x: x in ('article', 'copula')))::int as n_dropped, len(list_filter(kinds, lambda x: x = 'derived'))::int as n_derived,
+  len(list_filter(kinds, lambda x: x in ('article', 'copula'))) > 0 as lossy from o
+""")
 def register_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = codec.register_encoder(RULES)
     rows = read(spark, sf_dir, "documents").select("doc_id", encode("text").alias("e"))
@@ -677,7 +719,16 @@ def codebook_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(check("text")["status"].alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+with recursive t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as k, {_set(_lex('text'))} as s from conversations),
+r as (
+  select conv_id, k, turn, true as kept, null::int as kept_index, null::double as overlap, [s] as kepts from t where k = 1
+  union all
+  select conv_id, k, turn, p = 0, case when p > 0 then p - 1 end, case when p > 0 then round(scores[p], 6) end, case when p = 0 then list_append(kepts, s) else kepts end
+  from (select *, coalesce(list_position([x >= 0.35 for x in scores], true), 0)::int as p
+    from (select t.*, r.kepts, [{_contain('t.s', 'x')} for x in r.kepts] as scores from r join t on t.conv_id = r.conv_id and t.k = r.k + 1)))
+select conv_id, turn, kept, kept_index, overlap from r
+""")
 def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return dedupe.greedy(rows, ["conv_id"], "turn", "text", 0.35)

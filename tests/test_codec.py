@@ -79,10 +79,10 @@ def test_scan_finds_all_overlaps(spark):
 
 def test_selection():
     patterns = ["abcdefghijklmnop", "abcdefghijkl"]
-    found = {0: [(1, 0), (2, 0)], 1: [(1, 0), (2, 0), (3, 0), (3, 12), (4, 5), (4, 7)]}
-    chosen = mining.select(patterns, found, {1: 3, 2: 3, 3: 9, 4: 1}, 10, 100)
+    found = [(0, [(1, 3, [0]), (2, 3, [0])]), (1, [(1, 3, [0]), (2, 3, [0]), (3, 9, [0, 12]), (4, 1, [5, 7])])]
+    chosen = mining.select(patterns, iter(found), 10, 100)
     assert [(c["segment"], c["code"], c["freq"]) for c in chosen] == [("abcdefghijklmnop", "zc01", 6), ("abcdefghijkl", "zc02", 10)]
-    assert mining.select(patterns, found, {1: 3, 2: 3, 3: 9, 4: 1}, 10, 0) == []  # no test frames pay for a legend
+    assert mining.select(patterns, iter(found), 10, 0) == []  # no test frames pay for a legend
     assert [mining.segment_code(i) for i in (1, 99, 100, 1098, 1099)] == ["zc01", "zc99", "zd001", "zd999", None]
 
 

@@ -1,4 +1,9 @@
-"""Secret scans by assignment-aware lexing."""
+"""Secret scans by assignment-aware lexing.
+
+Source, configuration and markup are lexed into pairs of a name and the literals of its value: assignments of any sign,
+keyword and named arguments, elements and attributes, fields that name the next one, strings over several lines, blocks
+of deeper lines. Constants propagate within their function and from outside it, also from below their use.
+"""
 
 from __future__ import annotations
 
@@ -20,13 +25,34 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-#: A name (bare, dotted or quoted), then one of the assignment signs of source and configuration languages.
-_NAME = re.compile(r"""(?<![\w.$-])(["']?)([A-Za-z_][A-Za-z0-9_.-]*+)\1[ \t]*(?::=|=>|=|:)(?![=:/~])[ \t]*""", re.ASCII)
-_STRING = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`""")
+#: How source, configuration and markup give a value to a name: ``name = value`` with a bare, dotted or quoted name and
+#: any assignment sign, a call with the name as its first argument, an element of that name.
+_START = re.compile(
+    r"""(?<![\w.$-])(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=quote)[ \t]*(?::=|=>|=|:)(?![=:/~])[ \t]*"""
+    r"""|\([ \t]*(?P<mark>["'])(?P<argument>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=mark)[ \t]*,[ \t]*"""
+    r"""|<(?P<element>[A-Za-z_][A-Za-z0-9_.-]*+)(?:[ \t][^<>]*+)?>(?P<body>[^<>]++)(?=</(?P=element)[ \t]*>)""",
+    re.ASCII,
+)
+_STRING = re.compile(
+    r'"""((?:[^"\\]|\\.|"(?!""))*+)"""' + r"|'''((?:[^'\\]|\\.|'(?!''))*+)'''" + r'|"((?:[^"\\\n]|\\.)*)"' + r"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`", re.DOTALL
+)
+#: Quotes within which names aren't inserted.
+_PLAIN = (2, 4)
 _BARE = re.compile(r"[A-Za-z0-9+/_.=$@!%^&*~{}-]+")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*", re.ASCII)
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*")
 _INSERT = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)")
+#: A block of deeper lines that follows a name, with its indicators.
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*\n")
+_LINE = re.compile(r"([ \t]*)([^\n]*)(\n|\Z)")
+_INDENT = re.compile(r"[ \t]*(?:-[ \t]+)*")
+#: Names of fields that give a name to the value of the next field, as ``name: X`` and ``value: Y``.
+_NAMING, _VALUE = ("name", "key", "Name", "Key"), ("value", "Value")
+#: Beginnings of functions: by indentation, with their parameters; by braces.
+_DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+\w+[ \t]*\(([^()]*+)\)", re.ASCII | re.MULTILINE)
+_FUNCTION = re.compile(r"\b(?!(?:if|for|while|switch|catch|with|return)\b)[A-Za-z_]\w*[ \t]*\(([^(){};]*+)\)[^(){};\n]*+\{", re.ASCII)
+_BRACES = re.compile(r""""(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[{}]""")
+_PARAMETER = re.compile(r"(?<![\w.])([A-Za-z_]\w*)(?=[ \t]*(?:[,:=]|$))", re.ASCII)
 _CASES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: Longest value that is copied where its name is used, and signs kept of both ends of a longer one.
@@ -122,56 +148,153 @@ class Source(NamedTuple):
     names: list[Source]
 
 
+def _scopes(text: str) -> list[tuple[int, int, frozenset[str]]]:
+    """Begin, end and parameters of each function, by begin: lines deeper than a ``def``, or what braces hold."""
+    found = []
+    if "def " in text:
+        for m in _DEF.finditer(text):
+            indent, at = len(m[1].expandtabs()), text.find("\n", m.end())
+            while at >= 0 and at + 1 < len(text):
+                line = _LINE.match(text, at + 1)
+                if line[2] and len(line[1].expandtabs()) <= indent:
+                    break
+                at = line.end() - 1 if line[3] else -1
+            found.append((m.start(), at if at >= 0 else len(text), frozenset(_PARAMETER.findall(m[2]))))
+    if "{" in text and ")" in text and (functions := list(_FUNCTION.finditer(text))):
+        open_, closes = [], {}
+        for m in _BRACES.finditer(text):
+            if m[0] == "{":
+                open_.append(m.start())
+            elif m[0] == "}" and open_:
+                closes[open_.pop()] = m.start()
+        found += [(m.start(), closes.get(m.end() - 1, len(text)), frozenset(_PARAMETER.findall(m[1]))) for m in functions]
+    return sorted(found, key=lambda x: (x[0], -x[1]))
+
+
+class _Pair(NamedTuple):
+    name: str
+    parts: list[str | Long]
+    source: Source
+    waiting: list[tuple[int, str, tuple[int, int]]]  # of the parts: place, name that isn't known yet, its own span
+    scopes: tuple[int, ...]  # from the outermost one
+
+
+def _block(text: str, at: int, line: int) -> tuple[list[tuple[int, int]], int]:
+    """Spans of the lines from ``at`` that are deeper than the one that begins at ``line``, and the end of the last."""
+    least, spans = len(_INDENT.match(text, line)[0]), []
+    while at < len(text):
+        m = _LINE.match(text, at)
+        if m[2].strip() and len(m[1]) <= least:
+            break
+        if m[2].strip():
+            spans.append((m.start(2), m.start(2) + len(m[2].rstrip())))
+        at = m.end()
+    return spans, at
+
+
 def pairs(text: str) -> Iterator[tuple[str, str | Long, Source]]:
     """Name, value and source of each assignment, in order.
 
-    A value is a chain of string literals, bare words and names joined by a concatenation sign. Names that were
-    assigned before stand for their value then (constants propagate, also into ``$name`` and ``${name}``), and the
-    source leads to all literals that it came from. Values and sources are referred to, not copied, so self-references
-    as ``a = a + a`` in a long text don't grow, and nothing is cut.
+    A value is a chain of string literals, bare words and names joined by a concatenation sign, a block of deeper
+    lines, or the text of an element. A name stands for its value at that place, or else for the first one that it gets
+    later on (constants propagate, also into ``$name`` and ``${name}``); what is assigned within a function isn't known
+    outside of it, and a parameter hides what its name stands for outside. The source leads to all literals that a
+    value came from. Values and sources are referred to, not copied, so self-references as ``a = a + a`` in a long text
+    don't grow, and nothing is cut.
     """
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text and "(" not in text:
         return
-    known: dict[str, tuple[str | Long, Source]] = {}
-    at = 0
-    while m := _NAME.search(text, at):
-        at = m.end()
-        parts: list[str | Long] = []
-        source = Source([], [])
-
-        def name_or(name: str, raw: str) -> str | Long:
-            if name not in known:
-                return raw
-            source.names.append(known[name][1])
-            return known[name][0]
-
-        while True:
-            quoted = _STRING.match(text, at)
-            if quoted:
-                group = quoted.lastindex or 1
-                raw, span, at = quoted[group], quoted.span(group), quoted.end()
-                done = 0
-                if "$" in raw and group != 2:
-                    for x in _INSERT.finditer(raw):
-                        parts += [raw[done : x.start()], name_or(x[1] or x[2], x[0])]
-                        done = x.end()
-                parts.append(raw[done:])
-                source.places.append(span)
-            elif bare := _BARE.match(text, at):
-                word, at = bare[0], bare.end()
-                seen = len(source.names)
-                parts.append(name_or(word.strip("${}"), word))
-                if len(source.names) == seen:
-                    source.places.append(bare.span())
+    scopes = _scopes(text)
+    ends = [len(text) + 1, *(x[1] for x in scopes)]
+    hidden = [frozenset(), *(x[2] for x in scopes)]
+    known: dict[tuple[int, str], tuple[str | Long, Source]] = {}
+    firsts: dict[tuple[int, str], _Pair] = {}
+    found: list[_Pair] = []
+    chain, n_scopes, at, named = [0], 0, 0, None
+    while m := _START.search(text, at):
+        while n_scopes < len(scopes) and scopes[n_scopes][0] <= m.start():
+            n_scopes += 1
+            chain = [x for x in chain if ends[x] > scopes[n_scopes - 1][0]]
+            chain.append(n_scopes)
+        chain = [x for x in chain if ends[x] > m.start()]
+        inside = tuple(chain)
+        name, at = m["name"] or m["argument"] or m["element"], m.end()
+        pair = _Pair(name, [], Source([], []), [], inside)
+        parts, source = pair.parts, pair.source
+
+        def name_or(word: str, raw: str, span: tuple[int, int] | None) -> bool:
+            """Add what a word stands for, or the word as it is; whether it is known."""
+            for scope in reversed(inside):
+                if (scope, word) in known:
+                    parts.append(known[scope, word][0])
+                    source.names.append(known[scope, word][1])
+                    return True
+                if word in hidden[scope]:
+                    break
             else:
-                break
-            plus = _PLUS.match(text, at)
-            if not plus or not (_STRING.match(text, plus.end()) or _WORD.match(text, plus.end())):
-                break
-            at = plus.end()
-        if value := _value(parts) if any(parts) else "":
-            known[m[2]] = (value, source)
-            yield m[2], value, source
+                if _WORD.fullmatch(word):
+                    pair.waiting.append((len(parts), word, span))
+            parts.append(raw)
+            return False
+
+        if m["element"]:
+            body = m["body"]
+            begin = m.start("body") + len(body) - len(body.lstrip())
+            parts.append(body.strip())
+            source.places.append((begin, begin + len(body.strip())))
+            at = m.end("element")  # its attributes may be pairs as well
+        elif m["name"] and (block := _BLOCK.match(text, at)):
+            spans, at = _block(text, block.end(), text.rfind("\n", 0, m.start()) + 1)
+            source.places.extend(spans)
+            parts.append("\n".join(text[x:y] for x, y in spans))
+        else:
+            while True:
+                quoted = _STRING.match(text, at)
+                if quoted:
+                    group = quoted.lastindex or 1
+                    raw, span, at = quoted[group] or "", quoted.span(group), quoted.end()
+                    done = 0
+                    if "$" in raw and group not in _PLAIN:
+                        for x in _INSERT.finditer(raw):
+                            parts.append(raw[done : x.start()])
+                            name_or(x[1] or x[2], x[0], None)
+                            done = x.end()
+                    parts.append(raw[done:])
+                    source.places.append(span)
+                elif bare := _BARE.match(text, at):
+                    word, at = bare[0], bare.end()
+                    if not name_or(word.strip("${}"), word, bare.span()):
+                        source.places.append(bare.span())
+                else:
+                    break
+                plus = _PLUS.match(text, at)
+                if not plus or not (_STRING.match(text, plus.end()) or _WORD.match(text, plus.end())):
+                    break
+                at = plus.end()
+        value = _value(parts) if any(parts) else ""
+        if not value:
+            named = None
+            continue
+        if not m["element"]:
+            known[inside[-1], name] = (value, source)
+            firsts.setdefault((inside[-1], name), pair)
+        found.append(pair)
+        if named and name in _VALUE:
+            found.append(pair._replace(name=named, waiting=[]))
+        named = value if name in _NAMING and isinstance(value, str) and _WORD.fullmatch(value.replace("-", "_")) else None
+    # from below: what a name stands for there may wait for something further down itself
+    place = {id(x.source): i for i, x in enumerate(found)}
+    for i in range(len(found) - 1, -1, -1):
+        pair = found[i]
+        for k, word, span in pair.waiting:
+            later = next((x for scope in reversed(pair.scopes) if (x := firsts.get((scope, word)))), None)
+            if later is not None and place[id(later.source)] > i:
+                pair.parts[k] = _value(later.parts)
+                pair.source.names.append(later.source)
+                if span in pair.source.places:
+                    pair.source.places.remove(span)
+    for pair in found:
+        yield pair.name, _value(pair.parts), pair.source
 
 
 def scan(text: str | None, least: float = 0.4) -> list[Span]:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -68,7 +70,13 @@ def pair_values(text):
 @pytest.mark.parametrize("text,values", [
     ('db_passphrase = "xK9#mQ2$vL7pR4tZ"', ["xK9#mQ2$vL7pR4tZ"]), ('k = "aG7kd82Lmz0Qx9Tt"\nauth_token = k', ["aG7kd82Lmz0Qx9Tt"]), ('a = "aG7kd82L"\nclientSecret: a + "mz0Qx9Tt"', ["aG7kd82L", "mz0Qx9Tt"]),
     ('P="q8Zr71LmWx"\nURL_PWD="${P}9aQ"', ["q8Zr71LmWx", "${P}9aQ"]), ('colour = "aG7kd82Lmz0Qx9Tt"', []), ('my_password = "changeme"', []), ('passphrase: "<your secret>"', []), ("credentials => 'Zx81kQm29vTf'", ["Zx81kQm29vTf"]),
-    ("note: the word of it", []), ('{"privateKey": "MIIEvAIBADANBgkqhkiG9w0"}', ["MIIEvAIBADANBgkqhkiG9w0"]),
+    ("note: the word of it", []), ('passphrase = """aG7kd82L\nmz0Qx9Tt"""\nx = 1', ["aG7kd82L\nmz0Qx9Tt"]), ("api:\n  signing_secret: |\n    aG7kd82Lmz\n\n    0Qx9TtZZ\n  other: 1", ["aG7kd82Lmz", "0Qx9TtZZ"]),
+    ("<cfg><auth_token kind='x'> aG7kd82Lmz0Qx9Tt </auth_token></cfg>", ["aG7kd82Lmz0Qx9Tt"]), ('conf.set("passphrase", "aG7kd82Lmz0Qx9Tt")', ["aG7kd82Lmz0Qx9Tt"]), ('connect(host, client_secret="aG7kd82Lmz0Qx9Tt")', ["aG7kd82Lmz0Qx9Tt"]),
+    ('<add key="passphrase" value="aG7kd82Lmz0Qx9Tt"/>', ["aG7kd82Lmz0Qx9Tt"]), ("- name: DB_PASSPHRASE\n  value: aG7kd82Lmz0Qx9Tt\n- name: COLOUR\n  value: bG7kd82Lmz0Qx9Tt", ["aG7kd82Lmz0Qx9Tt"]),
+    ('auth_token = K\nK = "aG7kd82Lmz0Qx9Tt"', ["aG7kd82Lmz0Qx9Tt"]), ('auth_token = A\nA = B + "Qq1"\nB = "aG7kd82Lmz0Qx9Tt"', ["Qq1", "aG7kd82Lmz0Qx9Tt"]),
+    ('def f():\n    k = "aG7kd82Lmz0Qx9Tt"\n    return k\n\ndef g(k):\n    auth_token = k\n', []), ('k = "aG7kd82Lmz0Qx9Tt"\n\ndef g():\n    auth_token = k\n', ["aG7kd82Lmz0Qx9Tt"]),
+    ('k = "aG7kd82Lmz0Qx9Tt"\ndef g(k, z=1):\n    auth_token = k\n', []), ('function f() { var k = "aG7kd82Lmz0Qx9Tt"; }\nfunction g() { authToken = k; }', []), ('function f() { var k = "aG7kd82Lmz0Qx9Tt"; authToken = k; }', ["aG7kd82Lmz0Qx9Tt"]),
+    ("<b>bold aG7kd82Lmz0Qx9Tt</b>", []), ("a (see: there) <token>", []), ('{"privateKey": "MIIEvAIBADANBgkqhkiG9w0"}', ["MIIEvAIBADANBgkqhkiG9w0"]),
 ])
 def test_pairs(text, values):
     assert pair_values(text) == values
@@ -107,3 +115,32 @@ def test_rows(spark):
     masked = {r.doc_id: r.text for r in secrets.redacted(df).where("doc_id is null or text <> ''").collect()}
     assert masked[None] == "[SECRET]" and "b7db7" not in masked[1] and "aG7kd" not in masked[1]
     assert secrets.find(df.limit(0)).count() == 0
+
+
+def test_pairs_of_made_sources():
+    """Statements in many syntaxes, whose secrets are known as they are made."""
+    rng = random.Random(12)
+    letters = "ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789"
+    forms = [
+        '{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "{n} := `{v}`", "export {n}={v}", '{n} => "{v}",', 'put("{n}", "{v}")', "<{n}>{v}</{n}>", '<x name="{n}" value="{v}"/>', '{n} = """{v}"""', "{n}: |\n    {v}\nnext_line: 1",
+        'c{i} = "{v}"\n{n} = c{i}', '{n} = d{i}\nd{i} = "{v}"', 'def f{i}(x):\n    e{i} = "{v}"\n    {n} = e{i}\n',
+    ]
+    for _ in range(300):
+        text, want = "", []
+        for i in range(rng.randrange(1, 12)):
+            form, value = rng.choice(forms), "".join(rng.choice(letters) for _ in range(20)) + "a1B"
+            telling = rng.random() < 0.6
+            name = f"{rng.choice(['db', 'my', 'x'])}_{rng.choice(['passphrase', 'credentials', 'private_key']) if telling else rng.choice(['colour', 'weight', 'title'])}"
+            made = form.format(n=name, v=value, i=i)
+            if telling:
+                want.append((len(text) + made.index(value), value))
+            text += made + "\n" + rng.choice(["", "\n", "plain words stand here\n"])
+        got = [(s.start, text[s.start : s.end]) for s in secrets.scan(text) if s.kind == "pair"]
+        assert got == sorted(want), text
+
+
+@pytest.mark.parametrize("text", ["<a " * 20000, "x(" * 20000, '"""' * 9999, "a: |\n" * 9999, "def f(" * 9999, "f(a) {" * 9999, "k" * 100000 + "=", "a=" * 30000, "<a>b" * 20000, "name: x\nvalue: y\n" * 5000, "{" * 50000, "a_b = c\n" * 9999])
+def test_odd_texts_take_time_in_proportion(text):
+    began = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - began < 5

@@ -18,12 +18,8 @@ from quillspark.llm._shared import discard, fresh, own_columns, sized_join, slic
 #: Labelled documents that the text model is fitted to, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
 RIDGE, ROUNDS = 1.0, 30
-#: Text evidence stops here, so that no single document outweighs its site without bound. Log odds.
-MOST_EVIDENCE = 12.0
-#: Bounds of the number of documents that a prior counts for.
-LEAST_PRIOR, MOST_PRIOR = 1.0, 1e4
-#: A site moves a document's log odds by no more than this.
-MOST_SITE = 2.0
+#: Bounds of the number of documents that a prior counts for, and distance of rates from 0 and 1: for the arithmetic only.
+LEAST_PRIOR, MOST_PRIOR, EDGE = 1e-3, 1e12, 1e-9
 
 FEATURES = ("length", "upper", "symbols", "exclaim", "bars", "digits", "word_length", "distinct", "repeats", "marks", "double_lines", "spaces")
 
@@ -57,7 +53,7 @@ class TextModel(NamedTuple):
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.scale
-        return np.clip(z @ self.weights[:-1] + self.weights[-1], -MOST_EVIDENCE, MOST_EVIDENCE)
+        return z @ self.weights[:-1] + self.weights[-1]
 
 
 def _logit(p: float) -> float:
@@ -85,17 +81,19 @@ def fit(x: np.ndarray, y: np.ndarray) -> TextModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> TextModel:
-    """Fit the text model to ``sample`` labelled documents at most. Features are taken on the executors."""
+    """Fit the text model to ``sample`` labelled documents at most, of repeated labels to the highest. Features are taken
+    on the executors."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("y"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(known), id_col).select(text_col, "y")
+    rows = docs.select(id_col, text_col).join(F.broadcast(known), id_col).select(text_col, "y", F.xxhash64(id_col, text_col).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                yield pa.RecordBatch.from_pydict({"x": pa.array([features(t) for t in part.column(0).to_pylist()], pa.list_(pa.float64())), "y": part.column(1)})
+                yield pa.RecordBatch.from_pydict({"x": pa.array([features(t) for t in part.column(0).to_pylist()], pa.list_(pa.float64())), "y": part.column(1), "h": part.column(2)})
 
-    got = rows.mapInArrow(run, "x array<double>, y double").limit(2 * sample).toPandas()
+    # ids that repeat in docs: of their rows, those with the smallest hashes
+    got = rows.mapInArrow(run, "x array<double>, y double, h bigint").orderBy("h", "x").limit(2 * sample).toPandas()
     return fit(np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES)), got["y"].to_numpy(dtype=float))
 
 
@@ -144,7 +142,7 @@ def sites(scored: DataFrame, host: str, path: str, log_odds: str) -> tuple[DataF
     hosts = paths.groupBy("host_").agg(F.sum("n").alias("host_n"), F.sum("k").alias("host_k"))
     total = hosts.agg(F.sum("host_n"), F.sum("host_k")).first()
     mean = (total[1] or 0.0) / total[0] if total[0] else 0.5
-    mean = min(0.999, max(0.001, mean))
+    mean = min(1 - EDGE, max(EDGE, mean))
     m_host = _strength(hosts.select(F.col("host_n").alias("n"), F.col("host_k").alias("k")), F.lit(mean))
     both = written(sized_join(paths, hosts, ["host_"], "inner"), "sites")
     m_path = _strength(both, (F.col("host_k") + m_host * mean) / (F.col("host_n") + m_host))
@@ -159,11 +157,10 @@ def combined(scored: DataFrame, both: DataFrame, mean: float, m_host: float, m_p
     rows = scored.withColumns({h: F.coalesce(F.col(host).cast("string"), F.lit("")), q: F.coalesce(F.col(path).cast("string"), F.lit(""))})
     rows = sized_join(rows, both, [h, q])
     own = 1 / (1 + F.exp(-F.col(log_odds)))
-    within = lambda x: F.least(F.lit(0.999), F.greatest(F.lit(0.001), x))
+    within = lambda x: F.least(F.lit(1 - EDGE), F.greatest(F.lit(EDGE), x))
     host_mean = within((F.col(hk) - own + m_host * mean) / (F.col(hn) - 1 + m_host))
     path_mean = within((F.col(k) - own + m_path * host_mean) / (F.col(n) - 1 + m_path))
     shift = F.ln(path_mean / (1 - path_mean)) - math.log(mean / (1 - mean))
-    shift = F.least(F.lit(MOST_SITE), F.greatest(F.lit(-MOST_SITE), shift))
     return rows.withColumns({names[0]: host_mean, names[1]: path_mean, names[2]: 1 / (1 + F.exp(-(F.col(log_odds) + shift)))}).drop(h, q, n, k, hn, hk)
 
 

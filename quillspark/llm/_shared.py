@@ -9,7 +9,9 @@ import functools
 import operator
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,6 +115,43 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def squeezed(x: bytes) -> bytes:
+    """Compressed bytes, with their number in front."""
+    return len(x).to_bytes(5, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def loosened(x: bytes) -> bytes:
+    return pa.decompress(x[5:], int.from_bytes(x[:5], "little"), codec="zstd", asbytes=True)
+
+
+def packed(x: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of ``width`` bytes, compressed: all lowest bytes first, so that small numbers take little."""
+    return squeezed(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
+
+
+def unpacked(x: bytes, width: int = 4) -> np.ndarray:
+    thin = np.frombuffer(loosened(x), dtype=np.uint8)
+    return np.ascontiguousarray(thin.reshape(width, -1).T).reshape(-1).view(f"<u{width}").astype(np.int64 if width < 8 else np.uint64)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of rows with one key (bigint), of batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        own = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y > x:
+                if held and own[x] != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = own[x]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def trim() -> None:
     """Give freed memory back at the end of a partition: Python workers are used again and would keep it."""
     pa.default_memory_pool().release_unused()

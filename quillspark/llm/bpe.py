@@ -1,12 +1,16 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct words (matches of the split pattern) of a block of documents are laid out as one flat linked list of
-byte tokens. An inverted index holds, for each rank, the positions of the token pairs that merge to it. The merges
-are then replayed over the block in rank order: each step takes the positions listed under the lowest rank left,
-merges them at once, and looks at nothing but the pairs that touch a merged position. Merges in one word never
-depend on another word, so a corpus may be cut into blocks of any size: every block replays the same merges. A block
-is bounded by its number of distinct words, so memory doesn't follow the corpus, no table of words is shuffled or
-broadcast, and a lost task is simply run again.
+The distinct words (matches of the split pattern) of the corpus are gathered: texts are split in blocks of a bounded
+number of matches, a block hands on each of its distinct words once, and words are dealt out by their hash, so each
+distinct word of the corpus is in one part. A part lays its words out as one flat linked list of byte tokens. An
+inverted index holds, for each rank, the positions of the token pairs that merge to it. The merges are replayed in
+rank order: each step takes the positions listed under the lowest rank left, merges them at once, and looks at nothing
+but the pairs that touch a merged position. Merges in one word never depend on another word, so parts change nothing
+but who does the work, and a word is encoded once, however many documents hold it. Blocks get the ids of their words
+back in the order in which they sent them, and encode, decode and digest their texts.
+
+Memory follows the sizes of a block and a part, nothing is collected, and what goes between tasks is compressed: words,
+ids of words, and the numbers that stand for words in texts.
 """
 
 from __future__ import annotations
@@ -14,17 +18,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quillspark.llm._shared import slices, trim
+from quillspark.llm._shared import grouped, loosened, packed, slices, squeezed, trim, unpacked, written
 
-#: Distinct words whose merges are replayed together, about; the only effect is on memory.
-BLOCK_WORDS = 150_000
+#: Matches of the pattern in a block of texts, and distinct words whose merges are replayed together, about; bytes of text
+#: whose words make a part. The only effect is on memory and on what is shuffled.
+BLOCK_MATCHES, REPLAY_WORDS, PART_BYTES = 2_000_000, 150_000, 8_000_000
+#: Rows of a block: documents; numbers of the words in their texts; words, or their ids, by part.
+DOCUMENTS, NUMBERS, WORDS = range(3)
 #: Positions whose pairs are looked up at once.
 CHUNK = 1 << 18
 
@@ -207,56 +218,113 @@ class Ranks:
         return self.token_bytes[at].tobytes()
 
 
-class Encoder:
-    """Encodes documents block by block; words seen since the last reset are not replayed again."""
-
-    def __init__(self, ranks: Ranks, block_words: int = BLOCK_WORDS):
-        self.ranks, self.block_words = ranks, block_words
-        self.reset()
-
-    def reset(self) -> None:
-        self.place: dict[str, int] = {}
-        self.done = 0
-        self.ids = np.zeros(0, dtype=np.int32)
-        self.starts = np.zeros(1, dtype=np.int64)
-        self.said: list[str] = []
-
-    def split(self, text: str) -> np.ndarray:
-        words, place = self.ranks.pattern.findall(text), self.place
-        for w in set(words).difference(place):
-            place[w] = len(place)
-        return np.fromiter(map(place.__getitem__, words), dtype=np.int32, count=len(words))
-
-    def replay(self) -> None:
-        new = [w.encode() for w in list(self.place)[self.done :]]
-        if not new:
-            return
-        ids, starts = self.ranks.replay(new)
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + starts[1:]])
-        self.done = len(self.place)
-
-    def document(self, words: np.ndarray) -> np.ndarray:
-        begin, sizes = self.starts[words], self.starts[words + 1] - self.starts[words]
-        if not len(words):
-            return np.zeros(0, dtype=np.int32)
-        ends = np.cumsum(sizes)
-        return self.ids[np.arange(int(ends[-1])) + np.repeat(begin - (ends - sizes), sizes)]
-
-    def encoded(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text in turn, replaying whenever a block is full."""
-        if len(self.place) > self.block_words:
-            self.reset()
-        waiting: list[np.ndarray] = []
-        for text in texts:
-            waiting.append(self.split(text or ""))
-            if len(self.place) - self.done > self.block_words:
-                self.replay()
-                yield from map(self.document, waiting)
-                waiting = []
-                self.reset()
-        self.replay()
-        yield from map(self.document, waiting)
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of a flat array that begin at ``starts``, in the order of ``which``, and their sizes."""
+    begin, sizes = starts[which], starts[which + 1] - starts[which]
+    ends = np.cumsum(sizes)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)], sizes
+
+
+def split(docs: DataFrame, pattern: str, parts: int, block_matches: int = BLOCK_MATCHES) -> DataFrame:
+    """Rows of each block (``block, kind, i, id, n, a``): its documents (``id``, ``n`` matches), the numbers of the words in
+    their texts (``a``, in order of the documents), and its distinct words by part (``a`` bytes, ``b`` lengths).
+
+    Words are numbered by how often they stand in the block; ``c`` of the first row of numbers has their places among
+    the words by part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, fields = regex.compile(pattern).findall, None
+        part, n_blocks = TaskContext.get().partitionId() << 24, 0
+        numbers, texts, ids, total = _Numbers(), [], [], 0
+
+        def rows(row: int, index: list[int], **columns: pa.Array) -> pa.RecordBatch:
+            own = {"block": pa.array([part + n_blocks] * len(index), pa.int64()), "kind": pa.array([row] * len(index), pa.int32()), "i": pa.array(index, pa.int64())} | columns
+            return pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(len(index), f.type)) for f in fields], schema=fields)
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            sizes = [len(x) for x in texts]
+            yield rows(DOCUMENTS, list(range(len(texts))), id=pa.concat_arrays(ids), n=pa.array(sizes, pa.int64()))
+            flat = np.concatenate(texts)
+            order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+            number = np.empty(len(order), dtype=np.int64)
+            number[order] = np.arange(len(order))
+            words = [w.encode("utf-8", "surrogatepass") for w in numbers]
+            words = [words[k] for k in order.tolist()]
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+            to = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            by_part = np.argsort(to, kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[by_part] = np.arange(len(order))
+            flat = number[flat]
+            cuts = list(range(0, max(1, len(flat)), 1_000_000))
+            c = pa.array([packed(place), *[None] * (len(cuts) - 1)], pa.binary())
+            yield rows(NUMBERS, list(range(len(cuts))), a=pa.array([packed(flat[k : k + 1_000_000]) for k in cuts], pa.binary()), c=c)
+            bounds = np.searchsorted(to[by_part], np.arange(parts + 1))
+            for k in range(0, parts, 200):
+                index = [p for p in range(k, min(k + 200, parts)) if bounds[p] < bounds[p + 1]]
+                own = [[words[w] for w in by_part[bounds[p] : bounds[p + 1]].tolist()] for p in index]
+                a = [squeezed(b"".join(x)) for x in own]
+                yield rows(WORDS, index, a=pa.array(a, pa.binary()), b=pa.array([packed(np.array([len(w) for w in x])) for x in own], pa.binary()))
+
+        for batch in batches:
+            for piece in slices(batch, 1):
+                fields = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("i", pa.int64()), ("id", piece.schema.field(0).type), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+                done = 0
+                for k, text in enumerate(piece.column(1).to_pylist()):
+                    found = find(text or "")
+                    if total and total + len(found) > block_matches:
+                        ids.append(piece.column(0).slice(done, k - done))
+                        yield from flushed()
+                        n_blocks, done, total = n_blocks + 1, k, 0
+                        numbers, texts, ids = _Numbers(), [], []
+                    texts.append(np.fromiter(map(numbers.__getitem__, found), dtype=np.int32, count=len(found)))
+                    total += len(found)
+                ids.append(piece.column(0).slice(done))
+        if texts:
+            yield from flushed()
+        numbers, texts, ids = _Numbers(), [], []
+        trim()
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"block bigint, kind int, i bigint, id {kind}, n bigint, a binary, b binary, c binary")
+
+
+def replayed(held: DataFrame, ranks_of: Callable[[], Ranks], replay_words: int = REPLAY_WORDS) -> DataFrame:
+    """``block, kind, i, a, b``: the ids of each block's words of a part, and their numbers, in the order of the words.
+
+    All blocks' words of a part meet; each distinct one takes part in one replay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = ranks_of()
+        for table in grouped(batches, "i"):
+            numbers, which = _Numbers(), []
+            for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
+                joined = loosened(a)
+                ends = np.cumsum(unpacked(b)).tolist()
+                own = [joined[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+                which.append(np.fromiter(map(numbers.__getitem__, own), dtype=np.int64, count=len(own)))
+            words = list(numbers)
+            flat, starts = [], [np.zeros(1, dtype=np.int64)]
+            for k in range(0, len(words), replay_words):
+                ids, at = ranks.replay(words[k : k + replay_words])
+                flat.append(ids.astype(np.int32))
+                starts.append(at[1:] + starts[-1][-1])
+            flat, starts = np.concatenate(flat), np.concatenate(starts)
+            out = [_gathered(flat, starts, x) for x in which]
+            columns = [table.column(c).combine_chunks() for c in ("block", "kind", "i")]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([packed(x[k]) for x in out], pa.binary()) for k in (0, 1))], names=["block", "kind", "i", "a", "b"])
+        trim()
+
+    rows = held.where(F.col("kind") == WORDS).select("block", "kind", "i", "a", "b").repartition("i").sortWithinPartitions("i", "block")
+    return rows.mapInArrow(run, "block bigint, kind int, i bigint, a binary, b binary")
 
 
 _loaded: dict[str, Ranks] = {}
@@ -269,7 +337,7 @@ def _ranks(key: str, lines: bytes, pattern: str) -> Ranks:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_matches: int = BLOCK_MATCHES) -> DataFrame:
     """Encode every whole text, without special tokens, and decode the ids again.
 
     Returns one row per row of ``docs``: ``id_col``, ``n_tokens``, ``ids`` (with_ids: array of int), ``ids_sha256`` (of
@@ -281,30 +349,47 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
         lines = f.read()
     vocabulary = docs.sparkSession.sparkContext.broadcast(lines)
     key = hashlib.sha256(lines + pattern.encode()).hexdigest()
-    id_type = docs.schema[id_col].dataType.simpleString()
+    ranks_of = lambda: _ranks(key, vocabulary.value, pattern)
+    id_type = docs.schema[id_col].dataType
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    parts = math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1) / PART_BYTES)
+    held = written(split(texts, pattern, parts, block_matches), "split")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("id", id_type), ("n", "bigint"))]
+    given = replayed(held, ranks_of).select("block", "kind", "i", *nothing, "a", "b", F.lit(None).cast("binary").alias("c"))
+    rows = held.where(F.col("kind") != WORDS).unionByName(given).repartition("block").sortWithinPartitions("block", "kind", "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(key, vocabulary.value, pattern)
-        encoder, decimal = Encoder(ranks), ranks.decimal.__getitem__
-        for batch in batches:
-            for part in slices(batch, 1):
+        ranks = ranks_of()
+        decimal = ranks.decimal.__getitem__
+        for table in grouped(batches, "block"):
+            cuts = np.searchsorted(table.column("kind").to_numpy(), np.arange(4))
+            documents, numbers, words = (table.slice(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False))
+            sizes = [unpacked(x) for x in words.column("b").to_pylist()]
+            starts = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))]).astype(np.int64)
+            flat = np.concatenate([*[unpacked(x).astype(np.int32) for x in words.column("a").to_pylist()], np.zeros(0, np.int32)])
+            place = unpacked(numbers.column("c")[0].as_py())
+            own = np.concatenate([unpacked(x).astype(np.int32) for x in numbers.column("a").to_pylist()])
+            ends = np.cumsum(documents.column("n").to_numpy())
+            del sizes, table
+            for k in range(0, documents.num_rows, 500):
                 n, ids_list, digests, decoded = [], [], [], []
-                for ids in encoder.encoded(part.column(1).to_pylist()):
+                part = documents.slice(k, 500)
+                for x, y in zip([int(ends[k - 1]) if k else 0, *ends[k : k + 499].tolist()], ends[k : k + 500].tolist(), strict=False):
+                    ids, _ = _gathered(flat, starts, place[own[x:y]])
                     n.append(len(ids))
                     digests.append(hashlib.sha256(" ".join(map(decimal, ids.tolist())).encode()).hexdigest())
                     decoded.append(hashlib.sha256(ranks.decode(ids)).hexdigest())
                     if with_ids:
                         ids_list.append(ids)
-                out = {id_col: part.column(0), "n_tokens": pa.array(n, pa.int64())}
+                out = {id_col: part.column("id").combine_chunks(), "n_tokens": pa.array(n, pa.int64())}
                 if with_ids:
                     out["ids"] = pa.array(ids_list, pa.list_(pa.int32()))
                 out |= {"ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
                 yield pa.RecordBatch.from_pydict(out)
-        del encoder
         trim()
 
     ids_type = "ids array<int>, " if with_ids else ""
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens bigint, {ids_type}ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, n_tokens bigint, {ids_type}ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import discard, own_columns, sized_join, slices, text_or_empty, trim, written
+from quillspark.llm._shared import discard, grouped, own_columns, sized_join, slices, text_or_empty, trim, written
 from quillspark.llm.graph import components
 from quillspark.llm.simhash import CHUNK, SEED
 
@@ -325,8 +325,7 @@ def _compared(clusters: DataFrame, width: int, similarity: float) -> DataFrame:
     rows = rows.withColumn("meet", F.explode(meets)).withColumn("bucket", F.xxhash64("cluster", "meet"))
     rows = rows.select("bucket", "rep", "label", "s0", "s1", "block", (F.col("meet.lo") != F.col("meet.hi")).alias("across"), "text").repartition("bucket").sortWithinPartitions("bucket")
 
-    def linked(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
+    def linked(table: pa.Table) -> Iterator[pa.RecordBatch]:
         reps, labels, s0, s1, block = (table.column(c).to_numpy() for c in ("rep", "label", "s0", "s1", "block"))
         across = bool(table.column("across")[0].as_py())
         sigs = np.stack([s0, s1], axis=1).view(np.uint64)
@@ -358,20 +357,8 @@ def _compared(clusters: DataFrame, width: int, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(reps[x], reps[y])), pa.array(np.minimum(reps[x], reps[y]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            own = batch.column("bucket").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if held and own[x] != last:
-                    yield from linked(held)
-                    held = []
-                held.append(batch.slice(x, y - x))
-                last = own[x]
-        if held:
-            yield from linked(held)
-        held = []
+        for table in grouped(batches, "bucket"):
+            yield from linked(table)
         trim()
 
     return rows.mapInArrow(run, "a bigint, b bigint")

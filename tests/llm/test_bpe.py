@@ -18,8 +18,13 @@ REFERENCE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeabl
 HARD = ["", " ", "a", "aaaaaaaaaaaa aaaaaaa", "  \n\n\t x", "😀é́ ١٢٣ ½", "abcabc" * 40, " " * 3000, "=-" * 1000, "\x1c\x85a\xa0b", "don't we'll I'D", "<|endoftext|>", "\x00\x01"]
 
 
-def ids(texts, block=bpe.BLOCK_WORDS):
-    return [x.tolist() for x in bpe.Encoder(RANKS, block).encoded(texts)]
+def ids(texts):
+    """By one replay over the distinct words of all texts."""
+    found = [RANKS.pattern.findall(t) for t in texts]
+    words = list(dict.fromkeys(w for x in found for w in x))
+    flat, starts = RANKS.replay([w.encode() for w in words])
+    of = {w: flat[starts[k] : starts[k + 1]].tolist() for k, w in enumerate(words)}
+    return [[i for w in x for i in of[w]] for x in found]
 
 
 def test_matches_the_library():
@@ -34,9 +39,32 @@ def test_any_text(texts):
     assert [RANKS.decode(bpe.np.array(x, dtype=int)).decode() for x in got] == texts
 
 
-def test_blocks_do_not_matter(spark, sf_dir):
-    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    assert ids(texts, 50) == ids(texts) == [REFERENCE.encode_ordinary(t) for t in texts]
+@pytest.mark.parametrize("matches,part,replay", [(bpe.BLOCK_MATCHES, bpe.PART_BYTES, bpe.REPLAY_WORDS), (500, 9000, 40)])
+def test_blocks_and_parts_do_not_matter(spark, sf_dir, monkeypatch, matches, part, replay):
+    monkeypatch.setattr(bpe, "PART_BYTES", part)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(100).cache()
+    hard = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(HARD)], "doc_id bigint, text string")
+    docs = docs.union(hard).repartition(3)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, PATH, public_tokenizers.PATTERN, block_matches=matches).collect()}
+    assert got == {r.doc_id: REFERENCE.encode_ordinary(r.text) for r in docs.collect()}
+
+
+def test_a_word_is_replayed_once(spark):
+    """However many blocks and documents hold it."""
+    docs = spark.createDataFrame([(i, f"same words again number{i % 7}") for i in range(300)], "id bigint, text string").repartition(4)
+    held = bpe.split(docs, public_tokenizers.PATTERN, 5, 50).cache()
+    seen = spark.sparkContext.accumulator(0)
+    lines = LINES
+
+    def counting():
+        ranks = bpe.Ranks(lines, public_tokenizers.PATTERN)
+        replay = ranks.replay
+        ranks.replay = lambda words: (seen.add(len(words)), replay(words))[1]
+        return ranks
+
+    assert held.where(f"kind = {bpe.DOCUMENTS}").count() == 300 and held.select("block").distinct().count() > 20
+    assert bpe.replayed(held, counting).count() > 20
+    assert seen.value == len({w for i in range(7) for w in RANKS.pattern.findall(f"same words again number{i}")})
 
 
 def test_a_merge_of_lower_rank_goes_first():

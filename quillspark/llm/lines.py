@@ -52,13 +52,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``n_lines`` and ``n_removed`` follow.
     """
     wanted = F.array_distinct(F.transform(_split(text_col), lambda x: F.trim(x)))
-    lines = docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.explode(wanted).alias("line")).where("line <> ''")
-    hashed = written(lines.select("id", "site", _hashes(F.col("line")).alias("h")).select("id", "site", "h.h1", "h.h2"), "lines")
+    part = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(0)  # rows without an id are told apart by their texts
+    lines = docs.select(F.col(id_col).alias("id"), part.alias("part"), F.col(site_col).alias("site"), F.explode(wanted).alias("line")).where("line <> ''")
+    hashed = written(lines.select("id", "part", "site", _hashes(F.col("line")).alias("h")).select("id", "part", "site", "h.h1", "h.h2"), "lines")
     common = written(boilerplate(hashed, sites), "boilerplate")
     hits = sized_join(hashed, common, ["h1", "h2"], "inner").where(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
-    gone, key, lines_, kept = fresh(docs, "gone", "key", "lines", "kept")
-    drops = hits.groupBy(F.col("id").alias(key)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
-    out = docs.join(drops, docs[id_col].eqNullSafe(drops[key]), "left")
+    gone, key, own, lines_, kept = fresh(docs, "gone", "key", "part", "lines", "kept")
+    drops = hits.groupBy(F.col("id").alias(key), F.col("part").alias(own)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
+    out = docs.join(drops, docs[id_col].eqNullSafe(drops[key]) & (part == drops[own]), "left")
     out = out.withColumn(lines_, F.when(F.col(gone).isNotNull(), _split(text_col)))
     out = out.withColumn(kept, F.filter(lines_, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(gone), _hashes(F.trim(x)))))
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

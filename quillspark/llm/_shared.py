@@ -52,6 +52,17 @@ def discard(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+def tables() -> set[str]:
+    """Paths of the tables made by ``written`` that are still there."""
+    return set(_tables)
+
+
+def discard_since(before: set[str], *kept: DataFrame) -> None:
+    """Delete the tables made since, but for those kept, of which nothing will be read again."""
+    for path in set(_tables) - before - {getattr(t, "_quill_path", None) for t in kept}:
+        _delete(_tables.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

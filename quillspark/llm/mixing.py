@@ -22,9 +22,9 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x"), BLANKS, "")).cast("bigint")
 
 
-def _key(doc_id: Column, seed: str) -> Column:
-    """60 random bits of an id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
+def _key(doc_id: Column, text: Column, seed: str) -> Column:
+    """60 random bits of an id, or of the text where there is none."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(text))))), 1, 15), 16, 10).cast("bigint")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -54,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"),
-        _key(F.col(id_col), seed).alias("key"), F.md5(text_or_empty(text_col)).alias("tie"),
+        _key(F.col(id_col), text_or_empty(text_col), seed).alias("key"), F.md5(text_or_empty(text_col)).alias("tie"),
     )
 
 
@@ -83,8 +83,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     The size of a document is its number of words, 0 for null. Each source takes exactly its target, rounded to a
     word: whole epochs over all its documents, then documents in the order of a hash of their id until the rest is
-    used up; the last one may be taken in part. Keys depend on ids and the seed only, so reruns agree; ties go by id,
-    size and a digest of the text, so equal rows alone can change places. A null source is a source like any other,
+    used up; the last one may be taken in part. Keys depend on ids (on texts where there is none) and the seed only, so reruns agree; ties go by
+    id, size and a digest of the text, so equal rows alone can change places. A null source is a source like any other,
     after the others. Repeated and null ids keep their own rows. Only ids, sizes and keys are shuffled, never texts.
     """
     placed, _ = _placed(docs, id_col, text_col, source_col, weights, seed, most)
@@ -106,7 +106,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     cuts = written(sources.join(last, ["s", "no_source"], "left").select("s", "no_source", "epochs", "cut"), "cuts")
     s, none, key, size, tie, cut, epochs, copies = fresh(docs, "s", "no_source", "key", "size", "tie", "cut", "epochs", "copies")
     cuts = cuts.toDF(s, none, epochs, cut)
-    rows = docs.withColumns({s: F.coalesce(source_col, F.lit("")), none: F.col(source_col).isNull(), key: _key(F.col(id_col), seed), size: word_count(text_or_empty(text_col)), tie: F.md5(text_or_empty(text_col))})
+    rows = docs.withColumns({s: F.coalesce(source_col, F.lit("")), none: F.col(source_col).isNull(), key: _key(F.col(id_col), text_or_empty(text_col), seed), size: word_count(text_or_empty(text_col)), tie: F.md5(text_or_empty(text_col))})
     rows = sized_join(rows, cuts, [s, none], "inner")
     own = F.struct(F.col(key).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(size).alias("size"), F.col(tie).alias("tie"))
     within = F.coalesce(own <= F.col(cut), F.lit(False)).cast("int")
@@ -118,7 +118,7 @@ MIX_SQL = r"""
 with d as (
   select doc_id, source,
     length(translate(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::bigint as size,
-    cast('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, '')), 1, 15) as bigint) as k, md5(coalesce(text, '')) as tie
+    cast('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, '')))), 1, 15) as bigint) as k, md5(coalesce(text, '')) as tie
   from documents),
 s0 as (select source, sum(size)::bigint as source_size from d group by source),
 s as (select *, case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w from s0),

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import bpe, lines, mixing, nearcopies, quality
-from quillspark.llm._shared import discard, read, written
+from quillspark.llm._shared import discard_since, read, tables, written
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,13 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. Results of stages are written to the shared folder, and deleted once read."""
-    docs, before = read(spark, sf_dir, "documents"), None
+    """All stages over ``documents``. Results of stages are written to the shared folder, and deleted once read, as are
+    all tables that a stage has made on its way."""
+    docs = read(spark, sf_dir, "documents")
+    before = tables()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage{i}")
-            if before is not None:
-                discard(before)
-            before = docs
+            discard_since(before, docs)
     return docs

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import containment, normalize, token_set
+from quillspark.functions.text import containment, jaccard, lexical, normalize, token_set
+from quillspark.operators.ordering import ranked
 
 PAIR_KEY = ["task_id", "q_index", "question"]
 
@@ -25,6 +26,20 @@ def with_verdicts(answers: DataFrame, judged: DataFrame, keys: list[str], verdic
     return answers.join(judged.select(*keys, verdict), keys, "left").withColumn(verdict, F.coalesce(verdict, F.lit("unjudged")))
 
 
+def with_similarity(decoded: DataFrame, direct: DataFrame, keys: list[str], a: str, b: str, name: str = "similarity") -> DataFrame:
+    """All decoded rows with the Jaccard similarity of their text ``a`` to the direct one's ``b``; one that has no direct
+    row, or a null text, is compared with an empty text, which gives 0."""
+    both = decoded.join(direct.select(*keys, F.col(b).alias("_direct")), keys, "left")
+    sets = [token_set(lexical(F.coalesce(F.col(c), F.lit("")))) for c in (a, "_direct")]
+    return both.withColumn(name, jaccard(*sets)).drop("_direct")
+
+
+def zipped(a: DataFrame, b: DataFrame, order_a: str, order_b: str, names: tuple[str, str]) -> DataFrame:
+    """Rows of both sides at the same place of their orders; the longer side's rest goes."""
+    left, right = ranked(a, order_a, [], "_place").withColumnRenamed(order_a, names[0]), ranked(b, order_b, [], "_place").withColumnRenamed(order_b, names[1])
+    return left.select("_place", names[0]).join(right.select("_place", names[1]), "_place").drop("_place")
+
+
 def crossed(a: DataFrame, b: DataFrame, excluded: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """All combinations of two small dimensions less the excluded ones."""
     both = a.crossJoin(F.broadcast(b))

@@ -115,8 +115,18 @@ def reused_records(records: DataFrame, condition: str = "R-CABLESE-LOWERCASE") -
     return view(records, "record").where(F.col("condition") == condition)
 
 
-def passages(tasks: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """``task_id, passage``: a map of overrides (one row, one map column) wins over the bank."""
+def passages(tasks: DataFrame, overrides: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """``task_id, passage``: a map of overrides (one row, one map column) wins over the bank. Of the ids that are
+    ``wanted`` (``task_id``), one without a passage is an error."""
+    found = _passages(tasks, overrides)
+    if wanted is not None:
+        lost = wanted.select("task_id").distinct().join(found.where("passage is not null"), "task_id", "left_anti").limit(5).collect()
+        if lost:
+            raise ScanError("no passage for: " + ", ".join(sorted(str(r.task_id) for r in lost)))
+    return found
+
+
+def _passages(tasks: DataFrame, overrides: DataFrame | None) -> DataFrame:
     bank = tasks.select(F.col("id").alias("task_id"), "passage")
     if overrides is None:
         return bank

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import text_or_empty, written
+from quillspark.functions.stats import place_in
+from quillspark.llm._shared import sized_join, text_or_empty, written
 
 #: Shares of all documents that a term of the lexicon stands in: idf between ln 64 and ln 512. There are at most
 #: (mean number of distinct terms in a document) / RARE such terms, however many documents there are.
@@ -31,28 +32,37 @@ def term_hash(term: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", rare: float = RARE, frequent: float = FREQUENT, rates: tuple[float, ...] = RATES) -> DataFrame:
-    """``h`` (hash of a term in the band) and ``mask`` (bit i: sub-lexicon i keeps the term).
+    """``h`` (hash of a term in the band) and ``sub`` (a sub-lexicon that keeps the term), a row for each of both.
 
     Document frequencies are counted over all documents. A term in fewer than two documents is never kept.
     """
     n = docs.count()
     df = docs.select(F.explode(F.transform(terms(F.col(text_col)), term_hash)).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     band = df.where((F.col("df") >= max(2, math.ceil(n * rare))) & (F.col("df") <= max(2, math.floor(n * frequent))) & (F.col("h") != _END))
-    mask = F.lit(0).cast("bigint")
-    for i, rate in enumerate(rates):
-        keep = F.pmod(F.xxhash64("h", F.lit(i + 1)), F.lit(1 << 30)) < int(rate * (1 << 30))
-        mask = mask.bitwiseOR(F.when(keep, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return written(band.select("h", mask.alias("mask")).union(docs.sparkSession.sql(f"select bigint({_END}), 0L")), "lexicon")
+    keep = [F.when(F.pmod(F.xxhash64("h", F.lit(i + 1)), F.lit(1 << 30)) < int(rate * (1 << 30)), F.lit(i)) for i, rate in enumerate(rates)]
+    kept = band.select("h", F.explode(F.array_compact(F.array(*keep))).alias("sub"))
+    return written(kept.union(docs.sparkSession.sql(f"select bigint({_END}), -1")), "lexicon")
 
 
-def _subset_hashes(sorted_terms: Column, n: int) -> Column:
-    """32 bits for each sub-lexicon: the hash of the sorted terms that it keeps, null if it keeps none."""
+def _subset_hashes(found: Column, n: int) -> Column:
+    """32 bits for each sub-lexicon: the hash of the sorted terms that it keeps, null if it keeps none.
 
-    def one(i: Column) -> Column:
-        kept = F.filter(sorted_terms, lambda t: F.getbit(t["mask"], i) == 1)
-        return F.when(F.size(kept) > 0, F.xxhash64(F.transform(kept, lambda t: t["h"])).bitwiseAND(0xFFFFFFFF))
+    ``found`` has pairs (sub-lexicon, term), sorted; one fold goes over them and fills the places of sub-lexicons in turn.
+    """
+    nulls = lambda k: F.array_repeat(F.lit(None).cast("bigint"), k)
+    start = F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("bigint").alias("run"), nulls(F.lit(0)).alias("done"))
+
+    def closed(acc: Column, upto: Column) -> Column:
+        """Hashes of all sub-lexicons before ``upto``."""
+        ended = F.concat(acc["done"], F.array(acc["run"].bitwiseAND(0xFFFFFFFF)), nulls(upto - acc["sub"] - 1))
+        return F.when(acc["sub"] < 0, nulls(upto)).otherwise(ended)
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["sub"] == x["sub"]
+        run = F.xxhash64(F.when(same, acc["run"]).otherwise(F.lit(0).cast("bigint")), x["h"])
+        return F.struct(x["sub"].alias("sub"), run.alias("run"), F.when(same, acc["done"]).otherwise(closed(acc, x["sub"])).alias("done"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
+    return F.aggregate(found, start, step, lambda acc: closed(acc, F.lit(n)))
 
 
 def shown(hashes: Column, plain: Column) -> Column:
@@ -72,7 +82,8 @@ def likeness(a: Column, b: Column, same_text: Column) -> Column:
 def _hashed(rows: DataFrame, key: list[str], texts: list[str], payload: list[str], words: DataFrame, n: int) -> DataFrame:
     """``key``, ``payload`` and, for each of ``texts``, ``<text>_hashes`` and ``<text>_plain``.
 
-    If ``rows`` are dealt out by a part of ``key``, nothing is shuffled: the lexicon, whose size is bounded, is broadcast.
+    If ``rows`` are dealt out by a part of ``key``, nothing is shuffled: the lexicon, whose size is bounded by the number of
+    distinct terms of a document, is broadcast, unless texts are so long that it is too large for that.
     """
     own = F.struct(*payload, *[F.xxhash64(F.lower(F.col(t))).alias(f"{t}_plain") for t in texts])
     none = F.lit(None).cast(rows.select(own.alias("x")).schema["x"].dataType)
@@ -82,8 +93,9 @@ def _hashed(rows: DataFrame, key: list[str], texts: list[str], payload: list[str
 
     each = [tagged(t, i) for i, t in enumerate(texts)]
     end = F.array(F.struct(F.lit(_END).cast("bigint").alias("h"), F.lit(-1).alias("of"), own.alias("own")))
-    found = rows.select(*key, F.explode(F.concat(*each, end)).alias("t")).select(*key, "t.*").join(F.broadcast(words), "h")
-    lists = [F.array_sort(F.collect_list(F.when(F.col("of") == i, F.struct("h", "mask")))).alias(f"{t}_terms") for i, t in enumerate(texts)]
+    found = rows.select(*key, F.explode(F.concat(*each, end)).alias("t")).select(*key, "t.*")
+    found = sized_join(found, words, ["h"], "inner")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("of") == i, F.struct("sub", "h")))).alias(f"{t}_terms") for i, t in enumerate(texts)]
     found = found.groupBy(*key).agg(F.any_value("own", True).alias("own"), *lists)
     return found.select(*key, "own.*", *[_subset_hashes(F.col(f"{t}_terms"), n).alias(f"{t}_hashes") for t in texts])
 
@@ -113,12 +125,16 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     words = lexicon(docs, text_col, rates=rates)
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    n = base.count()
-    ranges = max(1, min(MOST_RANGES, math.ceil(n / RANGE_ROWS)))
+    n, n_known = base.agg(F.count("*"), F.count("id")).first()
+    ranges = max(1, min(MOST_RANGES, math.ceil(n_known / RANGE_ROWS)))
     bounds = base.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * max(1000, ranges))).first()[0] if ranges > 1 else None
     bounds = sorted(set(bounds or []))
-    below = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda b: b >= F.col("id"))) if bounds else F.lit(0)
-    base = base.withColumn("pid", F.coalesce(below, F.lit(len(bounds) + 1)).cast("int")).withColumn("tie", F.xxhash64("text"))
+    base = base.withColumn("tie", F.xxhash64("text"))
+    below = len(bounds) - place_in(F.col("id"), bounds)  # the largest ids are in range 0
+    # rows without an id come after the others, by the hash of their text, in ranges of their own
+    null_ranges = max(1, min(MOST_RANGES, math.ceil((n - n_known) / RANGE_ROWS)))
+    by_tie = F.greatest(F.lit(0), F.least(F.lit(null_ranges - 1), F.floor((0.5 - F.col("tie") / float(1 << 64)) * null_ranges)))
+    base = base.withColumn("pid", F.coalesce(below, len(bounds) + 1 + by_tie).cast("int"))
     firsts = written(base.groupBy("pid").agg(F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")).alias("x")).select("pid", "x.id", "x.tie"), "firsts")
     order = Window.orderBy("pid")  # a row per range
     ring = firsts.withColumn("before", F.coalesce(F.lag("pid").over(order), F.lit(None))).withColumn("last", F.max("pid").over(Window.partitionBy(F.lit(1))))

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import re
 
@@ -32,14 +33,16 @@ def test_edited_texts_and_likeness(spark, sf_dir, monkeypatch):
     got = {r.doc_id: r for r in imatch.edited_pairs(frame(spark, rows)).collect()}
     want = edited(rows)
     assert len(got) == len(rows)
-    words = {r.h: r.mask for r in imatch.lexicon(frame(spark, rows)).collect()}
+    words = collections.defaultdict(set)
+    for r in imatch.lexicon(frame(spark, rows)).collect():
+        words[r.h].add(r.sub)
     hashes = {}
     for r in spark.createDataFrame([(x,) for t, e, n in want.values() for x in plain_terms(t) | plain_terms(e)], "t string").distinct().select("t", imatch.term_hash(F.col("t")).alias("h")).collect():
         hashes[r.t] = r.h
 
     def kept(t):
         inside = sorted(h for x in plain_terms(t) if (h := hashes.get(x, 0)) in words and h)
-        return [tuple(h for h in inside if words[h] >> i & 1) for i in range(len(imatch.RATES))]
+        return [tuple(h for h in inside if i in words[h]) for i in range(len(imatch.RATES))]
 
     def like(a, b):
         x, y = kept(a), kept(b)
@@ -58,7 +61,7 @@ def test_edited_texts_and_likeness(spark, sf_dir, monkeypatch):
 
 def test_document_frequencies_are_over_all_documents(spark):
     rows = [(i, f"common word{i % 3} own{i}") for i in range(12)]
-    words = {r.h for r in imatch.lexicon(frame(spark, rows), rare=0.3, frequent=0.4).collect()} - {0}
+    words = {r.h for r in imatch.lexicon(frame(spark, rows), rare=0.3, frequent=0.4, rates=(1.0,)).collect()} - {0}
     want = {r.h for r in spark.createDataFrame([("word0",), ("word1",), ("word2",)], "t string").select(imatch.term_hash(F.col("t")).alias("h")).collect()}
     assert words == want
 
@@ -72,6 +75,19 @@ def test_repeats_nulls_and_empty(spark):
     assert alone.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and alone.near_next == 1.0
 
 
+def test_many_rows_without_an_id(spark, monkeypatch):
+    """They come last, by the hash of their text, in several ranges; very long texts among them."""
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 10)
+    texts = [f"text {i} has words w{i % 4} v{i % 9}" for i in range(120)] + ["long " * 50_000 + "end"]
+    rows = [(None, t) for t in texts] + [(i, f"known {i} and w{i % 4}") for i in range(30)]
+    got = imatch.edited_pairs(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    tie = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = [t for _, t in sorted([r for r in rows if r[0] is not None], key=lambda r: -r[0])] + sorted(texts, key=lambda t: -tie[t])
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for t, n in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted(r.edited_sha256 for r in got) == want
+
+
 def test_fingerprints(spark):
     rows = [(i, f"t{i % 5} t{i % 7} u{i}") for i in range(60)]
     got = {r.doc_id: r.fingerprint for r in imatch.fingerprints(frame(spark, rows)).collect()}

@@ -80,32 +80,35 @@ def test_lm_without_target_and_empty(spark):
     assert [r.difference for r in lm.scores(frame(spark, [(1, None, "s", "en")]), none).collect()] == [None]
 
 
-def test_lm_counts_grow_with_the_corpus(spark):
-    """Every distinct word and pair is handed on, however many there are."""
+def test_lm_counts_every_word_and_pair(spark):
+    """However rare, and in however many blocks and parts."""
     rows = [(i, f"w{i} v{i} u{i % 7}", "s", "en") for i in range(500)]
-    held = lm.blocks(frame(spark, rows), "doc_id", "text", "target", 100).groupBy("kind").agg(F.count_distinct("key").alias("n")).collect()
-    assert {r.kind: r.n for r in held if r.kind != lm.TEXTS} == {lm.WORDS: 1007, lm.FIRSTS: 1001, lm.PAIRS: 1500}
+    held = lm.blocks(frame(spark, rows), "doc_id", "text", "target", 7, 100)
+    assert held.where(f"kind = {lm.TOKENS}").count() > 10
+    assert lm.summed(held).agg({"n_words": "sum", "n_all": "sum", "t_all": "sum"}).first().asDict() == {"sum(n_words)": 1007, "sum(n_all)": 1500, "sum(t_all)": 1500}
 
 
 def test_lm_is_a_distribution():
-    """Over all words after each word, for a document that has no share in the counts."""
+    """Over all words after each word, whatever the document's own counts."""
     rng = np.random.default_rng(3)
     size = 6
-    pairs = rng.integers(0, 9, (size + 1, size + 1, 2)).astype(float)
-    pairs[:, 0] = 0
-    pairs[..., 1] = np.minimum(pairs[..., 0], pairs[..., 1])
-    words_, firsts = pairs.sum(axis=0), pairs.sum(axis=1)
+    counts = rng.integers(0, 9, (size + 1, size + 1, 2)).astype(float)
+    counts[:, 0] = 0
+    counts[..., 1] = np.minimum(counts[..., 0], counts[..., 1])
+    hashes = np.arange(1, size + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for a in range(1, size + 1):
         total = np.zeros(2)
         for b in range(1, size + 1):
-            # the document itself is counted in, and taken out again
-            own = pairs.copy()
+            block = lm.Block.of(np.array([a, b]), np.array([2]), hashes)
+            # the document is counted in, and taken out again
+            own = counts.copy()
             own[0, a] += 1
             own[a, b] += 1
-            sums = [own.sum(axis=0), own.sum(axis=1), np.array([own[0, a], own[a, b]]) if (0, a) < (a, b) else None]
-            loss = lm.losses(np.array([a, b]), np.array([2]), np.array([True]), sums, (size, int(words_[:, 0].sum()) + 2, int(words_[:, 1].sum()) + 2))
-            scale = (words_[:, 1].sum() + 2) / (words_[:, 0].sum() + 2)
-            assert scale > 0 and firsts.shape == (size + 1, 2)
+            words_, firsts = own.sum(axis=0), own.sum(axis=1)
+            words_[0] = firsts[0]
+            pairs = [own[p] for p in sorted({(0, a), (a, b)})]
+            n, t = (np.array([[*words_[:, k], *(x[k] for x in pairs)], [*(words_ - firsts)[:, k], *[0] * len(pairs)]]) for k in (0, 1))
+            loss = lm.losses(block, np.array([True]), n, t, (size, int(own[..., 0].sum()), int(own[..., 1].sum())))
             total += np.exp(-loss[1])
         assert np.allclose(total, 1)
 
@@ -147,9 +150,9 @@ def test_quality_posteriors_by_hand(spark):
     for r, own in zip(rows, p, strict=True):
         host = [q for x, q in zip(rows, p, strict=True) if (x.host or "") == (r.host or "")]
         path = [q for x, q in zip(rows, p, strict=True) if (x.host or "", x.path) == (r.host or "", r.path)]
-        a = min(0.999, max(0.001, (sum(host) - own + m_host * mean) / (len(host) - 1 + m_host)))
-        b = min(0.999, max(0.001, (sum(path) - own + m_path * a) / (len(path) - 1 + m_path)))
-        shift = max(-quality.MOST_SITE, min(quality.MOST_SITE, math.log(b / (1 - b)) - math.log(mean / (1 - mean))))
+        a = min(1 - quality.EDGE, max(quality.EDGE, (sum(host) - own + m_host * mean) / (len(host) - 1 + m_host)))
+        b = min(1 - quality.EDGE, max(quality.EDGE, (sum(path) - own + m_path * a) / (len(path) - 1 + m_path)))
+        shift = math.log(b / (1 - b)) - math.log(mean / (1 - mean))
         assert abs(r.a - a) < 1e-9 and abs(r.b - b) < 1e-9 and abs(r.c - 1 / (1 + math.exp(-(r.lo + shift)))) < 1e-9
 
 
@@ -184,3 +187,50 @@ def test_ordinal_fit_recovers_order():
     assert np.abs(got[:3] - w[:3]).max() < 0.35 and np.abs(got[3:]).max() < 0.2 and abs(theta[0] - 0.5) < 0.3 and abs(theta[1] - 2) < 0.4
     tails = 1 / (1 + np.exp(theta[None] - (x @ got)[:, None]))
     assert (tails[:, 0] >= tails[:, 1]).all()
+
+
+def test_ordinal_fit_is_the_optimum():
+    """No single weight or threshold can be moved to a better penalised likelihood, computed plainly."""
+    rng = np.random.default_rng(5)
+    x = rng.poisson(0.4, (400, 6)).astype(float)
+    y = np.minimum(2, (x @ np.array([1.5, -1, 0.5, 0, 0, 0]) + rng.logistic(size=400) > 0.3).astype(int) + (x[:, 0] > 1))
+    r, c = np.nonzero(x)
+    w, theta = toxicity.fit(r, c, x[r, c], 6, y, 3, penalty=1e-2, rounds=3000)
+
+    def cost(w, theta):
+        total = 0.0
+        for row, grade in zip(x, y, strict=True):
+            upto = [0.0, *(1 / (1 + math.exp(-(t - float(row @ w)))) for t in theta), 1.0]
+            total -= math.log(upto[grade + 1] - upto[grade])
+        return total / len(y) + 1e-2 * np.abs(w).sum()
+
+    best = cost(w, theta)
+    for k in range(6):
+        for step in (-0.05, 0.05):
+            assert cost(w + step * np.eye(6)[k], theta) > best - 1e-5
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            assert cost(w, theta + step * np.eye(2)[k]) > best - 1e-5
+
+
+def test_toxicity_grades_and_scores(spark):
+    """Grades given by labels, told by their own words; scores of documents equal a plain sum over all features."""
+    rng = random.Random(6)
+    words = {0: ["calm", "plain", "sunny"], 1: ["rude", "grumbling"], 2: ["nasty", "insulting"], 3: ["vicious", "threatening"]}
+    rows, grades = [], {}
+    for i in range(800):
+        grades[i] = rng.choice([0, 0, 0, 1, 2, 3])
+        text = [rng.choice([*words[0], "the", "of", "some"]) for _ in range(30)] + [w for g in range(1, grades[i] + 1) for w in rng.choices(words[g], k=3)]
+        rows.append((i, " ".join(text), "s", "en"))
+    rows += [(5000, None, "s", "en"), (5001, "", "s", "en"), (5002, "vicious threatening rude nasty " * 5000, "s", "en"), (5003, "unseen", "s", "en")]
+    labels = spark.createDataFrame([(i, g) for i, g in grades.items() if i % 2] + [(1, 0)], "doc_id bigint, toxic int")
+    df = frame(spark, rows)
+    got = {r.doc_id: r for r in toxicity.scores(df, labels).collect()}
+    severity = [np.mean([got[i].expected_severity for i in grades if i % 2 == 0 and grades[i] == g]) for g in range(4)]
+    assert all(a + 0.3 < b for a, b in zip(severity, severity[1:], strict=False))
+    assert np.mean([got[i].grade == g for i, g in grades.items() if i % 2 == 0]) > 0.9
+    model = toxicity.train(df, labels)
+    for i, text, *_ in rows[::37] + rows[-4:]:
+        s = model.score(text)
+        tails = [1 / (1 + math.exp(min(40, max(-40, t - s)))) for t in model.thresholds]
+        assert abs(got[i].expected_severity - sum(tails)) < 1e-9 and abs(got[i].p_toxic - tails[0]) < 1e-9 and got[i].grade == sum(t > 0.5 for t in tails)

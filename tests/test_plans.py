@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import cli
 from quillspark.plans import experiment, queries, regrade, stored  # noqa: F401
 from quillspark.sources import scans, schemas, sinks
 from quillspark.streaming import ledger as stream
@@ -170,6 +171,36 @@ def test_panels_variants_billing(spark):
     assert [r.ok for r in claims.collect()] == [True, False, False]
 
 
+def test_commands(spark, run, capsys):
+    """Two slices merged are the whole run; refusals end with 2, a missed deadline with 3."""
+    path, _ = run
+    for i in range(3):
+        text = json.dumps({"type": "quiz_answer", "task_id": f"t{i}", "q_index": 0, "question": "q", "expected": "Captain Hoy", "raw_answer": ["Captain Hoy", "none", "Hoy"][i], "correct": True, "register": "prose", "run_id": "r1"})
+        write(f"{path}/quiz/q{i}.jsonl", [text])
+    write(f"{path}/bills.jsonl", [json.dumps({"type": "billing_record", "task_id": f"t{i}", "condition": c, "approx_tokens": n, "usage": {"completion_tokens": n}, "latency_ms": 1.0}) for i in range(3) for c, n in (("R-PLAIN", 100), ("R-CABLESE", 60))])
+    both, bank = [f"{path}/run/ledger.jsonl", f"{path}/run/slices/slice_0001.jsonl"], f"{path}/tasks"
+    read = lambda x: [json.loads(r.value) for r in spark.read.text(f"{path}/{x}").collect()]
+    assert cli.main(["regrade", *both, "--tasks", bank, "--out", f"{path}/o1"]) == 0 and len(read("o1/blocks")) == 5
+    for k, (offset, limit) in enumerate(((0, 2), (2, 1))):
+        assert cli.main(["baseline", f"{path}/quiz", "--tasks", bank, "--out", f"{path}/o2", "--task-offset", str(offset), "--task-limit", str(limit), "--slice-id", f"{k}"]) == 0
+    assert [x["n"] for x in read("o2/slices/slice_0/summary")] == [2]
+    assert cli.main(["baseline-merge", "--out", f"{path}/o2"]) == 0 and [x["n"] for x in read("o2/summary")] == [3]
+    assert cli.main(["baseline", f"{path}/quiz", "--tasks", bank, "--passages", "2", "--out", f"{path}/o3"]) == 0 and [x["n"] for x in read("o3/summary")] == [2]
+    assert cli.main(["record-decode", *both, "--source", *both, "--tasks", bank, "--condition", "A-FROM-COMPRESSED", "--out", f"{path}/o4"]) == 0
+    assert [(x["n"], x["correct"], x["source_correct"], x["n_pairs"]) for x in read("o4/summary")] == [(12, 3, 9, 12)]
+    assert cli.main(["lc-readability", *both, "--source", *both, "--tasks", bank, "--out", f"{path}/o5"]) == 0 and len(read("o5/summary")) == 2
+    assert cli.main(["billing", f"{path}/bills.jsonl", "--out", f"{path}/o6"]) == 0 and read("o6/summary")[0]["billed_savings_sum"] == 40.0
+    assert cli.main(["crossmodel", *both, "--out", f"{path}/o7"]) == 0
+    assert cli.main(["worklist", "--tasks", bank, "--arms", "A", "C", "--skip", "formulaic:C", "--out", f"{path}/o8"]) == 0
+    capsys.readouterr()
+    assert cli.main(["worklist", "--tasks", bank, "--unit", "3", "--out", f"{path}/o8"]) == 0 and json.loads(capsys.readouterr().out)["arm"] == "C"
+    assert cli.main(["worklist", "--tasks", bank, "--unit", "5", "--out", f"{path}/o8"]) == 2
+    assert cli.main(["baseline", f"{path}/quiz", "--tasks", bank, "--task-offset", "9", "--out", f"{path}/o9"]) == 2
+    assert cli.main(["regrade", *both, "--tasks", bank, "--out", f"{path}/o10", "--max-seconds", "0.01"]) == 3
+    (path / "rules.json").write_text(json.dumps({"drop_articles": ["the"], "drop_copulas": [], "copula_next_verb_stoplist": [], "copula_next_verb_suffixes": [], "derivations": []}))
+    assert cli.main(["encode", "the cat a dog", "--rules", f"{path}/rules.json"]) == 0 and "cat a dog" in capsys.readouterr().out
+
+
 def test_stream_agrees_with_batch(spark, run):
     path, n = run
     folder = f"{path}/run/slices_only"

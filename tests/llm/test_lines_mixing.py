@@ -35,13 +35,25 @@ def line_rows():
     return rows + [(400 + i, "null site", None if i == 4 else f"s{i}") for i in range(5)]
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("known", [lines.KNOWN, 0])
+def test_line_dedup(spark, monkeypatch, known):
+    monkeypatch.setattr(lines, "KNOWN", known)
     rows = line_rows()
     got = lines.deduplicated(frame(spark, [(i, t, s, 1, "x") for i, t, s in rows]), counts=True)
     assert got.columns == ["doc_id", "text", "source", "gone", "s", "n_lines", "n_removed"]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == plain_lines(rows)
 
 
+@pytest.mark.parametrize("known", [lines.KNOWN, 0])
+def test_rows_without_an_id_are_told_apart(spark, monkeypatch, known):
+    """They are one document that comes last, but each loses its own lines; a very long one and many equal ones."""
+    monkeypatch.setattr(lines, "KNOWN", known)
+    rows = [(i, "common\nown", f"s{i}") for i in range(6)] + [(None, f"common\nleft {i % 3}\ncommon", f"s{i}") for i in range(40)]
+    rows += [(None, "common\n" * 30_000 + "end", "s1")] + [(None, f"only here {i % 2}", f"t{i}") for i in range(20)]
+    got = lines.deduplicated(frame(spark, [(i, t, s, 1, "x") for i, t, s in rows]))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == plain_lines(rows)
+
+
 def test_line_dedup_many_sites_by_sketch(spark):
     rows = [(i, f"everywhere\nmine {i}", f"site{i}") for i in range(300)]
     got = {r.doc_id: r.text for r in lines.deduplicated(frame(spark, [(i, t, s, 1, "x") for i, t, s in rows])).collect()}
@@ -132,5 +144,6 @@ def test_mix_empty(spark):
 
 
 def test_keys_are_plain_md5(spark):
-    key = spark.range(1).select(mixing._key(F.lit(17), "mix-1")).first()[0]
-    assert key == int(hashlib.md5(b"mix-1:17").hexdigest()[:15], 16)
+    keys = spark.range(1).select(mixing._key(F.lit(17), F.lit("t"), "mix-1"), mixing._key(F.lit(None).cast("bigint"), F.lit("t"), "mix-1")).first()
+    assert keys[0] == int(hashlib.md5(b"mix-1:17").hexdigest()[:15], 16)
+    assert keys[1] == int(hashlib.md5(b"mix-1:text:" + hashlib.md5(b"t").hexdigest().encode()).hexdigest()[:15], 16)

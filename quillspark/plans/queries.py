@@ -734,8 +734,14 @@ def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.greedy(rows, ["conv_id"], "turn", "text", 0.35)
 
 
-@query()
+@query(f"""
+with r as (select conv_id, turn, text, case turn % 4 when 1 then text when 3 then 'x ' || text else left(text, length(text) - 4) || 'zz' end as near from ({_TURNS}) where role = 'user' and next_role = 'assistant'),
+n as (select conv_id, turn, {_lex('near')} as a, {_lex('text')} as e, length({_lex('left(text, length(text) - 4)')}) as same from r)
+select conv_id, turn, case when a = e then 'exact' when contains(a, e) then 'contains' when 2 * same >= 0.8 * (length(a) + length(e)) then 'fuzzy' else 'wrong' end as verdict from n
+""")
 def score_answer_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts against themselves, with a word before them, and with another end. Of the last, the SQL knows the matching
+    block by how they are made."""
     rows = replies(spark, sf_dir)
     near = F.when(F.col("turn") % 4 == 1, F.col("text")).when(F.col("turn") % 4 == 3, F.concat(F.lit("x "), F.col("text"))).otherwise(F.concat(F.expr("left(text, length(text) - 4)"), F.lit("zz")))
     return rows.select("conv_id", "turn", python.score_answer(near, F.col("text")).alias("verdict"))

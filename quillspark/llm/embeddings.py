@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._shared import discard, sized_join, written
-from quillspark.llm.graph import components
+from quillspark.llm.graph import components, roots
 
 SEED = 11
 #: Rows of a bucket that are compared in one piece; larger buckets are cut into blocks, and the pairs of blocks are
@@ -147,21 +147,6 @@ def _group_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     return i, j
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        after = root.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        np.minimum.at(after, root[i], low)
-        np.minimum.at(after, root[j], low)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
-
-
 def _cells(grp: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """One 64-bit number for group, table and key."""
     x = keys.astype(np.uint64)
@@ -324,7 +309,7 @@ def links(reps: DataFrame, threshold: float, miss: float = 1e-6, sigmas: float =
         i, j = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (found_i, found_j))
         nodes, place = np.unique(reps_, return_inverse=True)
         total = np.bincount(place[i], weights=mult[j], minlength=len(nodes)) + np.bincount(place[j], weights=mult[i], minlength=len(nodes))
-        root = _roots(len(nodes), place[i], place[j])
+        root = roots(len(nodes), place[i], place[j])
         have = np.flatnonzero((total > 0) | (np.arange(len(nodes)) == 0))  # the first row has the number of exact cosines
         exact = np.where(have == 0, n_exact, 0)
         yield pa.RecordBatch.from_pydict({"rep": pa.array(nodes[have]), "links": pa.array(total[have].astype(np.int64)), "root": pa.array(nodes[root[have]]), "n_exact": pa.array(exact)})

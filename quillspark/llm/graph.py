@@ -2,10 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import discard, written
+from quillspark.llm._shared import discard, trim, written
+
+#: Edges that a task gathers before it reduces them to one a node.
+EDGES = 1_000_000
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of ``n`` numbers that edges between ``i`` and ``j`` connect each with."""
+    root = np.arange(n)
+    while True:
+        after, low = root.copy(), np.minimum(root[i], root[j])
+        for at in (i, j, root[i], root[j]):
+            np.minimum.at(after, at, low)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
+def stars(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """An edge from each node to the least one that the pairs connect it with."""
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return nodes, nodes[roots(len(nodes), place[: len(a)], place[len(a) :])]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges (``a``, ``b``, bigint) with the same components: all of a node ``a`` meet in one task, which keeps one for
+    each of its nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        total = 0
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            total += batch.num_rows
+            if total > EDGES:
+                held = [stars(held)]
+                total = len(held[0][0])
+        a, b = stars(held)
+        yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+        trim()
+
+    return edges.where("a <> b").select("a", "b").repartition("a").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

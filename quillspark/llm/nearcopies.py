@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._shared import discard, grouped, own_columns, sized_join, slices, text_or_empty, trim, written
-from quillspark.llm.graph import components
+from quillspark.llm.graph import EDGES, components, contracted, stars
 from quillspark.llm.simhash import CHUNK, SEED
 
 WIDTH, SIMILARITY, MISS = 5, 0.8, 0.004
@@ -37,8 +37,6 @@ FEW, FEW_FLIP = 64, 0.1875
 #: Texts of a cluster of candidates that are compared in one piece, at least and at most; larger clusters are cut into
 #: blocks, of about a ``SPREAD``-th, whose pairs are dealt out to different tasks. A block has so many bytes of text at most.
 LEAST_BLOCK, MOST_BLOCK, SPREAD, BLOCK_BYTES = 128, 1024, 64, 16_000_000
-#: Edges that a task gathers before it reduces them to one a text.
-EDGES = 1_000_000
 
 
 def flip(similarity: float) -> float:
@@ -211,12 +209,6 @@ def _candidates(nodes: DataFrame, bits: int, similarity: float, how: str) -> Dat
         first = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
         return a[first], b[first], away[first]
 
-    def reduced(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Edges from each text to the least one that the pairs connect it with."""
-        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
-        texts, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        return texts, texts[_roots(len(texts), place[: len(a)], place[len(a) :])]
-
     def batch_of(*columns: np.ndarray | pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
 
@@ -240,7 +232,7 @@ def _candidates(nodes: DataFrame, bits: int, similarity: float, how: str) -> Dat
             edges.append((a, b))
             total += len(a)
             if total > EDGES:
-                edges[:] = [reduced(edges)]
+                edges[:] = [stars(edges)]
                 total = len(edges[0][0])
 
     names = {"nearest": ["a", "b", "away"], "open": ["a", "b"]}[how]
@@ -259,7 +251,7 @@ def _candidates(nodes: DataFrame, bits: int, similarity: float, how: str) -> Dat
         if held:
             yield from flushed(held, edges)
         if edges:
-            yield batch_of(*reduced(edges))
+            yield batch_of(*stars(edges))
         held = edges = []
         trim()
 
@@ -269,19 +261,6 @@ def _candidates(nodes: DataFrame, bits: int, similarity: float, how: str) -> Dat
     return found.groupBy("a").agg(F.min(F.when(F.col("b").isNotNull(), F.struct("away", "b"))).alias("near")).select("a", "near.b")
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least number that edges between ``i`` and ``j`` connect each with."""
-    root = np.arange(n)
-    while True:
-        after, low = root.copy(), np.minimum(root[i], root[j])
-        for at in (i, j, root[i], root[j]):
-            np.minimum.at(after, at, low)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
-
-
 def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     each = np.repeat(np.arange(len(sizes)), sizes)
     within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -388,7 +367,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = written(components(links), "groups")
     rest = nodes.join(texts.select("rep"), "rep", "left_semi").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left")
     rest = written(rest.withColumn("label", F.coalesce("root", "rep")).drop("root", "k1", "k2"), "labelled")
-    clusters = written(components(written(_candidates(rest, bits, similarity, "open"), "open")), "clusters")
+    clusters = written(components(written(contracted(_candidates(rest, bits, similarity, "open")), "open")), "clusters")
     members = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(rest.select("rep", "label", "s0", "s1"), "rep").join(texts, "rep")
     more = written(_compared(members, width, similarity), "verified")
     groups = written(components(links.unionByName(more)), "groups")

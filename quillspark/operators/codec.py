@@ -21,6 +21,10 @@ from quillspark.functions import text as text_functions
 _TOKEN = re.compile(r"[A-Za-z0-9]{1,4}|[^A-Za-z0-9\s]")
 
 
+#: Signs that aren't a part of the word that they stand beside, and what looks like a code.
+AROUND_WORDS, LIKE_A_CODE = ".,;:!?\"'()[]", re.compile(r"[A-Z]{2,5}|\d{2,3}")
+
+
 def token_cost(text: str) -> int:
     """``approx_count`` of one string."""
     return len(_TOKEN.findall(text))
@@ -85,37 +89,45 @@ class Codebook:
     def decode(self, text: str) -> tuple[str, list[str]]:
         """Decoded text, and the words in it that look like codes but are in no table."""
         out = self.find_code.sub(lambda m: self.by_code[m[0]].expansion, text) if self.find_code else text
-        bare = (w.strip(".,;:!?\"'()[]") for w in out.split()) if self.entries else ()
-        return out, [w for w in bare if re.fullmatch(r"[A-Z]{2,5}|\d{2,3}", w) and w.casefold() not in self.known]
+        bare = (w.strip(AROUND_WORDS) for w in out.split()) if self.entries else ()
+        return out, [w for w in bare if LIKE_A_CODE.fullmatch(w) and w.casefold() not in self.known]
 
 
-def encode_register(text: str, rules: Rules) -> tuple[str, list[tuple[str, str, int, int]], list[tuple[str, str, int, int]]]:
-    """Shortened text, dropped words (token, kind, start, end) and derived ones (from, to, start, end).
+class Register:
+    """What becomes of a word, by the word itself and the one after it: a table of words that go, each with the condition
+    on which it stays, and a table of shorter forms, those that pay."""
+
+    def __init__(self, rules: Rules):
+        self.kinds = {w.casefold(): kind for kind, group in (("copula", rules.copulas), ("article", rules.articles)) for w in group}
+        self.verbs, self.endings = frozenset(rules.verb_words), tuple(rules.verb_endings)
+        shorter = {w.casefold(): d for w, d in rules.derivations.items()}
+        self.shorter = {w: (d, token_cost(d)) for w, d in shorter.items()}
 
-    Articles and copulas are dropped in lower case only; a copula stays at the end, and before what looks like a verb.
-    """
+    def stays(self, kind: str, after: str | None) -> bool:
+        """A copula does at the end of a text and before what looks like a verb; an article never does."""
+        return kind == "copula" and (after is None or after in self.verbs or after.endswith(self.endings))
+
+    def change(self, word: str, after: str | None) -> tuple[str, str] | None:
+        """Kind of the change and what stands in the word's place, if any. Words go in lower case only."""
+        if kind := self.kinds.get(word):
+            return None if self.stays(kind, after) else (kind, "")
+        short, cost = self.shorter.get(word.casefold(), (None, 0))
+        return ("derived", short) if short is not None and cost < token_cost(word) else None
+
+
+def encode_register(text: str, rules: Rules) -> tuple[str, list[tuple[str, str, int, int]], list[tuple[str, str, int, int]]]:
+    """Shortened text, dropped words (token, kind, start, end) and derived ones (from, to, start, end). Runs of blanks
+    become one."""
+    register = Register(rules)
     words = list(re.finditer(r"\w+", text))
-    after = [*(m[0].casefold() for m in words[1:]), None][: len(words)]
-    short = {w.casefold(): d for w, d in rules.derivations.items()}
-    articles, copulas = ({w.casefold() for w in group} for group in (rules.articles, rules.copulas))
-    verbs, endings = set(rules.verb_words), tuple(rules.verb_endings)
-    dropped, derived, out, at = [], [], [], 0
-    for m, follows in zip(words, after, strict=True):
-        word, instead = m[0], None
-        if word in articles:
-            dropped.append((word, "article", *m.span()))
-            instead = ""
-        elif word in copulas:
-            if follows is not None and follows not in verbs and not (endings and follows.endswith(endings)):
-                dropped.append((word, "copula", *m.span()))
-                instead = ""
-        elif (to := short.get(word.casefold())) is not None and token_cost(to) < token_cost(word):
-            derived.append((word, to, *m.span()))
-            instead = to
-        if instead is not None:
-            out += [text[at : m.start()], instead]
-            at = m.end()
-    return re.sub(r"[ \t]{2,}", " ", "".join(out) + text[at:]), dropped, derived
+    following = [m[0].casefold() for m in words[1:]] + [None]
+    changes = [(m, change) for m, after in zip(words, following, strict=False) if (change := register.change(m[0], after))]
+    cuts = [0, *(edge for m, _ in changes for edge in m.span()), len(text)]
+    kept = [text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+    short = "".join(part for pair in zip(kept, [*(new for _, (_, new) in changes), ""], strict=True) for part in pair)
+    dropped = [(m[0], kind, *m.span()) for m, (kind, _) in changes if kind != "derived"]
+    derived = [(m[0], new, *m.span()) for m, (kind, new) in changes if kind == "derived"]
+    return re.sub(r"[ \t]{2,}", " ", short), dropped, derived
 
 
 _APPLIED = "array<struct<code:string,expansion:string,start:int,end:int>>"

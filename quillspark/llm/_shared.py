@@ -7,7 +7,6 @@ import contextlib
 import ctypes
 import functools
 import operator
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,23 +16,14 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.scratch import scratch_root
+
 #: Most rows, and bytes of their values, that ``sized_join`` broadcasts; above either the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 
 _tables: dict[str, SparkSession] = {}
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
     path = f"{scratch_root(df.sparkSession)}/quillspark/{name}-{uuid.uuid4().hex}"

@@ -1,6 +1,8 @@
 import hashlib
 import json
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -251,3 +253,12 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+
+
+@pytest.mark.parametrize("module", ["xxhash", "public_tokenizers", "quillspark.llm", "corpus_pipeline"])
+def test_entry_without_what_training_data_needs(module):
+    """Their queries go, all others stay."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {root!r}); sys.modules[{module!r}] = None; import __spark_entry__ as e; print(len(e.queries()), sum(n.startswith('op') for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 100 and out[1] == "0"

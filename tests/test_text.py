@@ -56,6 +56,19 @@ def test_structural_strip(spark):
     assert one(spark, text.structural_strip("s"), s="# Head\n---\n\n- **bold**  x\n2) two\n> said\n****\n") == "Head\nbold x\ntwo\nsaid"
 
 
+@pytest.mark.parametrize("s,want", [
+    ("a\u2028b\x0bc\x85d", "a\nb\nc\nd"), ("\u0661\u0662. x", "x"), ("#\n- x", "x"), ("# - 3) x", "x"), ("-\n- ", "-\n-"), ("_**_ x", "x"), ("** > x", "> x"), ("> # x", "# x"), ("  ==== \n a \u00a0 b ", "a b"), ("", ""), ("***", ""), ("a\r\n\r\nb", "a\nb"),
+])
+def test_structural_strip_of_odd_lines(spark, s, want):
+    assert one(spark, text.structural_strip("s"), s=s) == want
+
+
+@pytest.mark.parametrize("b,c,p", [(1, 9, 0.021484), (91, 38, 3e-06), (69, 45, 0.030776), (0, 0, 1.0), (1, 0, 1.0), (5, 5, 1.0), (50_100_000, 50_000_000, 0.0), (50_000_500, 50_000_000, 0.960194), (10**9, 10**9, 1.0)])
+def test_exact_test_of_many_pairs(spark, b, c, p):
+    row = spark.createDataFrame([(b, c)], "b bigint, c bigint").select(stats.mcnemar_p(F.col("b"), F.col("c"), F.lit(1)).alias("p")).first()
+    assert abs(row.p - p) < 2e-5
+
+
 @pytest.mark.parametrize("s,parts", [("a\n\nb", ["a", "b"]), ("A. B! C? D.", ["A. B!", "C? D."]), ("A. B", ["A.", "B"]), ("", [])])
 def test_split_paragraphs(spark, s, parts):
     assert one(spark, text.split_paragraphs("s"), s=s) == parts

@@ -97,8 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES)), got["y"].to_numpy(dtype=float))
 
 
-def evidence(docs: DataFrame, model: TextModel, text_col: str, name: str) -> DataFrame:
-    """``docs`` and ``name``: log odds of each whole text."""
+def evidence(docs: DataFrame, model: TextModel, text_col: str, name: str, store: bool = False) -> DataFrame:
+    """``docs`` and ``name``: log odds of each whole text; stored, to be read more than once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any sign may be in the names
@@ -110,7 +110,8 @@ def evidence(docs: DataFrame, model: TextModel, text_col: str, name: str) -> Dat
                 x = np.array([features(t) for t in part.column(at).to_pylist()]).reshape(part.num_rows, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.log_odds(x))], names=[*part.schema.names, "log_odds"])
 
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, name)
+    found = plain.mapInArrow(run, schema)
+    return (written(found, "scored") if store else found).toDF(*docs.columns, name)
 
 
 def _strength(groups: DataFrame, parent: Column) -> float:
@@ -181,10 +182,11 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` with ``scores``' ``keep``, with their columns. Texts are scored again rather than shuffled."""
+    """The rows of ``docs`` with ``scores``' ``keep``, with their columns. Texts are stored with their evidence rather than
+    scored twice or shuffled."""
     model = train(docs, labels, id_col, text_col, label_col, sample)
     odds, host_name, path_name, quality = fresh(docs, "odds", "host_quality", "path_quality", "quality")
-    slim = docs.select(*dict.fromkeys([text_col, host_col, path_col]))
-    found = sites(evidence(slim, model, text_col, odds), host_col, path_col, odds)
-    rows = combined(evidence(docs, model, text_col, odds), *found, host_col, path_col, odds, (host_name, path_name, quality))
+    scored = evidence(docs, model, text_col, odds, store=True)
+    found = sites(scored, host_col, path_col, odds)
+    rows = combined(scored, *found, host_col, path_col, odds, (host_name, path_name, quality))
     return rows.where(F.col(quality) >= threshold).select(*own_columns(docs))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import containment, jaccard, lexical, normalize, token_set
 from quillspark.operators.ordering import ranked
+from quillspark.sources.scratch import written
 
 PAIR_KEY = ["task_id", "q_index", "question"]
 
@@ -52,13 +53,14 @@ def anchored(items: DataFrame, passages: DataFrame, item_id: str, item_text: str
     Containment divides by the smaller set, of ``n`` tokens, so it needs ceil(threshold * n) shared ones, and at most
     the others may be missing: one of the smaller set's rarest (others + 1) tokens is shared. Either side is probed
     with those alone, rarest by the number of passages that have them, so a token in all texts joins nothing unless a
-    set has hardly any other. Candidates are then counted over all their tokens. Equivalent to comparing all pairs for
-    any threshold above 0.
+    set has hardly any other. Candidates are then counted over all their tokens. Of the passages, only tokens that items
+    have are kept, once. Equivalent to comparing all pairs for any threshold above 0.
     """
     if threshold <= 0:
         raise ValueError("a threshold of 0 would match what shares nothing")
-    i, p = (_tokens(*side) for side in ((items, item_id, item_text, "i"), (passages, passage_id, passage_text, "p")))
-    frequent = p.join(i.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    i = written(_tokens(items, item_id, item_text, "i"), "tokens")
+    p = written(_tokens(passages, passage_id, passage_text, "p").join(i.select("token").distinct(), "token", "left_semi"), "tokens")
+    frequent = p.groupBy("token").agg(F.count("*").alias("df"))
     i, p = i.join(frequent, "token"), p.join(frequent, "token")
     small_items = _rarest(i, "i", threshold).join(p, "token").where("i_n <= p_n").select("i", "p")
     small_passages = _rarest(p, "p", threshold).join(i, "token").where("p_n < i_n").select("i", "p")

@@ -34,6 +34,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: the rows, stored as Parquet and read again, so that what uses them more than once makes them once."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_files(lines: DataFrame, path: str, names: list[str]) -> str:
     """Write ``lines`` (columns ``file``, a number, and ``value``) as a text file for each name, and return the folder."""
     spark = lines.sparkSession

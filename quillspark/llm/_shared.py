@@ -116,18 +116,18 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def squeezed(x: bytes) -> bytes:
+def squeezed(x: bytes, level: int = 1) -> bytes:
     """Compressed bytes, with their number in front."""
-    return len(x).to_bytes(5, "little") + pa.compress(x, codec="zstd", asbytes=True)
+    return len(x).to_bytes(5, "little") + pa.Codec("zstd", level).compress(x, asbytes=True)
 
 
 def loosened(x: bytes) -> bytes:
     return pa.decompress(x[5:], int.from_bytes(x[:5], "little"), codec="zstd", asbytes=True)
 
 
-def packed(x: np.ndarray, width: int = 4) -> bytes:
+def packed(x: np.ndarray, width: int = 4, level: int = 1) -> bytes:
     """Numbers of ``width`` bytes, compressed: all lowest bytes first, so that small numbers take little."""
-    return squeezed(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
+    return squeezed(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), level)
 
 
 def unpacked(x: bytes, width: int = 4) -> np.ndarray:

@@ -33,7 +33,9 @@ from quillspark.llm._shared import grouped, loosened, packed, slices, squeezed,
 
 #: Matches of the pattern in a block of texts, and distinct words whose merges are replayed together, about; bytes of text
 #: whose words make a part. The only effect is on memory and on what is shuffled.
-BLOCK_MATCHES, REPLAY_WORDS, PART_BYTES = 2_000_000, 150_000, 8_000_000
+BLOCK_MATCHES, REPLAY_WORDS, PART_BYTES = 4_000_000, 150_000, 8_000_000
+#: How hard numbers of words are compressed, the bulk of what goes between tasks.
+LEVEL = 9
 #: Rows of a block: documents; numbers of the words in their texts; words, or their ids, by part.
 DOCUMENTS, NUMBERS, WORDS = range(3)
 #: Positions whose pairs are looked up at once.
@@ -235,8 +237,8 @@ def split(docs: DataFrame, pattern: str, parts: int, block_matches: int = BLOCK_
     """Rows of each block (``block, kind, i, id, n, a``): its documents (``id``, ``n`` matches), the numbers of the words in
     their texts (``a``, in order of the documents), and its distinct words by part (``a`` bytes, ``b`` lengths).
 
-    Words are numbered by how often they stand in the block; ``c`` of the first row of numbers has their places among
-    the words by part.
+    Words are numbered by how often they stand in the block; ``c`` of the first row of numbers has their parts:
+    within a part, words go in this order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,12 +262,10 @@ def split(docs: DataFrame, pattern: str, parts: int, block_matches: int = BLOCK_
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
             to = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             by_part = np.argsort(to, kind="stable")
-            place = np.empty(len(order), dtype=np.int64)
-            place[by_part] = np.arange(len(order))
             flat = number[flat]
             cuts = list(range(0, max(1, len(flat)), 1_000_000))
-            c = pa.array([packed(place), *[None] * (len(cuts) - 1)], pa.binary())
-            yield rows(NUMBERS, list(range(len(cuts))), a=pa.array([packed(flat[k : k + 1_000_000]) for k in cuts], pa.binary()), c=c)
+            c = pa.array([packed(to), *[None] * (len(cuts) - 1)], pa.binary())
+            yield rows(NUMBERS, list(range(len(cuts))), a=pa.array([packed(flat[k : k + 1_000_000], level=LEVEL) for k in cuts], pa.binary()), c=c)
             bounds = np.searchsorted(to[by_part], np.arange(parts + 1))
             for k in range(0, parts, 200):
                 index = [p for p in range(k, min(k + 200, parts)) if bounds[p] < bounds[p + 1]]
@@ -367,7 +367,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             sizes = [unpacked(x) for x in words.column("b").to_pylist()]
             starts = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))]).astype(np.int64)
             flat = np.concatenate([*[unpacked(x).astype(np.int32) for x in words.column("a").to_pylist()], np.zeros(0, np.int32)])
-            place = unpacked(numbers.column("c")[0].as_py())
+            to = unpacked(numbers.column("c")[0].as_py())
+            place = np.empty(len(to), dtype=np.int64)
+            place[np.argsort(to, kind="stable")] = np.arange(len(to))
             own = np.concatenate([unpacked(x).astype(np.int32) for x in numbers.column("a").to_pylist()])
             ends = np.cumsum(documents.column("n").to_numpy())
             del sizes, table

@@ -33,8 +33,8 @@ from quillspark.llm._shared import grouped, loosened, packed, slices, squeezed,
 
 #: Matches of the pattern in a block of texts, and distinct words whose merges are replayed together, about; bytes of text
 #: whose words make a part. The only effect is on memory and on what is shuffled.
-BLOCK_MATCHES, REPLAY_WORDS, PART_BYTES = 4_000_000, 150_000, 8_000_000
-#: How hard numbers of words are compressed, the bulk of what goes between tasks.
+BLOCK_MATCHES, REPLAY_WORDS, PART_BYTES = 4_000_000, 150_000, 16_000_000
+#: How hard words, their ids and the numbers that stand for them are compressed: all of what goes between tasks.
 LEVEL = 9
 #: Rows of a block: documents; numbers of the words in their texts; words, or their ids, by part.
 DOCUMENTS, NUMBERS, WORDS = range(3)
@@ -270,7 +270,7 @@ def split(docs: DataFrame, pattern: str, parts: int, block_matches: int = BLOCK_
             for k in range(0, parts, 200):
                 index = [p for p in range(k, min(k + 200, parts)) if bounds[p] < bounds[p + 1]]
                 own = [[words[w] for w in by_part[bounds[p] : bounds[p + 1]].tolist()] for p in index]
-                a = [squeezed(b"".join(x)) for x in own]
+                a = [squeezed(b"".join(x), LEVEL) for x in own]
                 yield rows(WORDS, index, a=pa.array(a, pa.binary()), b=pa.array([packed(np.array([len(w) for w in x])) for x in own], pa.binary()))
 
         for batch in batches:
@@ -320,7 +320,7 @@ def replayed(held: DataFrame, ranks_of: Callable[[], Ranks], replay_words: int =
             flat, starts = np.concatenate(flat), np.concatenate(starts)
             out = [_gathered(flat, starts, x) for x in which]
             columns = [table.column(c).combine_chunks() for c in ("block", "kind", "i")]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([packed(x[k]) for x in out], pa.binary()) for k in (0, 1))], names=["block", "kind", "i", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([packed(x[k], level=LEVEL) for x in out], pa.binary()) for k in (0, 1))], names=["block", "kind", "i", "a", "b"])
         trim()
 
     rows = held.where(F.col("kind") == WORDS).select("block", "kind", "i", "a", "b").repartition("i").sortWithinPartitions("i", "block")

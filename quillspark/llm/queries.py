@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, embeddings, imatch, lines, lm, mixing, quality, secrets, simhash, toxicity
+from quillspark.llm import bpe, embeddings, fim, imatch, lines, lm, mixing, quality, resample, rules, secrets, simhash, toxicity
 from quillspark.llm._shared import read
 
 
@@ -55,6 +55,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(read(spark, sf_dir, "documents")).drop("findings")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(read(spark, sf_dir, "documents"), digests=True)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(read(spark, sf_dir, "documents"))
+
+
 def audit_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: the numbers of words, and which texts have no score."""
     rows = op1_lm_scores(spark, sf_dir)
@@ -104,12 +116,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "op11_resample": op11_resample,
+    "op12_fim": op12_fim,
+    "op13_quality_rules": op13_quality_rules,
 } | AUDITS
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.LINES_SQL,
     "op5_embeddings": embeddings.EMBEDDINGS_SQL,
     "op7_mixing": mixing.MIX_SQL,
+    "op11_resample": resample.RESAMPLE_SQL,
+    "op12_fim": fim.FIM_SQL,
+    "op13_quality_rules": rules.RULES_SQL,
     "audit_op1": r"select doc_id, len(w)::bigint as n_tokens, len(w) > 0 as scored from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents)",
     "audit_op3": "select doc_id, sha256(coalesce(text, '')) as decoded_sha256, true as in_bounds from documents",
     "audit_op4": f"select md5(trim({_WORDS})) as words, count(*) as n, 1::bigint as fingerprints, 1::bigint as components, true as low from documents group by trim({_WORDS})",

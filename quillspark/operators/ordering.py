@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.stats import hash_number, place_in, tile
+from quillspark.sources.scratch import written
 
 
 def indexed(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "q_index") -> DataFrame:
@@ -74,6 +75,22 @@ def ranked(df: DataFrame, order: str, ties: list[str], name: str, range_rows: in
     return parts.withColumn("_inside", inside).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)
 
 
+def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """Number all rows from 0 by columns of any type. Ranges of rows are sorted where they lie and get the number of rows
+    before them added; rows that are equal in ``order`` are told apart by their place, so no key is too frequent to be cut.
+    """
+    order = [*order, F.col("_tie")]
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
+    ranged = written(ranged.withColumn("_place", F.monotonically_increasing_id()), "ranges")  # its range in the high bits, its row in the low 33
+    part = F.shiftright("_place", 33)
+    before, starts = 0, []
+    for k, n in sorted(ranged.groupBy(part.alias("k")).count().collect()):  # a row a range
+        starts.append((k, before))
+        before += n
+    own = ranged.join(F.broadcast(df.sparkSession.createDataFrame(starts, "_k bigint, _before bigint")), part == F.col("_k"))
+    return own.withColumn(name, F.col("_before") + F.col("_place") - F.shiftleft(part, 33)).select(*df.columns, name)
+
+
 def split_sessions(df: DataFrame, session: str, order: str, name: str = "part") -> DataFrame:
     """Mark each row ``train`` or ``test`` by the parity of its session's place in the order of first appearance.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import python, stats, text
-from quillspark.operators import aggregates, codec, dedupe, joins, mining, ordering
+from quillspark.operators import aggregates, codec, dedupe, joins, mining, ordering, similarity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -734,6 +734,53 @@ def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.greedy(rows, ["conv_id"], "turn", "text", 0.35)
 
 
+_SETS = f"select conv_id, turn, list_sort({_set(_lex('text'))}) as s from conversations"
+_SET_PAIRS = f"""
+c as materialized (select min([conv_id, turn]) as rep, s, count(*) as n_items from t where len(s) > 0 group by s),
+e as materialized (select rep, len(s) as n, unnest(s) as token from c),
+p as materialized (select x.rep as a, y.rep as b, count(*) / least(any_value(x.n), any_value(y.n)) as overlap from e x join e y on x.token = y.token and x.rep < y.rep group by 1, 2 having overlap >= 0.6)
+"""
+
+
+@query(f"with t as materialized ({_SETS}), {_SET_PAIRS} select a[1] as conv_a, a[2] as turn_a, b[1] as conv_b, b[2] as turn_b, round(overlap, 6) as overlap from p")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similarity.similar_pairs(read(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    return pairs.select(F.col("a.conv_id").alias("conv_a"), F.col("a.turn").alias("turn_a"), F.col("b.conv_id").alias("conv_b"), F.col("b.turn").alias("turn_b"), F.round("overlap", 6).alias("overlap"))
+
+
+@query(f"""
+with t as materialized ({_SETS}), {_SET_PAIRS},
+o as (select a as rep, b as other from p union all select b, a from p),
+n as (select o.rep, sum(c.n_items) as n from o join c on c.rep = o.other group by 1)
+select conv_id, turn, c.rep[1] as rep_conv, c.rep[2] as rep_turn, coalesce(n_items - 1 + coalesce(n, 0), 0)::bigint as n_links from t left join c on t.s = c.s left join n on n.rep = c.rep
+""")
+def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = similarity.similar_items(read(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    return rows.select("id.conv_id", "id.turn", F.col("rep.conv_id").alias("rep_conv"), F.col("rep.turn").alias("rep_turn"), "n_links")
+
+
+@query(ORACLES["greedy_dedupe"])
+def greedy_dedupe_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``greedy_dedupe``, by links and rounds instead of a fold."""
+    return similarity.greedy(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", 0.35)
+
+
+@query(f"""
+with recursive t as materialized (select conv_id, turn, row_number() over (order by conv_id, turn) as k, {_set(_lex('text'))} as s from conversations),
+r as (
+  select k, conv_id, turn, true as kept, null::int as kept_index, null::double as overlap, [s] as kepts from t where k = 1
+  union all
+  select k, conv_id, turn, p = 0, case when p > 0 then p - 1 end, case when p > 0 then round(scores[p], 6) end, case when p = 0 then list_append(kepts, s) else kepts end
+  from (select *, coalesce(list_position([x >= 0.6 for x in scores], true), 0)::int as p
+    from (select t.*, r.kepts, [{_contain('t.s', 'x')} for x in r.kepts] as scores from r join t on t.k = r.k + 1)))
+select conv_id, turn, kept, kept_index, overlap from r
+""")
+def greedy_dedupe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one group, in the order of conversations and turns."""
+    rows = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("item"), "text")
+    return similarity.greedy(rows, [], "item", "text").select("item.conv_id", "item.turn", "kept", "kept_index", "overlap")
+
+
 @query(f"""
 with r as (select conv_id, turn, text, case turn % 4 when 1 then text when 3 then 'x ' || text else left(text, length(text) - 4) || 'zz' end as near from ({_TURNS}) where role = 'user' and next_role = 'assistant'),
 n as (select conv_id, turn, {_lex('near')} as a, {_lex('text')} as e, length({_lex('left(text, length(text) - 4)')}) as same from r)

@@ -2,7 +2,7 @@
 
 The distinct words (matches of the split pattern) of the corpus are gathered: texts are split in blocks of a bounded
 number of matches, a block hands on each of its distinct words once, and words are dealt out by their hash, so each
-distinct word of the corpus is in one part. A part lays its words out as one flat linked list of byte tokens. An
+distinct word of the corpus is in one part (of a very large corpus, in one for each group of blocks). A part lays its words out as one flat linked list of byte tokens. An
 inverted index holds, for each rank, the positions of the token pairs that merge to it. The merges are replayed in
 rank order: each step takes the positions listed under the lowest rank left, merges them at once, and looks at nothing
 but the pairs that touch a merged position. Merges in one word never depend on another word, so parts change nothing
@@ -34,6 +34,9 @@ from quillspark.llm._shared import grouped, loosened, packed, slices, squeezed,
 #: Matches of the pattern in a block of texts, and distinct words whose merges are replayed together, about; bytes of text
 #: whose words make a part. The only effect is on memory and on what is shuffled.
 BLOCK_MATCHES, REPLAY_WORDS, PART_BYTES = 4_000_000, 150_000, 16_000_000
+#: Parts that a block sends its words to, at most. Of more parts, blocks are gathered in groups with parts of their own, so
+#: that what a block sends, and the rows in which it does, don't grow with the corpus; a word is then replayed once a group.
+MOST_PARTS = 512
 #: How hard words, their ids and the numbers that stand for them are compressed: all of what goes between tasks.
 LEVEL = 9
 #: Rows of a block: documents; numbers of the words in their texts; words, or their ids, by part.
@@ -233,13 +236,15 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[
     return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)], sizes
 
 
-def split(docs: DataFrame, pattern: str, parts: int, block_matches: int = BLOCK_MATCHES) -> DataFrame:
+def split(docs: DataFrame, pattern: str, parts: int, block_matches: int = BLOCK_MATCHES, most_parts: int = MOST_PARTS) -> DataFrame:
     """Rows of each block (``block, kind, i, id, n, a``): its documents (``id``, ``n`` matches), the numbers of the words in
     their texts (``a``, in order of the documents), and its distinct words by part (``a`` bytes, ``b`` lengths).
 
     Words are numbered by how often they stand in the block; ``c`` of the first row of numbers has their parts:
-    within a part, words go in this order.
+    within a part, words go in this order. Parts of group g of the blocks are numbered from g * ``most_parts``.
     """
+    groups = math.ceil(parts / most_parts)
+    parts = math.ceil(parts / groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, fields = regex.compile(pattern).findall, None
@@ -271,7 +276,7 @@ def split(docs: DataFrame, pattern: str, parts: int, block_matches: int = BLOCK_
                 index = [p for p in range(k, min(k + 200, parts)) if bounds[p] < bounds[p + 1]]
                 own = [[words[w] for w in by_part[bounds[p] : bounds[p + 1]].tolist()] for p in index]
                 a = [squeezed(b"".join(x), LEVEL) for x in own]
-                yield rows(WORDS, index, a=pa.array(a, pa.binary()), b=pa.array([packed(np.array([len(w) for w in x])) for x in own], pa.binary()))
+                yield rows(WORDS, [(part >> 24) % groups * most_parts + p for p in index], a=pa.array(a, pa.binary()), b=pa.array([packed(np.array([len(w) for w in x])) for x in own], pa.binary()))
 
         for batch in batches:
             for piece in slices(batch, 1):
@@ -353,7 +358,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     id_type = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1) / PART_BYTES)
-    held = written(split(texts, pattern, parts, block_matches), "split")
+    held = written(split(texts, pattern, parts, block_matches, MOST_PARTS), "split")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("id", id_type), ("n", "bigint"))]
     given = replayed(held, ranks_of).select("block", "kind", "i", *nothing, "a", "b", F.lit(None).cast("binary").alias("c"))
     rows = held.where(F.col("kind") != WORDS).unionByName(given).repartition("block").sortWithinPartitions("block", "kind", "i")

@@ -67,6 +67,26 @@ def test_a_word_is_replayed_once(spark):
     assert seen.value == len({w for i in range(7) for w in RANKS.pattern.findall(f"same words again number{i}")})
 
 
+def test_what_blocks_send_does_not_grow_with_the_parts(spark, sf_dir):
+    """A thousand times the parts: as many rows and about as many bytes, in more groups of blocks."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as id", "text").repartition(8)
+    sent = []
+    for parts in (6, 6000):
+        rows = bpe.split(docs, public_tokenizers.PATTERN, parts, 20_000, 6).where(f"kind = {bpe.WORDS}").selectExpr("i", "octet_length(a) + octet_length(b) as n").collect()
+        sent.append((len(rows), sum(r.n for r in rows), max(r.i for r in rows)))
+    (rows, size, last), (more_rows, more_size, more_last) = sent
+    assert last < 6 <= more_last and more_rows <= rows and more_size <= 1.02 * size
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_groups_of_blocks(spark, sf_dir, monkeypatch, most):
+    monkeypatch.setattr(bpe, "MOST_PARTS", most)
+    monkeypatch.setattr(bpe, "PART_BYTES", 30_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, PATH, public_tokenizers.PATTERN, block_matches=3000).collect()}
+    assert got == {r.doc_id: REFERENCE.encode_ordinary(r.text or "") for r in docs.collect()}
+
+
 def test_a_merge_of_lower_rank_goes_first():
     # merging "b"+"c" (rank 258) makes "a"+"bc" possible, which ranks before it: the word is done again, leftmost first
     tokens = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"xbc": 257, b"bc": 258}

@@ -229,6 +229,33 @@ class _Numbers(dict):
         return n
 
 
+#: Numbers below this are a byte; the byte of a larger one says the middle of its bits, and its lower and upper bits go apart.
+SHORT = 192
+
+
+def _told(numbers: np.ndarray) -> bytes:
+    """Small numbers, most of them very small, in few bytes."""
+    over = numbers >= SHORT
+    rest = numbers[over] - SHORT
+    head = numbers.astype(np.uint8)
+    head[over] = SHORT + (rest >> 8 & 63)
+    parts = [squeezed(head.tobytes(), LEVEL), squeezed((rest & 255).astype(np.uint8).tobytes(), LEVEL), packed(rest >> 14, level=LEVEL)]
+    return b"".join(len(x).to_bytes(5, "little") + x for x in parts)
+
+
+def _heard(told: bytes) -> np.ndarray:
+    parts = []
+    while told:
+        n = int.from_bytes(told[:5], "little")
+        parts.append(told[5 : 5 + n])
+        told = told[5 + n :]
+    out = np.frombuffer(loosened(parts[0]), dtype=np.uint8).astype(np.int32)
+    over = out >= SHORT
+    low = np.frombuffer(loosened(parts[1]), dtype=np.uint8).astype(np.int32)
+    out[over] += (out[over] - SHORT << 8) - (out[over] - SHORT) + low + (unpacked(parts[2]).astype(np.int32) << 14)
+    return out
+
+
 def _gathered(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of a flat array that begin at ``starts``, in the order of ``which``, and their sizes."""
     begin, sizes = starts[which], starts[which + 1] - starts[which]
@@ -270,7 +297,7 @@ def split(docs: DataFrame, pattern: str, parts: int, block_matches: int = BLOCK_
             flat = number[flat]
             cuts = list(range(0, max(1, len(flat)), 1_000_000))
             c = pa.array([packed(to), *[None] * (len(cuts) - 1)], pa.binary())
-            yield rows(NUMBERS, list(range(len(cuts))), a=pa.array([packed(flat[k : k + 1_000_000], level=LEVEL) for k in cuts], pa.binary()), c=c)
+            yield rows(NUMBERS, list(range(len(cuts))), a=pa.array([_told(flat[k : k + 1_000_000]) for k in cuts], pa.binary()), c=c)
             bounds = np.searchsorted(to[by_part], np.arange(parts + 1))
             for k in range(0, parts, 200):
                 index = [p for p in range(k, min(k + 200, parts)) if bounds[p] < bounds[p + 1]]
@@ -375,7 +402,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             to = unpacked(numbers.column("c")[0].as_py())
             place = np.empty(len(to), dtype=np.int64)
             place[np.argsort(to, kind="stable")] = np.arange(len(to))
-            own = np.concatenate([unpacked(x).astype(np.int32) for x in numbers.column("a").to_pylist()])
+            own = np.concatenate([_heard(x) for x in numbers.column("a").to_pylist()])
             ends = np.cumsum(documents.column("n").to_numpy())
             del sizes, table
             for k in range(0, documents.num_rows, 500):

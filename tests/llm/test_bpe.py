@@ -67,6 +67,13 @@ def test_a_word_is_replayed_once(spark):
     assert seen.value == len({w for i in range(7) for w in RANKS.pattern.findall(f"same words again number{i}")})
 
 
+def test_numbers_come_back():
+    for top in (1, 191, 192, 193, 16_575, 16_576, 70_000, 5_000_000, 2**31 - 1):
+        x = bpe.np.append(bpe.np.random.default_rng(top).integers(0, top, 2000), [0, top - 1, top])
+        assert bpe._heard(bpe._told(x)).tolist() == x.tolist()
+    assert len(bpe._heard(bpe._told(bpe.np.zeros(0, dtype=bpe.np.int64)))) == 0
+
+
 def test_what_blocks_send_does_not_grow_with_the_parts(spark, sf_dir):
     """A thousand times the parts: as many rows and about as many bytes, in more groups of blocks."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as id", "text").repartition(8)

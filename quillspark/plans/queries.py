@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import python, stats, text
-from quillspark.operators import aggregates, codec, dedupe, joins, mining, ordering, similarity
+from quillspark.operators import aggregates, codec, dedupe, encoding, joins, mining, ordering, similarity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -685,6 +685,65 @@ def dictionary_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5("e.coded").alias("digest"), F.size("e.applied").alias("n_applied"), F.size("e.skipped").alias("n_skipped"))
 
 
+@query(f"select doc_id, md5(coded) as digest, n_applied, n_skipped from {_coded_sql()}")
+def dictionary_encode_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``dictionary_encode``, by the position index."""
+    book = spark.createDataFrame([(e.code, e.expansion) for e in BOOK], "code string, expansion string")
+    rows = encoding.dictionary_encoded(read(spark, sf_dir, "documents"), book, name="e")
+    return rows.select("doc_id", F.md5("e.coded").alias("digest"), F.size("e.applied").alias("n_applied"), F.size("e.skipped").alias("n_skipped"))
+
+
+#: Words of the phrases of ``benchmark_book``: from, to.
+PHRASES = (2, 60)
+
+
+def _phrases(n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+
+
+def benchmark_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``code, expansion``: all phrases of 2 to 60 words of the benchmark's texts, each with the next one, with codes by their
+    digests."""
+    texts = read(spark, sf_dir, "benchmark")
+    after = texts.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    words = texts.join(after, "item_id", "left").select(F.split(F.concat_ws(" ", "text", "next"), " ").alias("w"))
+    runs = [F.when(F.size("w") >= n, _phrases(n)) for n in range(PHRASES[0], PHRASES[1] + 1)]
+    phrases = words.select(F.explode(F.flatten(F.array_compact(F.array(*runs)))).alias("expansion")).distinct()
+    return phrases.select(F.concat(F.lit("K"), F.upper(F.left(F.md5("expansion"), F.lit(7)))).alias("code"), "expansion")
+
+
+_COST = lambda x: rf"len(regexp_extract_all({x}, '[A-Za-z0-9]{{1,4}}|[^A-Za-z0-9\s]'))"
+
+
+@query(rf"""
+with recursive w as (select string_split(concat_ws(' ', a.text, b.text), ' ') as w from benchmark a left join benchmark b on b.item_id = a.item_id + 1),
+f as (select distinct array_to_string(w[i:i + n - 1], ' ') as expansion from w, range({PHRASES[0]}, {PHRASES[1] + 1}) q(n), lateral (select unnest(range(1, len(w) - n + 2)) as i) where len(w) >= n),
+c as (select expansion, 'K' || upper(left(md5(expansion), 7)) as code, lower(expansion) as low from f where expansion <> ''),
+e as materialized (select low, arg_max(expansion, [lower(code), code]) as expansion, max([lower(code), code])[2] as code from c group by low),
+b as materialized (select *, {_COST("code")} < {_COST("expansion")} as pays, lower(array_to_string(u[1:3], '')) as start, len(u) as k from (select *, regexp_extract_all(expansion, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]') as u from e)),
+t as materialized (select doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]') as t from documents),
+s as (select distinct start, k from b),
+x as (select doc_id, unnest(t) as x, generate_subscripts(t, 1) as i from t),
+h as (select doc_id, i, lower(x || lead(x) over v || lead(x, 2) over v) as start from x window v as (partition by doc_id order by i)),
+g as materialized (select doc_id, i, k, lower(array_to_string(t[i:i + k - 1], '')) as low, array_to_string(t[i:i + k - 1], '') as gram, coalesce(regexp_matches(t[i - 1], '^[\p{{L}}\p{{N}}_]'), false) and i > 1 as l, coalesce(regexp_matches(t[i + k], '^[\p{{L}}\p{{N}}_]'), false) as r from h join s using (start) join t using (doc_id) where i + k - 1 <= len(t)),
+m as (select doc_id, i, max(k) as k from g join b using (low, k) where not l and not r group by doc_id, i),
+n as materialized (select doc_id, i, m.k, gram, code, gram = expansion as same, pays from m join g using (doc_id, i, k) join b using (low)),
+chain(doc_id, i, e) as (
+  select doc_id, min(i), arg_min(i + k, i) from n group by doc_id
+  union all
+  select c.doc_id, min(n.i), arg_min(n.i + n.k, n.i) from chain c join n on n.doc_id = c.doc_id and n.i >= c.e group by c.doc_id),
+p as (select doc_id, n.*, i + k as e, lag(i + k, 1, 1) over (partition by doc_id order by i) as after from chain c join n using (doc_id, i)),
+o as (select p.doc_id, string_agg(array_to_string(t[after:i - 1], '') || case when pays and same then code else gram end, '' order by i) as head, max(p.e) as e, count(*) filter (where pays and same) as n_applied, count(*) filter (where same and not pays) as n_skipped
+  from (select * exclude (e), i + k as e from p) p join t using (doc_id) group by p.doc_id)
+select doc_id, md5(coalesce(head, '') || array_to_string(t[coalesce(e, 1):], '')) as digest, coalesce(n_applied, 0)::int as n_applied, coalesce(n_skipped, 0)::int as n_skipped from t left join o using (doc_id)
+""")
+def dictionary_encode_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by a codebook of about 100,000 entries that overlap and lie within each other. Each has three tokens at
+    least, which the SQL relies on."""
+    rows = encoding.dictionary_encoded(read(spark, sf_dir, "documents"), benchmark_book(spark, sf_dir), name="e")
+    return rows.select("doc_id", F.md5("e.coded").alias("digest"), F.size("e.applied").alias("n_applied"), F.size("e.skipped").alias("n_skipped"))
+
+
 @query(f"select count(*) as n, 0::bigint as failures, count(*) filter (where coded <> text) as changed from {_coded_sql()}")
 def codebook_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode, decode = codec.dictionary_encoder(BOOK), codec.dictionary_decoder(BOOK)

@@ -18,8 +18,8 @@ _WORD = r"[\p{L}\p{N}_]"
 _TOKEN = rf"{_WORD}+|[^\p{{L}}\p{{N}}_]"
 #: Most entries, and bytes of their texts, of a codebook that is broadcast; a larger one is joined by shuffling.
 BROADCAST_ENTRIES, BROADCAST_BYTES = 300_000, 32_000_000
-#: Tokens by which entries are looked for at first: two words and what is between them.
-PREFIX = 3
+#: Tokens by which entries are looked for at first: two words and what is between them; by how much more in each next round.
+PREFIX, STEP = 3, 3
 
 
 def _tokens(text: Column | str) -> Column:
@@ -37,17 +37,40 @@ def prepared(book: DataFrame) -> DataFrame:
     )
 
 
+def _first(tokens: Column, n: int) -> Column:
+    return F.array_join(F.slice(tokens, 1, n), "")
+
+
+def _grams(texts: DataFrame, begun: DataFrame) -> DataFrame:
+    """``key, at, n_tokens, gram, left, right``: of each place (``i``, from 1) the grams of its ``lengths``, and whether a word
+    stands right before and after."""
+    rows = texts.join(begun.groupBy("key").agg(F.collect_list(F.struct("i", "lengths")).alias("begun")), "key").withColumn("t", _tokens("text"))
+    longer = F.flatten(F.transform("begun", lambda b: F.transform(F.filter(b["lengths"], lambda k: b["i"] + k - 1 <= F.size("t")), lambda k: F.struct(b["i"].alias("i"), k.alias("k")))))
+    gram = lambda x: F.struct((x["i"] - 1).alias("at"), x["k"].alias("n_tokens"), F.array_join(F.slice("t", x["i"], x["k"]), "").alias("gram"), F.get("t", x["i"] - 2).alias("left"), F.get("t", x["i"] + x["k"] - 1).alias("right"))
+    return rows.select("key", F.inline(F.transform(longer, gram)))
+
+
 def matches(texts: DataFrame, book: DataFrame) -> DataFrame:
     """What of the codebook stands in each text, the longest at each place: ``key``, and ``found``, in order, of structs of ``at``
     (tokens before it), ``k``, ``code, expansion, pays, same`` (in this very case). ``book`` is prepared.
 
-    Places offer their first ``PREFIX`` tokens, which are joined to the beginnings of entries; where one begins, the place
-    offers a gram of each length that such entries have, and these are joined to the entries.
+    Places offer their first ``PREFIX`` tokens, which are joined to the beginnings of entries. Where one begins, the place
+    offers grams of the lengths that such entries have up to ``STEP`` times as many tokens, and its first ``STEP`` times as
+    many, by which longer entries are looked for in the next round: places without an entry drop out at once.
     """
-    book = book.withColumn("p", F.least("k", F.lit(PREFIX))).withColumn("start", F.array_join(F.slice(_tokens("low"), F.lit(1), F.col("p")), ""))
-    about = book.agg(F.sort_array(F.collect_set("p")), F.bool_and("word_first"), F.count("*"), F.sum(F.octet_length("expansion") + F.octet_length("code"))).first()
-    widths, from_words, n, size = about  # at most PREFIX widths
+    book = written(book.withColumn("u", _tokens("low")), "entries")
+    about = book.agg(F.max("k"), F.bool_and("word_first"), F.count("*"), F.sum(F.octet_length("expansion") + F.octet_length("code"))).first()
+    longest, from_words, n, size = about
     sent = F.broadcast if n <= BROADCAST_ENTRIES and (size or 0) <= BROADCAST_BYTES else lambda df: df
+    widths = [PREFIX]
+    while widths[-1] * STEP <= (longest or 0):
+        widths.append(widths[-1] * STEP)
+
+    def begin(w: int) -> DataFrame:
+        """Beginnings of entries, ``w`` tokens (or all of the shortest ones), and the lengths to offer."""
+        least = book if w == PREFIX else book.where(F.col("k") >= w)
+        return least.groupBy(_first(F.col("u"), w).alias("start")).agg(F.collect_set(F.least("k", F.lit(w * STEP))).alias("lengths"))
+
     split = texts.select("key", _tokens("text").alias("t")).withColumn("n", F.size("t"))
     places = lambda p: F.sequence(F.lit(1), F.col("n") - p + 1)
     some = (lambda p: F.filter(places(p), lambda i: F.element_at("t", i) != " ")) if from_words else places
@@ -56,15 +79,21 @@ def matches(texts: DataFrame, book: DataFrame) -> DataFrame:
         return F.when(F.col("n") >= p, F.transform(some(p), lambda i: F.struct(i.alias("i"), F.lower(F.array_join(F.slice("t", i, p), "")).alias("start"))))
 
     none = "cast(array() as array<struct<i:int,start:string>>)"
-    index = split.select("key", F.inline(F.flatten(F.array_compact(F.array(F.expr(none), *map(starts, widths))))))
-    begin = book.groupBy("start").agg(F.collect_set("k").alias("lengths"))
-    begun = index.join(sent(begin), "start").groupBy("key").agg(F.collect_list(F.struct("i", "lengths")).alias("begun"))
-    longer = F.flatten(F.transform("begun", lambda b: F.transform(F.filter(b["lengths"], lambda k: b["i"] + k - 1 <= F.col("n")), lambda k: F.struct(b["i"].alias("i"), k.alias("k")))))
-    word = lambda i: F.coalesce(F.get("t", i).rlike(f"^{_WORD}"), F.lit(False))  # noqa: E731  get counts from 0, null beyond the ends
-    gram = lambda x: F.struct((x["i"] - 1).alias("at"), x["k"].alias("gram_k"), F.array_join(F.slice("t", x["i"], x["k"]), "").alias("gram"), word(x["i"] - 2).alias("left"), word(x["i"] + x["k"] - 1).alias("right"))
-    grams = split.join(begun, "key").select("key", F.inline(F.transform(longer, gram)))
-    hit = grams.join(sent(book.drop("p", "start")), (F.lower("gram") == F.col("low")) & (F.col("gram_k") == F.col("k")))
-    hit = hit.where(~F.col("left") & ~F.col("right"))  # words are whole by their tokens; a sign at an edge may not touch one
+    shorter = [r[0] for r in book.where(F.col("k") < PREFIX).select("k").distinct().collect()]  # below PREFIX
+    index = split.select("key", F.inline(F.flatten(F.array_compact(F.array(F.expr(none), *map(starts, [PREFIX, *shorter]))))))
+    begun = written(index.join(sent(begin(PREFIX)), "start").select("key", "i", "lengths"), "begun")
+    entries, hits = sent(book.drop("u")), []
+    word = lambda c: F.coalesce(F.col(c).rlike(f"^{_WORD}"), F.lit(False))
+    for w, after in zip(widths, [*widths[1:], None], strict=True):
+        grams = written(_grams(texts, begun).withColumn("gram_low", F.lower("gram")), "grams")
+        hit = grams.join(entries, (F.col("gram_low") == F.col("low")) & (F.col("n_tokens") == F.col("k")))
+        hits.append(hit.where(~word("left") & ~word("right")))  # words are whole by their tokens; a sign at an edge may not touch one
+        if after:
+            probes = grams.where(F.col("n_tokens") == after).select("key", (F.col("at") + 1).alias("i"), F.col("gram_low").alias("start"))
+            begun = written(probes.join(sent(begin(after)), "start").select("key", "i", "lengths"), "begun")
+    hit = hits[0]
+    for more in hits[1:]:
+        hit = hit.unionByName(more)
     best = hit.groupBy("key", "at").agg(F.max_by(F.struct("at", "k", "code", "expansion", "pays", (F.col("gram") == F.col("expansion")).alias("same")), F.struct("chars", F.col("k"))).alias("m"))
     return best.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("found"))
 
@@ -108,12 +137,13 @@ def dictionary_encoded(docs: DataFrame, book: DataFrame, text: str = "text", nam
 
     ``book`` has ``code`` and ``expansion``. Entries are found as whole words whatever their case, the longest first; one in
     another case, or whose code costs no less than it, stays as it is and still uses up its span. Each distinct text is
-    encoded once and shuffled once. A null text gives null parts; an empty codebook changes nothing. Letters that
+    encoded once. A null text gives null parts; an empty codebook changes nothing. Letters that
     change their length with their case are compared in lower case, character by character.
     """
     entries = written(prepared(book), "book")
     keyed = docs.withColumn("_key", F.md5(text))
     texts = keyed.where(F.col(text).isNotNull()).select(F.col("_key").alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    texts = written(texts, "texts")  # read in each round of the search, and at last
     chosen = leftmost(written(matches(texts, entries), "matches"))
     whole = texts.join(chosen, "key", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<at:int,k:int,code:string,expansion:string,pays:boolean,same:boolean>>)")))
     whole = whole.withColumn("t", _tokens("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import python, stats, text
-from quillspark.operators import aggregates, codec, dedupe, encoding, joins, mining, ordering, similarity
+from quillspark.operators import aggregates, codec, dedupe, encoding, joins, mining, ordering, selection, similarity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -594,6 +594,60 @@ def order_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.order_statistic("value", 0.975, ["event_type"], read(spark, sf_dir, "events").select("event_type", "value"))
 
 
+@query(ORACLES["order_statistic"])
+def order_statistic_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``order_statistic``, by histograms instead of a sort of each group."""
+    found = selection.select_ranks(read(spark, sf_dir, "events"), ["event_type"], "value", {"at": lambda n: F.floor(0.975 * (n - 1))})
+    return found.select("event_type", F.col("at").alias("value"))
+
+
+@query(ORACLES["visible_tokens_median"])
+def visible_tokens_median_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``visible_tokens_median``, by histograms."""
+    k = F.when(F.col("event_id") % 5 > 0, F.get_json_object("props", "$.k").cast("bigint"))
+    rows = read(spark, sf_dir, "events").select("event_type", (100 + F.floor("value")).alias("c"), k.alias("k"))
+    middle = selection.medians(rows, ["event_type"], {"visible_median": aggregates.visible(F.col("c"), F.col("k")), "billed_median": F.col("c")})
+    sums = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("reasoning"))
+    return sums.join(middle, "event_type").select("event_type", "n", F.round("visible_median", 6).alias("visible_median"), F.round("billed_median", 6).alias("billed_median"), "reasoning")
+
+
+@query(ORACLES["savings_bases"])
+def savings_bases_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``savings_bases``, by histograms."""
+    rows = conversation_tokens(spark, sf_dir)
+    middle = selection.medians(rows, [], {"p": F.col("plain"), "c": F.col("compressed")})
+    plain, compressed = F.col("plain"), F.col("compressed")
+    sums = rows.agg(
+        F.count("*").alias("n_pairs"), F.round(stats.savings(F.sum(plain), F.sum(compressed)), 2).alias("savings_sum"), F.round(stats.savings(F.avg(plain), F.avg(compressed)), 2).alias("savings_mean"),
+        F.round(F.avg(stats.savings(plain, compressed)), 2).alias("savings_unit_mean"),
+    )
+    return sums.join(middle.select(F.round(stats.savings(F.col("p"), F.col("c")), 1).alias("savings_median")))  # a row each
+
+
+@query(ORACLES["paired_delta_wins"])
+def paired_delta_wins_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``paired_delta_wins``, by histograms."""
+    d = F.col("compressed") - F.col("plain")
+    rows = conversation_tokens(spark, sf_dir).select((F.col("conv_id") % 5).alias("grp"), d.alias("d"))
+    counts = rows.groupBy("grp").agg(F.count("*").alias("n"), F.count_if(F.col("d") < 0).alias("wins"), F.count_if(F.col("d") > 0).alias("losses"))
+    return counts.join(selection.medians(rows, ["grp"], {"median_delta": F.col("d")}), "grp")
+
+
+_LINES = ", ".join(f"({r}::bigint, {a}::bigint, {b}::bigint)" for r, (a, b) in enumerate(selection.resample_lines(2000, "boot")))
+
+
+@query(f"""
+with t as (select cast('0x' || substr(md5('boot:' || l_orderkey), 1, 15) as bigint) % {selection.PRIME} as x, count(*) filter (where l_discount > 0.05) as k, count(*) as n from lineitem group by l_orderkey),
+d as (select r, k, n, (x * a + b) % {selection.PRIME} as u from t, (values {_LINES}) l(r, a, b)),
+s as (select r, sum(k * c) / sum(n * c) as rate from (select r, k, n, {" + ".join(f"(u >= {p})::int" for p in selection.poisson_points())} as c from d) group by r)
+select (select count(*) from t) as n_tasks, round(list_sort(list(rate))[50], 6) as lo, round(list_sort(list(rate))[1950], 6) as hi from s
+""")
+def poisson_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as answers, orders as tasks."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_discount") > 0.05).alias("x"))
+    return selection.poisson_bootstrap(rows, "l_orderkey", "x")
+
+
 @query("select event_id, ok as parse_ok, case when ok then array_to_string(list_sort(list_distinct(x)), ',') end as matched from (select event_id, [k % 9, k % 4, k % 9] as x, k % 9 between 1 and 8 and k % 4 between 1 and 8 as ok from (select event_id, json_extract_string(props, '$.k')::bigint as k from events))")
 def fact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.expr("concat('[', get_json_object(props, '$.k') % 9, ', ', get_json_object(props, '$.k') % 4, ',', get_json_object(props, '$.k') % 9, ']')")

@@ -134,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     A label above 1 is a grade as it is. Where labels say no more than whether a text is toxic, a toxic text's grade
     follows from how many telling words it holds: words in toxic texts alone, or nearly so, at ``cuts``. Grades above 1
     are then a measure of how thick the toxic words stand, made of the same words that predict it, not a judgement of
-    anybody. Repeated labels of a document: the highest counts.
+    anybody. Repeated labels of a document: the highest counts. A labelled text without any of the features is a row of
+    zeros: it counts for the thresholds.
     """
     grades = len(cuts) + 2
     none = Model({}, np.full(grades - 1, 10.0))
@@ -150,9 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 ids, y = (np.repeat(part.column(k).to_numpy(zero_copy_only=False), n) for k in (0, 2))
                 yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "feature": pa.array([f for x in found for f in x], pa.string()), "n": pa.array([c for x in found for c in x.values()], pa.int32()), "y": pa.array(y, pa.int32())})
 
-    sparse = written(rows.select(F.xxhash64("id", "text").alias("id"), "text", "y").mapInArrow(exploded, "id bigint, feature string, n int, y int"), "features")
-    total = sparse.select("id", "y").distinct().agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") == 0)).first()
-    bad, good = total
+    rows = rows.select(F.xxhash64("id", "text").alias("id"), "text", "y")
+    sampled = rows.groupBy("id").agg(F.max("y").alias("y")).orderBy("id").toPandas()  # with those that have no feature
+    sparse = written(rows.mapInArrow(exploded, "id bigint, feature string, n int, y int"), "features")
+    bad, good = int((sampled["y"] > 0).sum()), int((sampled["y"] <= 0).sum())
     if not bad or not good:
         return none
     df = sparse.groupBy("feature").agg(F.count_if(F.col("y") > 0).alias("p"), F.count_if(F.col("y") == 0).alias("q")).where(F.col("p") + F.col("q") >= least_docs)
@@ -161,21 +163,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     telling = (odds > 3) & (F.col("p") >= 9 * F.col("q")) & ~F.col("feature").endswith("*")
     best = df.select("feature", z.alias("z"), telling.alias("telling")).orderBy(F.desc("z"), "feature").limit(most_features).toPandas()
     place = {f: i for i, f in enumerate(best["feature"])}
-    chosen = docs.sparkSession.createDataFrame(best[["feature"]].assign(col=range(len(best))))
+    chosen = docs.sparkSession.createDataFrame([(f, i) for f, i in place.items()], "feature string, col int")
     kept = sparse.join(F.broadcast(chosen), "feature").select("id", "y", "col", "n")
-    by_doc = kept.groupBy("id").agg(F.max("y").alias("y"), F.collect_list("col").alias("cols"), F.collect_list("n").alias("ns")).orderBy("id").toPandas()
-    y = by_doc["y"].to_numpy(dtype=int)
-    lengths = np.array([len(x) for x in by_doc["cols"]])
-    r = np.repeat(np.arange(len(y)), lengths)
-    c = np.concatenate([np.asarray(x) for x in by_doc["cols"]]).astype(int)
-    counts = np.concatenate([np.asarray(x) for x in by_doc["ns"]]).astype(float)
+    by_doc = kept.groupBy("id").agg(F.collect_list("col").alias("cols"), F.collect_list("n").alias("ns")).orderBy("id").toPandas()
+    y = sampled["y"].to_numpy(dtype=int)
+    lengths = np.array([len(x) for x in by_doc["cols"]], dtype=int)
+    r = np.repeat(np.searchsorted(sampled["id"].to_numpy(), by_doc["id"].to_numpy()), lengths)
+    c = np.concatenate([np.zeros(0), *by_doc["cols"]]).astype(int)
+    counts = np.concatenate([np.zeros(0), *by_doc["ns"]]).astype(float)
     order = np.lexsort((c, r))
     r, c, counts = r[order], c[order], counts[order]
     if y.max() <= 1:
         held = np.bincount(r, counts * best["telling"].to_numpy()[c], len(y))
         y = np.where(y > 0, 1 + sum((held >= cut).astype(int) for cut in cuts), 0)
     y = np.minimum(y, grades - 1)
-    w, theta = fit(r, c, np.log1p(counts), len(place), y, grades)
+    w, theta = fit(r, c, np.log1p(counts), len(place), y, grades) if place else fit(np.zeros(1, int), np.zeros(1, int), np.zeros(1), 1, y, grades)
     return Model({f: float(w[i]) for f, i in place.items() if w[i]}, theta)
 
 

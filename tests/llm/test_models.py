@@ -234,3 +234,15 @@ def test_toxicity_grades_and_scores(spark):
         s = model.score(text)
         tails = [1 / (1 + math.exp(min(40, max(-40, t - s)))) for t in model.thresholds]
         assert abs(got[i].expected_severity - sum(tails)) < 1e-9 and abs(got[i].p_toxic - tails[0]) < 1e-9 and got[i].grade == sum(t > 0.5 for t in tails)
+
+
+def test_labelled_texts_without_features_count(spark):
+    """They move the thresholds, however many there are, and a sample of nothing else is fitted as well."""
+    told = [(i, f"plain words {'awful nasty' if i % 2 else 'good kind'} of text {i % 5}", i % 2) for i in range(60)]
+    blank = [(100 + i, "" if i % 3 else None, 0) for i in range(300)]
+    models = []
+    for rows in (told, told + blank, [(i, "", i % 4 // 3) for i in range(40)]):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+        models.append(toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic")))
+    assert models[1].thresholds[0] > models[0].thresholds[0] + 1
+    assert not models[2].weights and abs(1 / (1 + math.exp(models[2].thresholds[0])) - 0.25) < 0.02

@@ -28,10 +28,14 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: How source, configuration and markup give a value to a name: ``name = value`` with a bare, dotted or quoted name and
 #: any assignment sign, a call with the name as its first argument, an element of that name.
 _START = re.compile(
-    r"""(?<![\w.$-])(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=quote)[ \t]*(?::=|=>|=|:)(?![=:/~])[ \t]*"""
+    r"""(?<![\w.$-])(?P<typed>[A-Za-z_][A-Za-z0-9_.]*+)[ \t]*:[ \t]*(?:&(?:'static[ \t]+)?)?(?:str|string|bytes|String|Text|SecretStr|Any|(?:Optional|Final|ClassVar)(?:\[[^][\n]*+\])?)(?:[ \t]*\|[ \t]*None)?[ \t]*=(?![=~>])[ \t]*"""
+    r"""|^[ \t]*(?:(?:let|const|var|my)[ \t]+)?(?P<many>[A-Za-z_]\w*+(?:[ \t]*,[ \t]*[A-Za-z_]\w*+)++)[ \t]*=(?![=~>])[ \t]*"""
+    r"""|\[[ \t]*(?P<edge>["'])(?P<index>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=edge)[ \t]*\][ \t]*:?=(?![=~>])[ \t]*"""
+    r"""|(?<![\w.$-])(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=quote)[ \t]*(?::=|=>|=|:)(?![=:/~])[ \t]*"""
+    r"""|^[ \t]*(?:ENV|ARG|setenv)[ \t]+(?P<env>[A-Za-z_]\w*+)[ \t]+(?!=)"""
     r"""|\([ \t]*(?P<mark>["'])(?P<argument>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=mark)[ \t]*,[ \t]*"""
     r"""|<(?P<element>[A-Za-z_][A-Za-z0-9_.-]*+)(?:[ \t][^<>]*+)?>(?P<body>[^<>]++)(?=</(?P=element)[ \t]*>)""",
-    re.ASCII,
+    re.ASCII | re.MULTILINE,
 )
 _STRING = re.compile(
     r'"""((?:[^"\\]|\\.|"(?!""))*+)"""' + r"|'''((?:[^'\\]|\\.|'(?!''))*+)'''" + r'|"((?:[^"\\\n]|\\.)*)"' + r"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`", re.DOTALL
@@ -42,6 +46,23 @@ _BARE = re.compile(r"[A-Za-z0-9+/_.=$@!%^&*~{}-]+")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*", re.ASCII)
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*")
 _INSERT = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)")
+#: Names that are inserted into a string with f before it.
+_INSERT_F = re.compile(r"\{([A-Za-z_][A-Za-z0-9_.]*)(?:![rsa])?(?::[^{}]*)?\}")
+_PREFIX = re.compile(r"(?:[rRbBuU]{0,2}[fF][rR]?|[rRbBuU]{1,2})(?=[\"'])")
+#: What leads from one value to another that may stand in its place: the second branch of a condition, a default.
+_ELSE = re.compile(r"[ \t]*(?:if\b[^\n]*?\belse\b|:|\bor\b|\|\||\?\?)[ \t]*(?=[\"'`])")
+_CALLED = re.compile(r"[A-Za-z_$][\w.$]*+(?:\([^()\n]*+\)|\[[^][\n]*+\])*+[ \t]*(?:\?[ \t]*|\bor\b[ \t]*|\|\|[ \t]*|\?\?[ \t]*)(?=[\"'`])")
+_PERCENT = re.compile(r"[ \t]*%[ \t]*\(?[ \t]*([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)")
+_JOIN = re.compile(r"\.join\([ \t]*[\[(]")
+_OPEN, _NEXT, _CLOSE = re.compile(r"[\[(\s]+(?=[\"'`])"), re.compile(r"[ \t]*,\s*(?=[\"'`])|\s+(?=[\"'`])"), re.compile(r"[\s,]*[\])]")
+_SCHEME = re.compile(r"(?:Bearer|Basic|Token)[ \t]+(?=[A-Za-z0-9+/_.=-]{6})")
+#: Whom a URL lets in: the password between its name and its host.
+_URL = re.compile(r"://[^\s/:@\"'<>]*+:([^\s/@\"'<>]+)@")
+#: Bare words that are names: of names with dots, or of words alone, with a number behind at most.
+_DOTTED, _NAME = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+"), re.compile(r"[A-Za-z_]+[0-9]{0,2}")
+#: Keys that say nothing of their own: the key of what holds them counts.
+_HOLDERS = re.compile(r"[\"']?([A-Za-z_][A-Za-z0-9_-]*)[\"']?[ \t]*[:=][ \t]*\{")
+_PLAIN_KEYS = ("value", "Value", "data", "content", "default", "text", "val", "string")
 #: A block of deeper lines that follows a name, with its indicators.
 _BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*\n")
 _LINE = re.compile(r"([ \t]*)([^\n]*)(\n|\Z)")
@@ -61,7 +82,7 @@ COPIED, ENDS = 4096, 64
 #: How far a word of a target's name makes its value a secret.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9,
-    "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "private": 0.5, "access": 0.4, "api": 0.4, "key": 0.5, "signing": 0.5, "salt": 0.5, "pin": 0.4,
+    "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "authorization": 0.8, "private": 0.5, "access": 0.4, "api": 0.4, "key": 0.5, "signing": 0.5, "salt": 0.5, "pin": 0.4,
 }
 #: Values that stand for a secret without being one.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\{.*\}|\$.*|your.*|change.?me.*|example.*|dummy.*|test|todo|none|null|nil|true|false|undefined|redacted.*|placeholder.*|password|secret|token)$")
@@ -87,6 +108,7 @@ def base_spans(text: str) -> list[Span]:
 def name_score(name: str) -> float:
     """0 to 1: chance that none of the name's words makes it sensitive, from one."""
     words = [w.lower() for part in re.split(r"[._-]", name) for w in _CASES.findall(part)]
+    words = [w if w in SENSITIVE or w[-1:] != "s" else w[:-1] for w in words]  # several of them
     words += [a + b for a, b in zip(words, words[1:], strict=False)]
     return 1 - math.prod(1 - SENSITIVE.get(w, 0.0) for w in set(words))
 
@@ -105,6 +127,10 @@ class Long(NamedTuple):
     blank: bool  # white space only
 
 
+#: Targets whose values may be of several words.
+_PHRASE = re.compile(r"(?i)(?:password|passphrase|passwd|pass_?phrase)s?$")
+
+
 def _long(x: str | Long) -> Long:
     if isinstance(x, Long):
         return x
@@ -127,8 +153,12 @@ def _value(parts: list[str | Long]) -> str | Long:
     return functools.reduce(_joined, map(_long, parts))
 
 
-def literal_score(value: str | Long) -> float:
-    """0 to 1: how much a value looks like generated material rather than a word, a path or a placeholder."""
+def literal_score(value: str | Long, phrase: bool = False) -> float:
+    """0 to 1: how much a value looks like generated material rather than a word, a path or a placeholder. Values of several
+    words count where a phrase is expected."""
+    if phrase and isinstance(value, str) and " " in value.strip():
+        words = value.split()
+        return 0.7 if 3 <= len(words) <= 12 and not PLACEHOLDERS.match(value) and value.strip()[-1].isalnum() and value[:1].isalnum() and not value[:1].isupper() else 0.0
     if isinstance(value, Long):
         # a placeholder longer than both ends shows in them and in the signs there are
         n, counts, shape, plain = value.n, value.counts, value.head + "".join(value.counts) + value.tail, value.url or value.inner
@@ -192,17 +222,38 @@ def _block(text: str, at: int, line: int) -> tuple[list[tuple[int, int]], int]:
     return spans, at
 
 
+#: A name as a value, quoted or not.
+_TOLD = re.compile(r"[\"']?([A-Za-z_][A-Za-z0-9_.-]*)")
+
+#: Beginning of a line of configuration whose value follows at once.
+_CONFIG = re.compile(r"[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]*)?[A-Za-z_][A-Za-z0-9_.-]*=$")
+
+
+def _holders(text: str) -> list[tuple[int, int, str]]:
+    """Begin, end and key of what braces hold, where a key with a value of no telling name may stand."""
+    if "{" not in text or not any(x in text for x in _PLAIN_KEYS) or not (opens := {m.end() - 1: m[1] for m in _HOLDERS.finditer(text)}):
+        return []
+    out, stack = [], []
+    for m in _BRACES.finditer(text):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif m[0] == "}" and stack and (start := stack.pop()) in opens:
+            out.append((start, m.start(), opens[start]))
+    return sorted(out)
+
+
 def pairs(text: str) -> Iterator[tuple[str, str | Long, Source]]:
     """Name, value and source of each assignment, in order.
 
     A value is a chain of string literals, bare words and names joined by a concatenation sign, a block of deeper
-    lines, or the text of an element. A name stands for its value at that place, or else for the first one that it gets
+    lines, the text of an element, or literals in brackets. A condition and a default give several values. A bare word
+    is a literal only if it can't be a name: names with dots, calls and subscripts never are. A name stands for its value at that place, or else for the first one that it gets
     later on (constants propagate, also into ``$name`` and ``${name}``); what is assigned within a function isn't known
     outside of it, and a parameter hides what its name stands for outside. The source leads to all literals that a
     value came from. Values and sources are referred to, not copied, so self-references as ``a = a + a`` in a long text
     don't grow, and nothing is cut.
     """
-    if "=" not in text and ":" not in text and "</" not in text and "(" not in text:
+    if "=" not in text and ":" not in text and "</" not in text and "(" not in text and "ENV " not in text:
         return
     scopes = _scopes(text)
     ends = [len(text) + 1, *(x[1] for x in scopes)]
@@ -211,77 +262,154 @@ def pairs(text: str) -> Iterator[tuple[str, str | Long, Source]]:
     firsts: dict[tuple[int, str], _Pair] = {}
     found: list[_Pair] = []
     chain, n_scopes, at, named = [0], 0, 0, None
+    holders, held, n_held = _holders(text), [], 0
+
+    def named_or(pair: _Pair, word: str, raw: str, span: tuple[int, int] | None) -> bool:
+        """Add what a word stands for, or the word as it is; whether it is known."""
+        for scope in reversed(pair.scopes):
+            if (scope, word) in known:
+                pair.parts.append(known[scope, word][0])
+                pair.source.names.append(known[scope, word][1])
+                return True
+            if word in hidden[scope]:
+                break
+        else:
+            if _WORD.fullmatch(word):
+                pair.waiting.append((len(pair.parts), word, span))
+        pair.parts.append(raw)
+        return False
+
+    def literal(pair: _Pair, at: int) -> int:
+        """Add a string literal that begins at ``at``, if there is one; the end of it."""
+        prefix = _PREFIX.match(text, at)
+        quoted = _STRING.match(text, prefix.end() if prefix else at)
+        if not quoted:
+            return at
+        group = quoted.lastindex or 1
+        raw, (start, end) = quoted[group] or "", quoted.span(group)
+        if scheme := _SCHEME.match(raw):
+            raw, start = raw[scheme.end() :], start + scheme.end()
+        inserted = _INSERT_F if prefix and "f" in prefix[0].lower() else _INSERT if "$" in raw and group not in _PLAIN else None
+        done = 0
+        for x in inserted.finditer(raw) if inserted else ():
+            pair.parts.append(raw[done : x.start()])
+            named_or(pair, next(filter(None, x.groups())), x[0], None)
+            done = x.end()
+        pair.parts.append(raw[done:])
+        pair.source.places.append((start, end))
+        at = quoted.end()
+        if (percent := _PERCENT.match(text, at)) and "%" in raw:
+            for word in re.findall(r"\w+", percent[1]):
+                named_or(pair, word, "", None)
+            at = percent.end() + (text[percent.end() : percent.end() + 1] == ")")
+        elif join := _JOIN.match(text, at):
+            at = listed_items(pair, join.end())[1]
+        return at
+
+    def listed_items(pair: _Pair, at: int, apart: bool = False) -> tuple[list[_Pair], int]:
+        """Literals within brackets that are open: those beside each other are one value; with ``apart``, a comma ends it."""
+        out = [pair]
+        blank = re.compile(r"\s*").match(text, at)
+        at = blank.end()
+        while (end := literal(out[-1], at)) > at:
+            at = end
+            between = _NEXT.match(text, at)
+            if not between:
+                break
+            at = between.end()
+            if apart and "," in between[0]:
+                out.append(_Pair(pair.name, [], Source([], []), [], pair.scopes))
+        closing = _CLOSE.match(text, at)
+        return out, closing.end() if closing else at
+
+    def value_of(pair: _Pair, at: int, config: bool) -> tuple[list[_Pair], int]:
+        """Parse what is given to a name: a pair for each value that it may get, and where they end."""
+        opened = _OPEN.match(text, at) if text[at : at + 1] in ("[", "(") else None
+        if opened:
+            return listed_items(pair, opened.end(), apart=True)
+        called = _CALLED.match(text, at)
+        if called:
+            at = called.end()
+        if scheme := _SCHEME.match(text, at):
+            at, config = scheme.end(), True
+        while True:
+            end = literal(pair, at)
+            if end > at:
+                at = end
+            elif bare := _BARE.match(text, at):
+                word, at = bare[0], bare.end()
+                if not named_or(pair, word.strip("${}"), word, bare.span()):
+                    jwt = word.startswith("eyJ")
+                    if text[at : at + 1] in ("(", "[") or not jwt and (_DOTTED.fullmatch(word) or not config and _NAME.fullmatch(word)):
+                        pair.parts[-1] = ""  # a name, a call or a part of something: no literal
+                    else:
+                        pair.source.places.append(bare.span())
+            else:
+                break
+            plus = _PLUS.match(text, at)
+            if not plus or not (_STRING.match(text, plus.end()) or _PREFIX.match(text, plus.end()) or _WORD.match(text, plus.end())):
+                break
+            at = plus.end()
+        out = [pair]
+        while pair.source.places and (other := _ELSE.match(text, at)) and (":" not in other[0] or called and "?" in called[0]):
+            out.append(_Pair(pair.name, [], Source([], []), [], pair.scopes))
+            at = literal(out[-1], other.end())
+        return out, at
+
     while m := _START.search(text, at):
         while n_scopes < len(scopes) and scopes[n_scopes][0] <= m.start():
             n_scopes += 1
             chain = [x for x in chain if ends[x] > scopes[n_scopes - 1][0]]
             chain.append(n_scopes)
         chain = [x for x in chain if ends[x] > m.start()]
+        while n_held < len(holders) and holders[n_held][0] <= m.start():
+            held = [x for x in held if x[1] > holders[n_held][0]] + [holders[n_held]]
+            n_held += 1
+        held = [x for x in held if x[1] > m.start()]
         inside = tuple(chain)
-        name, at = m["name"] or m["argument"] or m["element"], m.end()
-        pair = _Pair(name, [], Source([], []), [], inside)
-        parts, source = pair.parts, pair.source
-
-        def name_or(word: str, raw: str, span: tuple[int, int] | None) -> bool:
-            """Add what a word stands for, or the word as it is; whether it is known."""
-            for scope in reversed(inside):
-                if (scope, word) in known:
-                    parts.append(known[scope, word][0])
-                    source.names.append(known[scope, word][1])
-                    return True
-                if word in hidden[scope]:
-                    break
-            else:
-                if _WORD.fullmatch(word):
-                    pair.waiting.append((len(parts), word, span))
-            parts.append(raw)
-            return False
-
+        names = re.findall(r"\w+", m["many"]) if m["many"] else [m["name"] or m["typed"] or m["index"] or m["env"] or m["argument"] or m["element"]]
+        if names[0] in _PLAIN_KEYS and held:
+            names = [held[-1][2]]
+        name, at = names[-1], m.end()
+        given: list[_Pair] = []
+        first = _Pair(names[0], [], Source([], []), [], inside)
         if m["element"]:
             body = m["body"]
             begin = m.start("body") + len(body) - len(body.lstrip())
-            parts.append(body.strip())
-            source.places.append((begin, begin + len(body.strip())))
+            first.parts.append(body.strip())
+            first.source.places.append((begin, begin + len(body.strip())))
             at = m.end("element")  # its attributes may be pairs as well
+            given = [first]
         elif m["name"] and (block := _BLOCK.match(text, at)):
             spans, at = _block(text, block.end(), text.rfind("\n", 0, m.start()) + 1)
-            source.places.extend(spans)
-            parts.append("\n".join(text[x:y] for x, y in spans))
-        else:
-            while True:
-                quoted = _STRING.match(text, at)
-                if quoted:
-                    group = quoted.lastindex or 1
-                    raw, span, at = quoted[group] or "", quoted.span(group), quoted.end()
-                    done = 0
-                    if "$" in raw and group not in _PLAIN:
-                        for x in _INSERT.finditer(raw):
-                            parts.append(raw[done : x.start()])
-                            name_or(x[1] or x[2], x[0], None)
-                            done = x.end()
-                    parts.append(raw[done:])
-                    source.places.append(span)
-                elif bare := _BARE.match(text, at):
-                    word, at = bare[0], bare.end()
-                    if not name_or(word.strip("${}"), word, bare.span()):
-                        source.places.append(bare.span())
-                else:
+            first.source.places.extend(spans)
+            first.parts.append("\n".join(text[x:y] for x, y in spans))
+            given = [first]
+        elif m["many"]:
+            for k, own in enumerate(names):
+                one, at = value_of(_Pair(own, [], Source([], []), [], inside), at, False)
+                given += one
+                comma = re.compile(r"[ \t]*,[ \t]*").match(text, at)
+                if not comma or k + 1 == len(names):
                     break
-                plus = _PLUS.match(text, at)
-                if not plus or not (_STRING.match(text, plus.end()) or _WORD.match(text, plus.end())):
-                    break
-                at = plus.end()
-        value = _value(parts) if any(parts) else ""
-        if not value:
-            named = None
-            continue
-        if not m["element"]:
-            known[inside[-1], name] = (value, source)
-            firsts.setdefault((inside[-1], name), pair)
-        found.append(pair)
-        if named and name in _VALUE:
-            found.append(pair._replace(name=named, waiting=[]))
-        named = value if name in _NAMING and isinstance(value, str) and _WORD.fullmatch(value.replace("-", "_")) else None
+                at = comma.end()
+            if len(given) == 1:  # one value for all of them, or an argument after others
+                given = [given[0]._replace(name=name)]
+        else:
+            given, at = value_of(first, at, bool(m["env"]) or text[m.end() - 1 : m.end()] == "=" and _CONFIG.match(text, text.rfind("\n", 0, m.start()) + 1, m.end()) is not None)
+        for k, pair in enumerate(given):
+            value = _value(pair.parts) if any(pair.parts) else ""
+            if not value and not pair.waiting:
+                continue
+            if not m["element"] and (k == 0 or m["many"]):
+                if value:
+                    known[inside[-1], pair.name] = (value, pair.source)
+                firsts.setdefault((inside[-1], pair.name), pair)
+            found.append(pair)
+            if named and pair.name in _VALUE:
+                found.append(pair._replace(name=named, waiting=[]))
+        told = _TOLD.match(text, m.end()) if name in _NAMING else None
+        named = told[1] if told else None
     # from below: what a name stands for there may wait for something further down itself
     place = {id(x.source): i for i, x in enumerate(found)}
     for i in range(len(found) - 1, -1, -1):
@@ -306,7 +434,7 @@ def scan(text: str | None, least: float = 0.4) -> list[Span]:
     seen: dict[int, Source] = {}
     for name, value, source in pairs(text):
         s = name_score(name)
-        if s and (s := s * literal_score(value)) >= least:
+        if s and (s := s * literal_score(value, _PHRASE.search(name) is not None)) >= least:
             open_ = [source]
             while open_:
                 x = open_.pop()
@@ -317,6 +445,10 @@ def scan(text: str | None, least: float = 0.4) -> list[Span]:
                 for start, end in x.places:
                     if end > start and (start, end) not in best:
                         best[start, end] = Span("pair", start, end, name, round(s, 6))
+    if "://" in text and "@" in text:
+        for m in _URL.finditer(text):
+            if (s := round(0.9 * literal_score(m[1]), 6)) >= least and m.span(1) not in best:
+                best[m.span(1)] = Span("pair", *m.span(1), "url password", s)
     return sorted([*found, *best.values()], key=lambda x: (x.start, KINDS.index(x.kind), x.end))
 
 

@@ -10,8 +10,8 @@ from quillspark import functions
 from quillspark.functions import python, stats, text
 from quillspark.operators import aggregates, codec, dedupe, joins, ordering
 from quillspark.plans import experiment, regrade
-from quillspark.plans.queries import _COMPACT, _COMPACT_SPARK, _REPLY, BOOK, LABELLED, RULES, _coded_sql, _contain, _cost, _jaccard, _lex, _mcnemar, _norm, _set, _wilson, query, read, turns
-from quillspark.sources import scans, schemas, sinks
+from quillspark.plans.queries import _COMPACT, _COMPACT_SPARK, _REPLY, BOOK, LABELLED, ORACLES, RULES, _coded_sql, _contain, _cost, _jaccard, _lex, _mcnemar, _norm, _set, _wilson, query, read, turns, verdicts
+from quillspark.sources import runs, scans, schemas, sinks
 from quillspark.sources.scratch import folder, text_files
 from quillspark.streaming import ledger as stream
 
@@ -427,15 +427,15 @@ def billing_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with f as (select l_orderkey as task_id, case when l_orderkey % 3 = 0 then 'short' when l_orderkey % 3 = 1 then 'long' else 'rare' end as len_class, l_tax >= 0 as ok, l_discount < 0.06 as v from lineitem where l_orderkey % 3 < 2 or l_orderkey < 30),
+with f as (select l_orderkey as task_id, case when l_orderkey < 30 then 'rare' when l_orderkey % 3 = 0 then 'short' else 'long' end as len_class, l_tax >= 0 as ok, l_discount < 0.06 as v from lineitem),
 t as (select task_id, len_class, avg(v::int) as rate from f group by 1, 2 having bool_and(ok) and avg(v::int) >= 0.6), e as (select len_class from t group by 1 having count(*) >= 20)
 select len_class, count(*) as n from t where len_class in (select len_class from e) group by 1
 """)
 def generation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated tasks that verify enough facts, of classes that have enough of them."""
     key = F.col("l_orderkey")
-    kind = F.when(key % 3 == 0, "short").when(key % 3 == 1, "long").otherwise("rare")
-    facts = read(spark, sf_dir, "lineitem").where("l_orderkey % 3 < 2 or l_orderkey < 30").select(key.alias("task_id"), kind.alias("len_class"), (F.col("l_tax") >= 0).alias("parse_ok"), (F.col("l_discount") < 0.06).alias("verified"))
+    kind = F.when(key < 30, "rare").when(key % 3 == 0, "short").otherwise("long")
+    facts = read(spark, sf_dir, "lineitem").select(key.alias("task_id"), kind.alias("len_class"), (F.col("l_tax") >= 0).alias("parse_ok"), (F.col("l_discount") < 0.06).alias("verified"))
     return experiment.accepted_tasks(facts, 0.6, 20).groupBy("len_class").agg(F.count("*").alias("n"))
 
 
@@ -548,13 +548,43 @@ def streamed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schemas.LEDGER).parquet(path).groupBy("condition").agg(*stats.accuracy_block(F.col("correct")))
 
 
-@query("select user_id, strftime(ts, '%Y-%m-%d %H') as start, count(*) as n, sum(event_id)::bigint as total from events where user_id < 20 group by 1, 2")
+@query("select user_id, strftime(ts, '%Y-%m-%d %H') as start, count(*) as n, sum(event_id)::bigint as total from events group by 1, 2")
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by hour of events that arrive as files, each event once."""
-    source, name = folder(spark, "arriving"), f"quill_{folder(spark, 'windows').rsplit('-', 1)[1]}"
-    rows = read(spark, sf_dir, "events").where("user_id < 20").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    rows.coalesce(1).write.parquet(source)
-    arriving = spark.readStream.schema(rows.schema).parquet(source)
+    """Counts by hour of events that arrive in several files, a batch each, each event once. Each batch adds what it has
+    changed to a stored table, and the last of each window counts."""
+    source, out = folder(spark, "arriving"), folder(spark, "windows")
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows.repartition(4, "event_id").write.parquet(source)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
     counted = stream.windowed(stream.distinct(arriving, ["event_id"], "ts", "100000 days"), "ts", "1 hour", ["user_id"], "event_id", "100000 days")
-    counted.writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("user_id", F.date_format("window.start", "yyyy-MM-dd HH").alias("start"), "n", F.col("total").cast("bigint").alias("total"))
+
+    def put(changed: DataFrame, batch: int) -> None:
+        changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    counted.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    latest = ordering.last_attempt(spark.read.parquet(out), ["user_id", "window"], ["batch"])
+    return latest.select("user_id", F.date_format("window.start", "yyyy-MM-dd HH").alias("start"), "n", F.col("total").cast("bigint").alias("total"))
+
+
+_GRAINS = f"select case when grouping(lang) = 0 then 'lang' when grouping(source) = 0 then 'source' else 'overall' end as grain, coalesce(lang, source) as key, count(*) as n, count(*) filter (where quality = 1) as correct from {LABELLED} group by grouping sets ((), (lang), (source))"
+
+
+@query(_GRAINS)
+def sliced_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary from sums by slice, after one slice ran with half of its answers and then again with all."""
+    path = folder(spark, "slices")
+    rows = verdicts(spark, sf_dir).withColumn("slice", F.col("doc_id") % 7)
+    runs.put_slices(rows.where("slice <> 3 or doc_id % 2 = 0"), path, "slice", ["lang", "source"], "x")
+    runs.put_slices(rows.where("slice = 3"), path, "slice", ["lang", "source"], "x")
+    return runs.slice_summary(spark, path, ["lang", "source"]).select("grain", "key", "n", "correct")
+
+
+@query(ORACLES["last_attempt_wins"])
+def bucketed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``last_attempt_wins`` after three appends, one of them twice, and a compaction."""
+    store = runs.RunStore(spark, folder(spark, "runs"), ["user_id", "event_type"], ["ts", "event_id"])
+    events = read(spark, sf_dir, "events")
+    for run in (0, 1, 2, 2):
+        store.append(events.where(F.col("event_id") % 3 == run), run)
+    store.compact()
+    return store.read().select("user_id", "event_type", "event_id", "value")

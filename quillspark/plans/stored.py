@@ -617,3 +617,40 @@ def streamed_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, out = units.decided(_arriving(checks.withColumn("place", -F.col("round")), "checks"), ["l_orderkey"], "round", ["parse_ok", "matched", "total"], "ts", units.repairs(2), units.REPAIRS), folder(spark, "repaired")
     units.put_updates(found, out, f"{out}-state").awaitTermination()
     return units.latest(spark.read.parquet(out), ["l_orderkey"]).drop("final")
+
+
+_LABEL_LINE = """'{"type":"quiz_item","task_id":"d' || doc_id || '","q_index":' || quality || ',"condition":"' || case toxic when 1 then 'T' else 'C' end || '"}'"""
+
+
+@query(f"select doc_id % 7 <> 0 as readable, md5(case when doc_id % 7 <> 0 then 'd' || doc_id || ':' || quality else left(l, length(l) - 5) end) as digest, count(*) as n from (select *, {_LABEL_LINE} as l from labels) group by 1, 2")
+def stored_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as lines of a ledger, every seventh broken off: what can be read and what can't is all of them."""
+    condition = F.when(F.col("toxic") == 1, "T").otherwise("C")
+    line = F.to_json(F.struct(F.lit("quiz_item").alias("type"), F.concat(F.lit("d"), "doc_id").alias("task_id"), F.col("quality").alias("q_index"), condition.alias("condition")))
+    cut = F.when(F.col("doc_id") % 7 == 0, F.expr("left(line, length(line) - 5)")).otherwise(F.col("line"))
+    lines = read(spark, sf_dir, "labels").withColumn("line", line).select((F.col("doc_id") % 3).cast("int").alias("file"), cut.alias("value"))
+    found = scans.quarantined(spark, text_files(lines, folder(spark, "tolerant"), ["a.jsonl", "b.jsonl", "c.jsonl"]))
+    good = scans.readable(found, "quiz_item", ["T", "C"]).select(F.lit(True).alias("readable"), F.md5(F.concat("task_id", F.lit(":"), "q_index")).alias("digest"))
+    bad = scans.rejected(found).select(F.lit(False).alias("readable"), F.md5(scans.BROKEN).alias("digest"))
+    return good.unionByName(bad).groupBy("readable", "digest").agg(F.count("*").alias("n"))
+
+
+@query(f"select 't' || item_id as task_id, md5(left(text, length(text) // 2)) as digest, {_cost('text')} as plain_tokens from benchmark")
+def stored_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one condition, used again beside the costs of their tasks' texts."""
+    rows = read(spark, sf_dir, "benchmark")
+    half = F.expr("left(text, length(text) div 2)")
+    record = lambda c, t: F.struct(F.lit("record").alias("type"), F.concat(F.lit("t"), "item_id").alias("task_id"), F.lit(c).alias("condition"), t.alias("text"), text.approx_count("text").alias("approx_tokens"))
+    lines = rows.select((F.col("item_id") % 2).cast("int").alias("file"), F.explode(F.array(record("R-PLAIN", F.col("text")), record("R-CABLESE-LOWERCASE", half))).alias("r")).select("file", F.to_json("r").alias("value"))
+    found = scans.ledger(spark, text_files(lines, folder(spark, "reused"), ["a.jsonl", "b.jsonl"]))
+    used = scans.reused_records(found).select("task_id", F.md5("text").alias("digest"))
+    return used.join(found.where("condition = 'R-PLAIN'").select("task_id", F.col("approx_tokens").alias("plain_tokens")), "task_id")
+
+
+@query(f"select condition, n, correct from {_BLOCKS} where n > 0")
+def stored_regraded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regraded rows, written and read back as verdicts."""
+    path = folder(spark, "regraded")
+    sinks.regraded_rows(regraded(spark, sf_dir).rows, path)
+    rows = spark.read.schema(schemas.LEDGER).json(path)
+    return rows.groupBy("condition").agg(*stats.accuracy_block(F.col("correct")))

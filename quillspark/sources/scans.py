@@ -56,6 +56,34 @@ def ledger(spark: SparkSession, *paths: str, tolerant: bool = False) -> DataFram
     return parsed.select("r.*")
 
 
+#: Column of a line that can't be read, as it stands.
+BROKEN = "broken_line"
+
+
+def quarantined(spark: SparkSession, *paths: str) -> DataFrame:
+    """Records of a ledger, every line of every file: one that can't be read is a row with nothing but ``broken_line`` and its
+    ``file``. Files are split where they are large; filters on types and conditions go down to the scan, where lines
+    that fail them aren't parsed any further. ``readable`` and ``rejected`` take either kind."""
+    if not paths:
+        raise ScanError("no ledger files")
+    found = spark.read.schema(f"{schemas.LEDGER}, {BROKEN} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(list(paths))
+    # Spark looks at no more fields than a query asks for, and a line is broken by what is looked at: all are asked for
+    fields = [F.map_entries(f.name) if f.dataType.typeName() == "map" else F.col(f.name) for f in found.schema.fields]
+    return found.where(F.xxhash64(*fields) >= F.lit(-(2**63))).withColumn("file", F.col("_metadata.file_name"))
+
+
+def readable(found: DataFrame, kind: str | None = None, conditions: list[str] | None = None) -> DataFrame:
+    """Those records of a quarantined scan that can be read, of a type and of some conditions."""
+    rows = found if kind is None else found.where(F.col("type") == kind)
+    rows = rows if conditions is None else rows.where(F.col("condition").isin(conditions))
+    return rows.where(F.col(BROKEN).isNull()).drop(BROKEN)
+
+
+def rejected(found: DataFrame) -> DataFrame:
+    """``file, broken_line`` of lines that can't be read."""
+    return found.where(F.col(BROKEN).isNotNull()).select("file", BROKEN)
+
+
 def slices(spark: SparkSession, folder: str) -> DataFrame:
     """Records of slice_*.jsonl, none of partial or stub files; a broken line is an error."""
     return spark.read.schema(schemas.LEDGER).option("mode", "FAILFAST").option("pathGlobFilter", "slice_?*.jsonl").json(folder)

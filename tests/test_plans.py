@@ -262,3 +262,15 @@ def test_entry_without_what_training_data_needs(module):
     code = f"import sys; sys.path.insert(0, {root!r}); sys.modules[{module!r}] = None; import __spark_entry__ as e; print(len(e.queries()), sum(n.startswith('op') for n in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) > 100 and out[1] == "0"
+
+
+def test_quarantine(spark, tmp_path):
+    lines = ['{"type":"quiz_item","task_id":"a","condition":"C"}', '{"type":"quiz_item","task_id":"b"', "", "words", '{"type":"record","task_id":"c","condition":"P"}', '{"type":"quiz_item","q_index":"no number"}']
+    (tmp_path / "x.jsonl").write_text("\n".join(lines))
+    found = scans.quarantined(spark, str(tmp_path))
+    assert sorted(r.broken_line for r in scans.rejected(found).collect()) == sorted([lines[1], lines[3], lines[5]])
+    assert {r.file for r in scans.rejected(found).collect()} == {"x.jsonl"}
+    assert [r.task_id for r in scans.readable(found, "quiz_item").collect()] == ["a"] and scans.readable(found).count() == 2
+    assert [r.task_id for r in scans.readable(found, conditions=["P"]).collect()] == ["c"]
+    plan = scans.readable(found, "quiz_item", ["C"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(type,quiz_item)" in plan.split("PushedFilters")[1]

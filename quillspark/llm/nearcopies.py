@@ -56,7 +56,7 @@ def ruled_out(p: float) -> float:
 
 def plan(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
     """``bits`` of a short fingerprint, and ``tables``: never meeting and being ruled out make up ``miss`` at most."""
-    bits = min(38, max(12, math.ceil(math.log2(max(n, 1))) + 3))
+    bits = min(38, max(12, math.ceil(math.log2(max(n, 1))) + 1))
     p = flip(similarity)
     meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
     left = max(miss - ruled_out(p), miss / 10)

@@ -7,8 +7,6 @@ of occurrences sorted by candidate.
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -84,22 +82,6 @@ def scan(texts: DataFrame, id_col: str, text_col: str, patterns: list[str]) -> D
     return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, pattern int, start int")
 
 
-class Occupied:
-    """Disjoint spans in one text."""
-
-    def __init__(self) -> None:
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-
-    def free(self, start: int, end: int) -> bool:
-        i = bisect_right(self.starts, start)
-        return (i == 0 or self.ends[i - 1] <= start) and (i == len(self.starts) or self.starts[i] >= end)
-
-    def take(self, start: int, end: int) -> None:
-        insort(self.starts, start)
-        insort(self.ends, end)
-
-
 def segment_code(i: int) -> str | None:
     """The i-th code, from 1: two digits, then three; null beyond the code space."""
     if i <= SHORT_CODES:
@@ -107,41 +89,42 @@ def segment_code(i: int) -> str | None:
     return f"zd{i - SHORT_CODES:03d}" if i <= SHORT_CODES + LONG_CODES else None
 
 
+def laid(held: int, starts: Iterable[int], n: int) -> int:
+    """Characters, as bits, of those spans of length n, from the left, that touch neither each other nor what is held."""
+    span, new = (1 << n) - 1, 0
+    for start in starts:
+        if not (held | new) >> start & span:
+            new |= span << start
+    return new
+
+
+def offer(segment: str, code: str, freq: int, share: float) -> dict | None:
+    """What a code is worth for a segment that ``freq`` texts hold, of which a ``share`` comes again: null unless it saves
+    more than its line in the legend costs."""
+    saving, line = token_cost(segment) - token_cost(code), token_cost(f"{code}\t{segment}\n")
+    priced = {"code": code, "segment": segment, "freq": freq, "saving": saving, "legend": line, "projected": round(freq * share, 4)}
+    return priced if freq * share * saving > line else None
+
+
 def select(patterns: list[str], occurrences: Iterable[tuple[int, Iterable[tuple[int, int, list[int]]]]], train: int, test: int, min_freq: int = MIN_FREQ) -> list[dict]:
-    """Longest first, take every occurrence that is still free, if enough are and the code pays for its legend line.
+    """Segments that get a code, of ``patterns`` in order, longest first, each by what the earlier ones left of the texts.
 
-    ``patterns`` are in order; ``occurrences`` come in the same order, for each pattern by number: (text, weight, starts
-    in order). They are read once, so they may be a stream. The first code issued is the first of the code space, and
-    the code that is priced is the one that is issued.
+    ``occurrences`` come in the same order, for each pattern by number: (text, weight, starts in order). They are read
+    once, so they may be a stream. Of each text one number says which characters are held. The first code issued is the
+    first of the code space, and the code that is priced is the one that is issued.
     """
-    occupied: dict[int, Occupied] = defaultdict(Occupied)
-    nothing = Occupied()
+    held: dict[int, int] = {}
     chosen: list[dict] = []
+    share = test / train if train else 0.0
     for k, texts in occurrences:
-        segment, n = patterns[k], len(patterns[k])
-        spans: list[tuple[int, int]] = []
-        freq = 0
-        for text, weight, starts in texts:
-            taken, reach = occupied.get(text, nothing), 0
-            free = []
-            for start in starts:
-                if start >= reach and taken.free(start, start + n):
-                    free.append((text, start))
-                    reach = start + n
-            spans += free
-            freq += weight if free else 0
-        code = segment_code(len(chosen) + 1)
-        if code is None:
+        if (code := segment_code(len(chosen) + 1)) is None:
             break
-        if not spans or freq < min_freq:
-            continue
-        saving, share = token_cost(segment) - token_cost(code), token_cost(f"{code}\t{segment}\n")
-        projected = freq * test / train if train else 0.0
-        if projected * saving <= share:
-            continue
-        for text, start in spans:
-            occupied[text].take(start, start + n)
-        chosen.append({"code": code, "segment": segment, "freq": freq, "saving": saving, "legend": share, "projected": round(projected, 4)})
+        new = [(text, weight, bits) for text, weight, starts in texts if (bits := laid(held.get(text, 0), starts, len(patterns[k])))]
+        freq = sum(weight for _, weight, _ in new)
+        priced = offer(patterns[k], code, freq, share) if freq >= max(1, min_freq) else None
+        if priced:
+            chosen.append(priced)
+            held |= {text: held.get(text, 0) | bits for text, _, bits in new}
     return chosen
 
 

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, imatch, lines, lm, mixing, nearcopies, quality, secrets, simhash, toxicity
+from quillspark.llm import bpe, fim, imatch, lines, lm, mixing, nearcopies, quality, resample, rules, secrets, simhash, toxicity
 
 NAMES = ("a.b", "id", "fp", "rep", "key", "h", "h1", "size", "sig", "y", "x", "node", "_q_gone", "log_odds", "host", "pid", "taken", "n_tokens", "source_size", "back`tick", "word", "target")
 
@@ -37,5 +37,6 @@ def test_left_alone(docs, labels):
     results = [
         bpe.encode(docs, vocabulary, public_tokenizers.PATTERN), simhash.clusters(docs), mixing.mix(docs), imatch.edited_pairs(docs), secrets.find(docs),
         lm.scores(docs, labels.where("quality = 1")), quality.scores(docs, labels), toxicity.scores(docs, labels),
+        resample.resample(docs, docs), fim.transform(docs), rules.judged(docs),
     ]
     assert all(r.count() == 40 for r in results)

@@ -774,12 +774,14 @@ with recursive w as (select string_split(concat_ws(' ', a.text, b.text), ' ') as
 f as (select distinct array_to_string(w[i:i + n - 1], ' ') as expansion from w, range({PHRASES[0]}, {PHRASES[1] + 1}) q(n), lateral (select unnest(range(1, len(w) - n + 2)) as i) where len(w) >= n),
 c as (select expansion, 'K' || upper(left(md5(expansion), 7)) as code, lower(expansion) as low from f where expansion <> ''),
 e as materialized (select low, arg_max(expansion, [lower(code), code]) as expansion, max([lower(code), code])[2] as code from c group by low),
-b as materialized (select *, {_COST("code")} < {_COST("expansion")} as pays, lower(array_to_string(u[1:3], '')) as start, len(u) as k from (select *, regexp_extract_all(expansion, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]') as u from e)),
+b as materialized (select *, {_COST("code")} < {_COST("expansion")} as pays, lower(array_to_string(u[1:3], '')) as start, lower(array_to_string(u[1:9], '')) as start9, len(u) as k from (select *, regexp_extract_all(expansion, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]') as u from e)),
 t as materialized (select doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]') as t from documents),
-s as (select distinct start, k from b),
+s as (select distinct case when k < 9 then start else start9 end as start, k from b),
 x as (select doc_id, unnest(t) as x, generate_subscripts(t, 1) as i from t),
-h as (select doc_id, i, lower(x || lead(x) over v || lead(x, 2) over v) as start from x window v as (partition by doc_id order by i)),
-g as materialized (select doc_id, i, k, lower(array_to_string(t[i:i + k - 1], '')) as low, array_to_string(t[i:i + k - 1], '') as gram, coalesce(regexp_matches(t[i - 1], '^[\p{{L}}\p{{N}}_]'), false) and i > 1 as l, coalesce(regexp_matches(t[i + k], '^[\p{{L}}\p{{N}}_]'), false) as r from h join s using (start) join t using (doc_id) where i + k - 1 <= len(t)),
+h3 as materialized (select doc_id, i, lower(x || lead(x) over v || lead(x, 2) over v) as start from x window v as (partition by doc_id order by i)),
+h9 as (select doc_id, i, start || lead(start, 3) over v || lead(start, 6) over v as start from h3 window v as (partition by doc_id order by i)),
+h as (select doc_id, i, k from h3 join s using (start) where k < 9 union all select doc_id, i, k from h9 join s using (start) where k >= 9),
+g as materialized (select doc_id, i, k, lower(array_to_string(t[i:i + k - 1], '')) as low, array_to_string(t[i:i + k - 1], '') as gram, coalesce(regexp_matches(t[i - 1], '^[\p{{L}}\p{{N}}_]'), false) and i > 1 as l, coalesce(regexp_matches(t[i + k], '^[\p{{L}}\p{{N}}_]'), false) as r from h join t using (doc_id) where i + k - 1 <= len(t)),
 m as (select doc_id, i, max(k) as k from g join b using (low, k) where not l and not r group by doc_id, i),
 n as materialized (select doc_id, i, m.k, gram, code, gram = expansion as same, pays from m join g using (doc_id, i, k) join b using (low)),
 chain(doc_id, i, e) as (

@@ -33,7 +33,7 @@ def test_run_decodes_to_the_mix(spark, sf_dir):
 
 def test_all_queries_are_there():
     names = {n.split("_")[0] for n in queries.QUERIES if n not in queries.AUDITS}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
 
 
 def test_odd_documents(spark, tmp_path):

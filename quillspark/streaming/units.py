@@ -1,4 +1,4 @@
-"""Control loops over units whose rounds arrive in any order: the state of a unit is its rounds so far.
+"""Control loops over units whose rounds arrive in any order: the state of a unit is its rounds so far, kept in a bucket of units.
 
 Each batch gives the units that it touched their result anew; a timer of event time ends a unit that is no longer heard
 of, gives its last result as final, and frees its state.
@@ -6,7 +6,8 @@ of, gives its last result as final, and frees its state.
 
 from __future__ import annotations
 
-import json
+import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Groups of units that share a state and a timer: a call of Python handles one with all that a batch has for its units.
+BUCKETS = 4_096
+
 #: A round as it is kept: its number, then the fields that decide.
 Round = list
 
@@ -63,23 +67,34 @@ def decided(stream: DataFrame, keys: list[str], number: str, fields: list[str],
     """
     named = [x.split()[0] for x in result.split(", ")]
     columns = [*keys, *named, "final"]
+    plain = lambda c: c.astype(object).where(c.notna(), None).tolist()
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rounds, latest = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        final = state.hasTimedOut
-        if final:
-            state.remove()
-        else:
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        units, touched = pickle.loads(zlib.decompress(state.get[0])) if state.exists else {}, {}  # of each: when it is due, its rounds
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
             for part in parts:
-                rounds += [[None if pd.isna(v) else v for v in row] for row in part[[number, *fields]].astype(object).to_numpy().tolist()]
-                latest = max(latest, int(part[time].max().timestamp() * 1000))
-            state.update((json.dumps(rounds), latest))
-            state.setTimeoutTimestamp(max(latest + hold_ms, state.getCurrentWatermarkMs() + 1, 1))
-        yield pd.DataFrame([[*key, *decide(rounds), final]], columns=columns)
+                times = part[time].to_numpy("datetime64[ms]").astype("int64").tolist()
+                for unit, at, row in zip(zip(*map(plain, map(part.get, keys)), strict=True), times, zip(*map(plain, map(part.get, [number, *fields])), strict=True), strict=True):
+                    due, rounds = units.get(unit, (0, []))
+                    rounds.append(list(row))
+                    touched[unit] = units[unit] = (max(due, at + hold_ms, mark + 1, 1), rounds)
+        over = [unit for unit, (due, _) in units.items() if due <= mark and unit not in touched]
+        out = [(*unit, *decide(rounds), False) for unit, (_, rounds) in touched.items()] + [(*unit, *decide(units.pop(unit)[1]), True) for unit in over]
+        if units:
+            state.update((zlib.compress(pickle.dumps(units), 1),))
+            state.setTimeoutTimestamp(max(mark + 1, min(due for due, _ in units.values())))
+        else:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
-    kinds = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = {k: stream.schema[k].dataType.simpleString() for k in keys}
     rows = stream.select(*keys, number, *fields, time).withWatermark(time, delay)
-    return rows.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, {result}, final boolean", "rounds string, latest long", "update", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).withColumns({k: F.col(k).cast("string") for k in keys})  # as text, keys stay what they are, null or not
+    given = ", ".join(f"`{k}` string" for k in keys)
+    decided = rows.groupBy("_bucket").applyInPandasWithState(step, f"{given}, {result}, final boolean", "units binary", "update", GroupStateTimeout.EventTimeTimeout)
+    return decided.withColumns({k: F.col(k).cast(kind) for k, kind in kinds.items()})
 
 
 def put_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -32,3 +32,18 @@ def test_a_unit_expires(spark, tmp_path):
     rows = {r.k: r for r in units.latest(spark.read.parquet(out), ["k"]).collect()}
     assert (rows["a"].chosen, rows["a"].stopped_at, rows["a"].accepted, rows["a"].final) == (1, 2, 1, True)
     assert rows["b"].final and not rows["c"].final and (rows["c"].chosen, rows["c"].accepted) == (2, 2)
+
+
+def test_a_call_handles_many_units(spark, tmp_path, monkeypatch):
+    """Units share the calls of their bucket, and keys come back as they were, null or beyond 2 ** 53."""
+    monkeypatch.setattr(units, "BUCKETS", 2)
+    rows = [(k, n, 20.0, 11.0) for k in [None, 2**60 + 1, *range(50)] for n in (1, 2)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = spark.createDataFrame(rows, "k bigint, n int, s double, b double").withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
+    df.repartition(3, "n").write.parquet(source)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = units.put_updates(units.decided(stream, ["k"], "n", ["s", "b"], "ts", units.brake, units.BRAKE), out, str(tmp_path / "state"))
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) == 2
+    got = {r.k: (r.chosen, r.stopped_at, r.accepted) for r in units.latest(spark.read.parquet(out), ["k"]).collect()}
+    assert got == {k: (2, None, 2) for k in [None, 2**60 + 1, *range(50)]}

@@ -30,6 +30,15 @@ def test_round_trip(text):
     assert book.decode(book.encode(text)[0])[0] == text
 
 
+def test_round_trip_of_texts_that_hold_codes(spark):
+    """A code that the text had before comes back as it was."""
+    texts = ["DEL LOS", "ETA ETA estimated time of arrival, ET; estimated time OTW on the way", "😀 on the way 😀 OTW", "", None]
+    encode = codec.dictionary_encoder(BOOK)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", encode("t").alias("e")).select("t", "e.coded", codec.dictionary_restored(F.col("e")).alias("back")).collect()
+    assert [r.back for r in rows] == [r.t for r in rows] and sum(r.coded != r.t for r in rows if r.t) == 2
+    assert codec.restored_text("ET", [("ETA", "estimated time of arrival", 0)]) is None
+
+
 def test_unknown_codes_are_findings():
     text, unknown = codec.Codebook(BOOK).decode("ETA of NASA is 12.")
     assert text == "estimated time of arrival of NASA is 12." and unknown == ["NASA", "12"]

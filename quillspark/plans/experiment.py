@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import stats
@@ -27,17 +27,21 @@ def repairs(checks: DataFrame, most: int) -> DataFrame:
     """Replay of the repair loop over numbered fact checks (``arm, task_id, round`` from 0, ``parse_ok, matched, total``).
 
     The loop goes on while a check can be parsed, recall is below 1 and fewer than ``most`` repairs were made. Gives
-    ``state`` (checked, unparsed), recall before and after, and the number of repairs.
+    ``state`` (checked, unparsed), recall before and after, and the number of repairs. ``most`` is small.
     """
-    by = Window.partitionBy("arm", "task_id").orderBy("round")
     open_ = F.col("parse_ok") & (F.col("matched") < F.col("total"))
-    before = F.coalesce(F.min(open_.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1))
-    played = checks.withColumn("_on", before).where((F.col("_on") == 1) & (F.col("round") <= most))
-    recall = stats.recall(F.col("parse_ok"), F.col("matched"), F.col("total"))
-    last = F.max_by(recall, F.when(recall.isNotNull(), F.col("round")))
-    return played.groupBy("arm", "task_id").agg(
-        F.when(F.bool_or(F.col("parse_ok") & (F.col("round") == 0)), "checked").otherwise("unparsed").alias("state"),
-        F.max(F.when(F.col("round") == 0, recall)).alias("recall_pre"), last.alias("recall_post"), F.max("round").alias("repairs"),
+    recall, at = stats.recall(F.col("parse_ok"), F.col("matched"), F.col("total")), lambda r: F.col("round") == r
+    rounds = range(most + 1)  # a few columns for each round, so that a unit's rounds needn't be sorted
+    each = [x for r in rounds for x in (F.bool_or(at(r)).alias(f"there{r}"), F.min(F.when(at(r), open_)).alias(f"open{r}"), F.max(F.when(at(r), recall)).alias(f"recall{r}"))]
+    units = checks.where(F.col("round").between(0, most)).groupBy("arm", "task_id").agg(F.bool_or(F.col("parse_ok") & at(0)).alias("checked"), *each)
+    played, on = [], F.lit(True)
+    for r in rounds:
+        played.append(on & F.col(f"there{r}"))
+        on = on & F.coalesce(f"open{r}", F.lit(True))
+    last = lambda value: F.coalesce(*[F.when(played[r], value(r)) for r in reversed(rounds)])
+    return units.select(
+        "arm", "task_id", F.when(F.col("checked"), "checked").otherwise("unparsed").alias("state"),
+        F.col("recall0").alias("recall_pre"), last(lambda r: F.col(f"recall{r}")).alias("recall_post"), last(F.lit).cast(checks.schema["round"].dataType).alias("repairs"),
     )
 
 

@@ -274,3 +274,12 @@ def test_quarantine(spark, tmp_path):
     assert [r.task_id for r in scans.readable(found, conditions=["P"]).collect()] == ["c"]
     plan = scans.readable(found, "quiz_item", ["C"])._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(type,quiz_item)" in plan.split("PushedFilters")[1]
+
+
+def test_repairs_sort_no_rounds(spark):
+    """The rounds of a unit are aggregated where they lie: no window, no sort."""
+    checks = spark.createDataFrame([("a", 1, 0, True, 1, 2), ("a", 1, 2, False, 0, 2), ("a", 2, 1, True, 2, 2), ("a", 2, 2, True, 1, 2), ("a", 3, 3, True, 1, 2)], "arm string, task_id int, round int, parse_ok boolean, matched int, total int")
+    got = experiment.repairs(checks, 2)
+    assert sorted(map(tuple, got.collect())) == [("a", 1, "checked", 0.5, 0.5, 2), ("a", 2, "unparsed", None, 1.0, 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan

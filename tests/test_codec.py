@@ -61,6 +61,15 @@ def test_columns(spark):
     assert [r.status for r in got.select(check("t").alias("v")).select("v.status").collect()] == [0, 2, 1]
 
 
+def test_router_takes_one_python_worker(spark):
+    router = codec.router_encoder(BOOK, codec.Rules())
+    df = spark.createDataFrame([("the cat is on the way",), (None,)], "t string").select(router(F.col("t")).alias("e"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    some, none = df.select("e.*").collect()
+    assert (some.dictionary.coded, [a.code for a in some.dictionary.applied], some.dictionary.skipped[0].code, some.register.lossy) == ("the cat is OTW", ["OTW"], "LONGCODE", True)
+    assert some.coded == some.register.coded == codec.encode_register("the cat is OTW", codec.Rules())[0] and none.coded is None and none.dictionary.applied is None and none.register.lossy is None
+
+
 def test_cipher(spark):
     tables = codec.cipher_tables(5)
     assert all(a != b for a, b in zip(*tables, strict=True)) and sorted(tables[0]) == sorted(tables[1])

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: Groups of units that share a state and a timer: a call of Python handles one with all that a batch has for its units.
 BUCKETS = 4_096
 
-#: A round as it is kept: its number, then the fields that decide.
-Round = list
+#: A round as ``decide`` gets it: its number, then the fields that decide. A state has a list for each of these instead.
+Round = Sequence
 
 
 def brake(rounds: list[Round]) -> tuple:
@@ -66,28 +68,38 @@ def decided(stream: DataFrame, keys: list[str], number: str, fields: list[str],
     round that is sent twice counts twice: drop repeats before.
     """
     named = [x.split()[0] for x in result.split(", ")]
-    columns = [*keys, *named, "final"]
-    plain = lambda c: c.astype(object).where(c.notna(), None).tolist()
+    wide = len(keys)
+    plain = lambda c: c.astype(object).where(c.notna(), None).tolist() if c.hasnans else c.tolist()
 
     def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        units, touched = pickle.loads(zlib.decompress(state.get[0])) if state.exists else {}, {}  # of each: when it is due, its rounds
-        mark = state.getCurrentWatermarkMs()
+        columns = pickle.loads(zlib.decompress(state.get[0])) if state.exists else [[] for _ in range(wide + 2 + len(fields))]  # keys, round, when it is due
+        due, held, mark = columns[-1], len(columns[-1]), state.getCurrentWatermarkMs()
         if not state.hasTimedOut:
             for part in parts:
-                times = part[time].to_numpy("datetime64[ms]").astype("int64").tolist()
-                for unit, at, row in zip(zip(*map(plain, map(part.get, keys)), strict=True), times, zip(*map(plain, map(part.get, [number, *fields])), strict=True), strict=True):
-                    due, rounds = units.get(unit, (0, []))
-                    rounds.append(list(row))
-                    touched[unit] = units[unit] = (max(due, at + hold_ms, mark + 1, 1), rounds)
-        over = [unit for unit, (due, _) in units.items() if due <= mark and unit not in touched]
-        out = [(*unit, *decide(rounds), False) for unit, (_, rounds) in touched.items()] + [(*unit, *decide(units.pop(unit)[1]), True) for unit in over]
-        if units:
-            state.update((zlib.compress(pickle.dumps(units), 1),))
-            state.setTimeoutTimestamp(max(mark + 1, min(due for due, _ in units.values())))
-        else:
+                times = part[time].to_numpy("datetime64[ms]").astype("int64")
+                for column, new in zip(columns, [*map(plain, map(part.get, [*keys, number, *fields])), np.maximum(times + hold_ms, max(mark + 1, 1)).tolist()], strict=True):
+                    column.extend(new)
+        units, rounds = defaultdict(list), list(zip(*columns[wide:-1], strict=True))
+        for place, unit in enumerate(zip(*columns[:wide], strict=True)):
+            units[unit].append(place)
+        out, over, wake = [], set(), None
+        for unit, places in units.items():
+            ends, touched = max([due[i] for i in places]), places[-1] >= held
+            final = ends <= mark and not touched
+            if final:
+                over.update(places)
+            else:
+                wake = ends if wake is None else min(wake, ends)
+            if touched or final:
+                out.append((*unit, *decide([rounds[i] for i in places]), final))
+        if wake is None:
             state.remove()
+        else:
+            kept = [[x for i, x in enumerate(c) if i not in over] for c in columns] if over else columns
+            state.update((zlib.compress(pickle.dumps(kept), 1),))
+            state.setTimeoutTimestamp(max(mark + 1, wake))
         if out:
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(dict(zip([*keys, *named, "final"], zip(*out, strict=True), strict=True)))
 
     kinds = {k: stream.schema[k].dataType.simpleString() for k in keys}
     rows = stream.select(*keys, number, *fields, time).withWatermark(time, delay)

@@ -47,3 +47,11 @@ def test_a_call_handles_many_units(spark, tmp_path, monkeypatch):
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) == 2
     got = {r.k: (r.chosen, r.stopped_at, r.accepted) for r in units.latest(spark.read.parquet(out), ["k"]).collect()}
     assert got == {k: (2, None, 2) for k in [None, 2**60 + 1, *range(50)]}
+
+
+def test_checks_take_one_exchange(spark, sf_dir):
+    """Rounds are numbered and gathered where an order's line items have met."""
+    from quillspark.plans import stored
+
+    plan = stored._checks(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import field_count, json_tokens
 from quillspark.operators.codec import token_cost
+from quillspark.sources.scratch import written
 
 #: Bounds of candidates and of the code space.
 MIN_CHARS, MIN_FIELDS, MIN_FREQ, MAX_CANDIDATES, MAX_SPAN, MAX_EDGE, EDGE_CHARS = 12, 3, 5, 20_000, 10, 64, 4000
@@ -37,13 +38,34 @@ def span_candidates(texts: DataFrame, min_chars: int = MIN_CHARS, max_span: int
     return _frequencies(spans.where((F.length("segment") >= min_chars) | (F.col("fields") >= MIN_FIELDS)))
 
 
-def edge_candidates(texts: DataFrame, min_chars: int = MIN_CHARS, max_edge: int = MAX_EDGE) -> DataFrame:
-    """``segment`` and ``freq``: beginnings and ends, of 12 to 64 characters, of texts that JSON tokens don't tile."""
-    other = texts.where(json_tokens("text").isNull()).select("text", "weight", F.substring("text", 1, EDGE_CHARS).alias("head"))
-    longest = F.least(F.length("head"), F.lit(max_edge))
-    sized = other.where(F.length("head") >= min_chars).withColumn("n", F.explode(F.sequence(F.lit(min_chars), longest)))
-    ends = F.array(F.substring("head", F.lit(1), F.col("n")), F.substring("head", F.length("head") - F.col("n") + 1, F.col("n")))
-    return _frequencies(sized.select("text", "weight", F.explode(ends).alias("segment")))
+def edge_candidates(texts: DataFrame, min_chars: int = MIN_CHARS, max_edge: int = MAX_EDGE, min_freq: int = 1) -> DataFrame:
+    """``segment`` and ``freq``, of ``min_freq`` at least: beginnings and ends, of 12 to 64 characters, of texts that JSON tokens don't
+    tile. ``texts`` are distinct.
+
+    A frequent segment has half of its frequency as a beginning or as an end, so the first ``min_chars`` characters of those
+    beginnings, or the last of those ends, have that too. Only texts that share such an edge, and those whose other edge can
+    meet a segment of theirs, offer segments; each offers a segment once, so segments are summed without their texts.
+    """
+    head = texts.where(json_tokens("text").isNull()).select(F.substring("text", 1, EDGE_CHARS).alias("head"), "weight").where(F.length("head") >= min_chars)
+    edges = head.select(F.left("head", F.lit(max_edge)).alias("first"), F.right("head", F.lit(max_edge)).alias("last"), "weight")
+    begins, ends = F.lit(True), F.lit(True)
+    if (half := -(-min_freq // 2)) > 1:
+        edges = written(edges.withColumns({"begin": F.left("first", F.lit(min_chars)), "end": F.right("last", F.lit(min_chars))}), "edges")
+        common = {c: edges.groupBy(c).agg(F.sum("weight").alias("n")).where(F.col("n") >= half).select(c) for c in ("begin", "end")}
+        places = lambda c: F.sequence(F.lit(1), F.length(c) - min_chars + 1)
+        grams = lambda c: F.explode(F.transform(places(c), lambda i: F.substring(F.col(c), i, F.lit(min_chars))))
+        met = {
+            "end": edges.join(common["begin"], "begin", "left_semi").select(grams("first").alias("end")),  # how beginnings end
+            "begin": edges.join(common["end"], "end", "left_semi").select(grams("last").alias("begin")),
+        }
+        for c in ("begin", "end"):
+            edges = edges.join(common[c].unionByName(met[c]).distinct().withColumn(f"has_{c}", F.lit(True)), c, "left")
+        begins, ends = F.col("has_begin"), F.col("has_end")
+        edges = edges.where(begins | ends)
+    sized = edges.withColumn("n", F.explode(F.sequence(F.lit(min_chars), F.length("first"))))
+    both = F.array_compact(F.array(F.when(begins, F.left("first", F.col("n"))), F.when(ends, F.right("last", F.col("n")))))
+    offered = sized.select("weight", F.explode(F.array_distinct(both)).alias("segment"))
+    return offered.groupBy("segment").agg(F.sum("weight").alias("freq")).where(F.col("freq") >= min_freq)
 
 
 def _frequencies(spans: DataFrame) -> DataFrame:
@@ -53,7 +75,7 @@ def _frequencies(spans: DataFrame) -> DataFrame:
 def candidates(frames: DataFrame, text: str, min_chars: int = MIN_CHARS, min_freq: int = MIN_FREQ, most: int = MAX_CANDIDATES) -> DataFrame:
     """The ``most`` frequent enough segments with the largest length * freq, ties by segment."""
     texts = weighted_texts(frames, text)
-    found = span_candidates(texts, min_chars).unionByName(edge_candidates(texts, min_chars)).groupBy("segment").agg(F.max("freq").alias("freq"))
+    found = span_candidates(texts, min_chars).unionByName(edge_candidates(texts, min_chars, min_freq=min_freq)).groupBy("segment").agg(F.max("freq").alias("freq"))
     return found.where(F.col("freq") >= min_freq).orderBy(F.desc(F.length("segment") * F.col("freq")), "segment").limit(most)
 
 

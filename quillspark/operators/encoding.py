@@ -20,6 +20,8 @@ _TOKEN = rf"{_WORD}+|[^\p{{L}}\p{{N}}_]"
 BROADCAST_ENTRIES, BROADCAST_BYTES = 300_000, 32_000_000
 #: Tokens by which entries are looked for at first: two words and what is between them; by how much more in each next round.
 PREFIX, STEP = 3, 3
+#: Most tokens that a place takes along for later rounds; most first tokens of entries that places are filtered by.
+WINDOW, FEW_OPENINGS = 243, 100
 
 
 def _tokens(text: Column | str) -> Column:
@@ -41,27 +43,37 @@ def _first(tokens: Column, n: int) -> Column:
     return F.array_join(F.slice(tokens, 1, n), "")
 
 
-def _grams(texts: DataFrame, begun: DataFrame) -> DataFrame:
-    """``key, at, n_tokens, gram, left, right``: of each place (``i``, from 1) the grams of its ``lengths``, and whether a word
-    stands right before and after."""
-    rows = texts.join(begun.groupBy("key").agg(F.collect_list(F.struct("i", "lengths")).alias("begun")), "key").withColumn("t", _tokens("text"))
-    longer = F.flatten(F.transform("begun", lambda b: F.transform(F.filter(b["lengths"], lambda k: b["i"] + k - 1 <= F.size("t")), lambda k: F.struct(b["i"].alias("i"), k.alias("k")))))
-    gram = lambda x: F.struct((x["i"] - 1).alias("at"), x["k"].alias("n_tokens"), F.array_join(F.slice("t", x["i"], x["k"]), "").alias("gram"), F.get("t", x["i"] - 2).alias("left"), F.get("t", x["i"] + x["k"] - 1).alias("right"))
+def _grams(rows: DataFrame, window: int) -> DataFrame:
+    """``key, at, n_tokens, gram, left, right, window``: of each place that ``begun`` lists (``i``, its place in ``t``, and ``at``, the tokens
+    of the text before it) the grams of its ``lengths``, the tokens right before and after, and if ``window`` is given, for later
+    rounds, that many tokens from the one before the place on."""
+    longer = F.flatten(F.transform("begun", lambda b: F.transform(F.filter(b["lengths"], lambda k: b["i"] + k - 1 <= F.size("t")), lambda k: F.struct(b["i"].alias("i"), b["at"].alias("at"), k.alias("k")))))
+    ahead = lambda x: F.slice("t", F.greatest(x["i"] - 1, F.lit(1)), window)
+    none = F.expr("cast(null as array<string>)")
+    gram = lambda x: F.struct(
+        x["at"].alias("at"), x["k"].alias("n_tokens"), F.array_join(F.slice("t", x["i"], x["k"]), "").alias("gram"), F.get("t", x["i"] - 2).alias("left"), F.get("t", x["i"] + x["k"] - 1).alias("right"),
+        (F.when(x["k"] == F.array_max("widest"), ahead(x)) if window else none).alias("window"),
+    )
     return rows.select("key", F.inline(F.transform(longer, gram)))
 
 
 def matches(texts: DataFrame, book: DataFrame) -> DataFrame:
     """What of the codebook stands in each text, the longest at each place: ``key``, and ``found``, in order, of structs of ``at``
-    (tokens before it), ``k``, ``code, expansion, pays, same`` (in this very case). ``book`` is prepared.
+    (tokens before it), ``k``, ``code, pays, same`` (in this very case). ``book`` is prepared.
 
     Places offer their first ``PREFIX`` tokens, which are joined to the beginnings of entries. Where one begins, the place
     offers grams of the lengths that such entries have up to ``STEP`` times as many tokens, and its first ``STEP`` times as
-    many, by which longer entries are looked for in the next round: places without an entry drop out at once.
+    many, by which longer entries are looked for in the next round: places without an entry drop out at once. Grams meet
+    entries by their digests, so no gram is stored or shuffled as text, and a place that stays takes what later rounds need
+    along, up to ``WINDOW`` tokens.
     """
     book = written(book.withColumn("u", _tokens("low")), "entries")
-    about = book.agg(F.max("k"), F.bool_and("word_first"), F.count("*"), F.sum(F.octet_length("expansion") + F.octet_length("code"))).first()
-    longest, from_words, n, size = about
-    sent = F.broadcast if n <= BROADCAST_ENTRIES and (size or 0) <= BROADCAST_BYTES else lambda df: df
+    digest = lambda c: F.unhex(F.md5(c))
+    marks = book.select(digest("low").alias("low_digest"), "k", "chars", "code", "pays", digest("expansion").alias("digest"))
+    about = book.agg(F.max("k"), F.bool_and("word_first"), F.count("*"), F.sum(F.octet_length("code")), F.bool_and(~F.col("low").rlike(r"[^\x00-\x7F]"))).first()
+    longest, from_words, n, size, plain = about
+    if n <= BROADCAST_ENTRIES * 4 and (size or 0) <= BROADCAST_BYTES:  # without their texts
+        marks = F.broadcast(marks)
     widths = [PREFIX]
     while widths[-1] * STEP <= (longest or 0):
         widths.append(widths[-1] * STEP)
@@ -69,11 +81,16 @@ def matches(texts: DataFrame, book: DataFrame) -> DataFrame:
     def begin(w: int) -> DataFrame:
         """Beginnings of entries, ``w`` tokens (or all of the shortest ones), and the lengths to offer."""
         least = book if w == PREFIX else book.where(F.col("k") >= w)
-        return least.groupBy(_first(F.col("u"), w).alias("start")).agg(F.collect_set(F.least("k", F.lit(w * STEP))).alias("lengths"))
+        found = written(least.groupBy(_first(F.col("u"), w).alias("start")).agg(F.collect_set(F.least("k", F.lit(w * STEP))).alias("lengths")), "beginnings")
+        count, size = found.agg(F.count("*"), F.sum(F.octet_length("start"))).first()
+        return F.broadcast(found) if count <= BROADCAST_ENTRIES and (size or 0) <= BROADCAST_BYTES else found
 
     split = texts.select("key", _tokens("text").alias("t")).withColumn("n", F.size("t"))
     places = lambda p: F.sequence(F.lit(1), F.col("n") - p + 1)
     some = (lambda p: F.filter(places(p), lambda i: F.element_at("t", i) != " ")) if from_words else places
+    opening = [r[0] for r in book.select(F.element_at("u", 1)).distinct().limit(FEW_OPENINGS + 1).collect()]
+    if plain and len(opening) <= FEW_OPENINGS:  # few places are spelt out then; other letters' lower case may depend on what follows
+        some = lambda p: F.filter(places(p), lambda i: F.lower(F.element_at("t", i)).isin(opening))
 
     def starts(p: int) -> Column:
         return F.when(F.col("n") >= p, F.transform(some(p), lambda i: F.struct(i.alias("i"), F.lower(F.array_join(F.slice("t", i, p), "")).alias("start"))))
@@ -81,20 +98,34 @@ def matches(texts: DataFrame, book: DataFrame) -> DataFrame:
     none = "cast(array() as array<struct<i:int,start:string>>)"
     shorter = [r[0] for r in book.where(F.col("k") < PREFIX).select("k").distinct().collect()]  # below PREFIX
     index = split.select("key", F.inline(F.flatten(F.array_compact(F.array(F.expr(none), *map(starts, [PREFIX, *shorter]))))))
-    begun = written(index.join(sent(begin(PREFIX)), "start").select("key", "i", "lengths"), "begun")
-    entries, hits = sent(book.drop("u")), []
+    begun = written(index.join(begin(PREFIX), "start").select("key", (F.col("i") - 1).alias("at"), "lengths"), "begun")
     word = lambda c: F.coalesce(F.col(c).rlike(f"^{_WORD}"), F.lit(False))
+    hits, window = [], min(longest or 0, WINDOW) + 2
     for w, after in zip(widths, [*widths[1:], None], strict=True):
-        grams = written(_grams(texts, begun).withColumn("gram_low", F.lower("gram")), "grams")
-        hit = grams.join(entries, (F.col("gram_low") == F.col("low")) & (F.col("n_tokens") == F.col("k")))
-        hits.append(hit.where(~word("left") & ~word("right")))  # words are whole by their tokens; a sign at an edge may not touch one
+        if w == PREFIX or w * STEP + 2 > window and window < (longest or 0) + 2:
+            lists = begun.groupBy("key").agg(F.collect_list(F.struct((F.col("at") + 1).alias("i"), "at", "lengths")).alias("begun"))
+            rows = texts.join(lists, "key").withColumn("t", _tokens("text"))
+        else:
+            place = F.struct(F.when(F.col("at") == 0, 1).otherwise(2).alias("i"), "at", "lengths")
+            rows = begun.select("key", F.col("window").alias("t"), F.array(place).alias("begun"))
+        grams = _grams(rows.withColumn("widest", F.array(F.lit(after or 0))), window if after else 0)
+        whole = ~word("left") & ~word("right")  # words are whole by their tokens; a sign at an edge may not touch one
+        grams = grams.withColumns({"low_digest": digest(F.lower("gram")), "own": digest("gram")})
+        seen = grams.join(marks, (grams["low_digest"] == marks["low_digest"]) & (F.col("n_tokens") == F.col("k")), "left")
+        kept = ["key", "at", "k", "chars", "code", "pays", (F.col("own") == F.col("digest")).alias("same"), (F.col("k").isNotNull() & whole).alias("hit")]
         if after:
-            probes = grams.where(F.col("n_tokens") == after).select("key", (F.col("at") + 1).alias("i"), F.col("gram_low").alias("start"))
-            begun = written(probes.join(sent(begin(after)), "start").select("key", "i", "lengths"), "begun")
+            probe = F.when(F.col("n_tokens") == after, F.lower("gram"))
+            ahead = begin(after)
+            seen = seen.withColumn("start", probe).join(ahead, "start", "left")
+            seen = written(seen.select(*kept, "lengths", F.when(F.col("lengths").isNotNull(), F.col("window")).alias("window")).where("hit or lengths is not null"), "seen")
+            begun = seen.where("lengths is not null").select("key", "at", "lengths", "window")
+        else:
+            seen = seen.select(*kept)
+        hits.append(seen.where("hit").select("key", "at", "k", "chars", "code", "pays", "same"))
     hit = hits[0]
     for more in hits[1:]:
         hit = hit.unionByName(more)
-    best = hit.groupBy("key", "at").agg(F.max_by(F.struct("at", "k", "code", "expansion", "pays", (F.col("gram") == F.col("expansion")).alias("same")), F.struct("chars", F.col("k"))).alias("m"))
+    best = hit.groupBy("key", "at").agg(F.max_by(F.struct("at", "k", "code", "pays", "same"), F.struct("chars", F.col("k"))).alias("m"))
     return best.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("found"))
 
 
@@ -145,7 +176,7 @@ def dictionary_encoded(docs: DataFrame, book: DataFrame, text: str = "text", nam
     texts = keyed.where(F.col(text).isNotNull()).select(F.col("_key").alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
     texts = written(texts, "texts")  # read in each round of the search, and at last
     chosen = leftmost(written(matches(texts, entries), "matches"))
-    whole = texts.join(chosen, "key", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<at:int,k:int,code:string,expansion:string,pays:boolean,same:boolean>>)")))
+    whole = texts.join(chosen, "key", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<at:int,k:int,code:string,pays:boolean,same:boolean>>)")))
     whole = whole.withColumn("t", _tokens("text"))
     until = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.element_at("found", j)["at"] + F.element_at("found", j)["k"])  # noqa: E731  end of the one before
     gap = lambda m, j: F.array_join(F.slice("t", until(j) + 1, m["at"] - until(j)), "")

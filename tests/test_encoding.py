@@ -56,3 +56,23 @@ def test_empty(spark):
     assert got == want
     docs = spark.createDataFrame([], "i int, text string")
     assert encoding.dictionary_encoded(docs, spark.createDataFrame([("A", "b c d e")], "code string, expansion string")).collect() == []
+
+
+@pytest.mark.parametrize("window", [1, 10, 243])
+def test_long_entries_by_windows_and_by_texts(spark, monkeypatch, window):
+    """Whether places take their tokens along or fetch them again, and no gram is stored as text."""
+    stored, write = [], encoding.written
+    monkeypatch.setattr(encoding, "written", lambda df, name: stored.append((name, df.columns)) or write(df, name))
+    monkeypatch.setattr(encoding, "WINDOW", window)
+    words = [f"w{k % 50}" for k in range(130)]
+    book = [(f"L{n}", " ".join(words[k : k + n])) for k, n in ((0, 2), (0, 5), (3, 14), (3, 20), (10, 41), (10, 45), (60, 2), (60, 60))]
+    texts = [" ".join(words), " ".join(words[3:]), "x " + " ".join(words[10:60]), " ".join(words[10:52]) + "y", "  ".join(words)]
+    got, want = both(spark, texts, book)
+    assert got == want and any("L45" == x[0] for r in got for x in r[2])
+    assert not any("gram" in columns for _, columns in stored)
+
+
+def test_openings_beyond_ascii(spark):
+    book = [("S", "ΑΣ of Α"), ("T", "of the")]
+    got, want = both(spark, ["ας of α ΑΣ of Α of the", "Of the of the"], book)
+    assert got == want

@@ -10,6 +10,8 @@ from quillspark.operators.ordering import ranked
 from quillspark.sources.scratch import written
 
 PAIR_KEY = ["task_id", "q_index", "question"]
+#: Most rows, of a few short columns, of a table that the anchored join broadcasts.
+BROADCAST_ROWS = 300_000
 
 
 def paired(a: DataFrame, b: DataFrame, keys: list[str] = PAIR_KEY, verdict: str = "correct") -> DataFrame:
@@ -53,24 +55,32 @@ def anchored(items: DataFrame, passages: DataFrame, item_id: str, item_text: str
     Containment divides by the smaller set, of ``n`` tokens, so it needs ceil(threshold * n) shared ones, and at most
     the others may be missing: one of the smaller set's rarest (others + 1) tokens is shared. Either side is probed
     with those alone, rarest by the number of passages that have them, so a token in all texts joins nothing unless a
-    set has hardly any other. Candidates are then counted over all their tokens. Of the passages, only tokens that items
+    set has hardly any other; of the passages, only those smaller than some item are. Candidates are then counted over all their tokens. Of the passages, only tokens that items
     have are kept, once. Equivalent to comparing all pairs for any threshold above 0.
     """
     if threshold <= 0:
         raise ValueError("a threshold of 0 would match what shares nothing")
     i = written(_tokens(items, item_id, item_text, "i"), "tokens")
-    p = written(_tokens(passages, passage_id, passage_text, "p").join(i.select("token").distinct(), "token", "left_semi"), "tokens")
-    frequent = p.groupBy("token").agg(F.count("*").alias("df"))
-    i, p = i.join(frequent, "token"), p.join(frequent, "token")
-    small_items = _rarest(i, "i", threshold).join(p, "token").where("i_n <= p_n").select("i", "p")
-    small_passages = _rarest(p, "p", threshold).join(i, "token").where("p_n < i_n").select("i", "p")
-    found = small_items.unionByName(small_passages).distinct()
-    counted = found.join(i.select("i", "i_n", "token"), "i").join(p.select("p", "p_n", "token"), ["p", "token"])
+    held = _sent(written(i.select("token").distinct(), "held"))
+    p = written(_tokens(passages, passage_id, passage_text, "p").join(held, "token", "left_semi"), "tokens")
+    frequent = _sent(written(p.groupBy("token").agg(F.count("*").alias("df")), "frequent"))
+    i = written(i.join(frequent, "token"), "tokens")
+    every, most = _sent(i.select("i", "i_n", "token")), i.agg(F.max("i_n")).first()[0] or 0
+    small_items = p.join(_sent(written(_rarest(i, "i", threshold), "rarest")), "token").where("i_n <= p_n").select("i", "p")
+    smaller = p.where(F.col("p_n") < most).join(frequent, "token")  # than some item
+    small_passages = _rarest(smaller, "p", threshold).join(every, "token").where("p_n < i_n").select("i", "p")
+    found = _sent(written(small_items.unionByName(small_passages).distinct(), "pairs"))
+    counted = p.join(found, "p").join(every, ["i", "token"])
     counted = counted.groupBy("i", "p", F.least("i_n", "p_n").alias("least")).agg(F.count("*").alias("shared"))
     scored = counted.withColumn("score", F.col("shared") / F.col("least")).where(F.col("score") >= threshold)
     return scored.select(F.col("i").alias(item_id), F.col("p").alias(passage_id), F.round("score", 6).alias("score"))
 
 
+def _sent(stored: DataFrame) -> DataFrame:
+    """A stored table, broadcast if it has few rows, so that the tokens of passages aren't shuffled to meet it."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def _tokens(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """A row per token (``name``, ``name_n``: the size of the set, ``token``); each text is tokenised once."""
     tokens = token_set(normalize(F.coalesce(F.col(text), F.lit(""))))

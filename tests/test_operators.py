@@ -99,6 +99,18 @@ def test_anchored_join_is_the_theta_join(spark):
         joins.anchored(items, docs, "item", "t", "doc", "t", 0)
 
 
+@pytest.mark.parametrize("rows", [0, 300_000])
+def test_anchored_join_sends_no_passages(spark, monkeypatch, rows):
+    """Shuffled or broadcast, the pairs are the same; if broadcast, no exchange has the tokens of long passages."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
+    items = spark.createDataFrame([(k, f"a{k} b{k} c{k} the of") for k in range(20)], "item int, t string")
+    docs = spark.createDataFrame([(k, f"a{k} b{k} c{k} the of " + " ".join(f"x{j}" for j in range(60))) for k in range(15)] + [(90, "the of"), (91, "a3 the of zz"), (92, "b19 c19")], "doc int, t string")
+    got = joins.anchored(items, docs, "item", "t", "doc", "t")
+    assert {(r.item, r.doc) for r in got.collect()} == {(k, k) for k in range(15)} | {(k, 90) for k in range(20)} | {(19, 92)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not rows or "SortMergeJoin" not in plan
+
+
 def test_gate_and_its_complement(spark):
     df = spark.createDataFrame([("a b c", "a"), ("a b", "x y"), (None, "x"), ("a", None)], "passage string, expected string")
     kept, gone = joins.gate(df, "passage", "expected")

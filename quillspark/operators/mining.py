@@ -38,15 +38,17 @@ def span_candidates(texts: DataFrame, min_chars: int = MIN_CHARS, max_span: int
     return _frequencies(spans.where((F.length("segment") >= min_chars) | (F.col("fields") >= MIN_FIELDS)))
 
 
-def edge_candidates(texts: DataFrame, min_chars: int = MIN_CHARS, max_edge: int = MAX_EDGE, min_freq: int = 1) -> DataFrame:
+def edge_candidates(texts: DataFrame, min_chars: int = MIN_CHARS, max_edge: int = MAX_EDGE, min_freq: int = 1, edge_chars: int | None = EDGE_CHARS) -> DataFrame:
     """``segment`` and ``freq``, of ``min_freq`` at least: beginnings and ends, of 12 to 64 characters, of texts that JSON tokens don't
-    tile. ``texts`` are distinct.
+    tile. ``texts`` are distinct. Ends are those of whole texts if ``edge_chars`` is None, else of so many characters from the
+    beginning, as in the reference; the queries and ``candidates`` take whole texts.
 
     A frequent segment has half of its frequency as a beginning or as an end, so the first ``min_chars`` characters of those
     beginnings, or the last of those ends, have that too. Only texts that share such an edge, and those whose other edge can
     meet a segment of theirs, offer segments; each offers a segment once, so segments are summed without their texts.
     """
-    head = texts.where(json_tokens("text").isNull()).select(F.substring("text", 1, EDGE_CHARS).alias("head"), "weight").where(F.length("head") >= min_chars)
+    head = F.col("text") if edge_chars is None else F.substring("text", 1, edge_chars)
+    head = texts.where(json_tokens("text").isNull()).select(head.alias("head"), "weight").where(F.length("head") >= min_chars)
     edges = head.select(F.left("head", F.lit(max_edge)).alias("first"), F.right("head", F.lit(max_edge)).alias("last"), "weight")
     begins, ends = F.lit(True), F.lit(True)
     if (half := -(-min_freq // 2)) > 1:
@@ -75,7 +77,7 @@ def _frequencies(spans: DataFrame) -> DataFrame:
 def candidates(frames: DataFrame, text: str, min_chars: int = MIN_CHARS, min_freq: int = MIN_FREQ, most: int = MAX_CANDIDATES) -> DataFrame:
     """The ``most`` frequent enough segments with the largest length * freq, ties by segment."""
     texts = weighted_texts(frames, text)
-    found = span_candidates(texts, min_chars).unionByName(edge_candidates(texts, min_chars, min_freq=min_freq)).groupBy("segment").agg(F.max("freq").alias("freq"))
+    found = span_candidates(texts, min_chars).unionByName(edge_candidates(texts, min_chars, min_freq=min_freq, edge_chars=None)).groupBy("segment").agg(F.max("freq").alias("freq"))
     return found.where(F.col("freq") >= min_freq).orderBy(F.desc(F.length("segment") * F.col("freq")), "segment").limit(most)
 
 
